@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import canonical
+from claimloom.llm import canonical, duplicates
 from claimloom.session import ship
 
 
@@ -22,7 +22,15 @@ def p1_misses(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.misses(_t(spark, sf, "extracted_claims"), _t(spark, sf, "extracted_entities"), _t(spark, sf, "canonical_entities"))
 
 
-_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses)
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicates.found(_t(spark, sf, "extracted_claims"), _t(spark, sf, "raw_claims"))
+
+
+def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicates.collapse(duplicates.claim_records(_t(spark, sf, "extracted_claims")))
+
+
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -37,4 +45,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    key = "regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+    fields = [f"lower(upper({key.format(f)}))" for f in ("subject_name", "object_name", "direction")]
+    pmid = "regexp_replace(pmid, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
+    groups = f"""select {pmid} as g, {fields[0]} as a, {fields[1]} as b, {fields[2]} as c, claim_row_id as id from extracted_claims"""
+    whole = "g <> '' and a <> '' and b <> '' and c <> ''"
+    return {
+        "p5_collapsed": f"select min(id) as keep_id, count(*) as copies from ({groups}) where {whole} group by g, a, b, c",
+    }
