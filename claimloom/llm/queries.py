@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import canonical, duplicates
+from claimloom.llm import canonical, duplicates, neighbours
 from claimloom.session import ship
 
 
@@ -30,7 +30,15 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.collapse(duplicates.claim_records(_t(spark, sf, "extracted_claims")))
 
 
-_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed)
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.found(_t(spark, sf, "abstract_embeddings_bge_m3"))
+
+
+def p2_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.recall(_t(spark, sf, "abstract_embeddings_bge_m3"))
+
+
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p2_found, p2_recall)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
