@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimloom.plans import problems
+from claimloom.session import ship
+
+
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf)
+
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: _shipped(f) for k, f in problems.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
