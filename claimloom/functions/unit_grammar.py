@@ -180,7 +180,7 @@ def read_unit(text: str, expected: tuple[Dim, ...] | None, grammar: Grammar) ->
     return min(readings, key=lambda r: (r.penalty, abs(math.log10(r.scale)), r.dim), default=None)
 
 
-_PLAIN = r"\d{1,3}(?:,\d{3})+(?!\d)(?:\.\d+)?|\d+(?:[.,]\d+)?|\.\d+"
+_PLAIN = r"\d{1,3}(?:,\d{3})+(?!\d)(?:\.\d+)?|\d+(?:[.,]\d+)?|[.,]\d+"
 _POWER = re.compile(rf"(?P<a>{_PLAIN})?\s*(?:[x×*·]\s*)?10\s*(?:\^|\*\*)?\s*(?P<e>[-+−]?\d{{1,2}}|[⁻⁺]?[⁰¹²³⁴⁵⁶⁷⁸⁹]{{1,2}})(?!\d)")
 _CARET = re.compile(r"(?:^|[x×*·]\s*)10\s*(?:\^|\*\*)\s*[-+−]?\d|(?:^|[x×*·]\s*)10[⁻⁺]?[⁰¹²³⁴⁵⁶⁷⁸⁹]")
 _FLOAT = re.compile(r"(\d+(?:\.\d+)?)[eE]([-+]?\d{1,2})(?![\w.])")

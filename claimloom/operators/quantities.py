@@ -103,7 +103,7 @@ def read_effect(text: str | None, unit: str | None, common: str | None, molar_ma
         return None
     m = _DIFFERENCE.match(text)
     rest = text[m.end() :]
-    sign = re.match(r"\s*([-+−–‐‑])?\s*(?=[\d.])", rest)
+    sign = re.match(r"\s*([-+−–‐‑])?\s*(?=[\d.,])", rest)
     if not sign:
         return None
     got = leading_number(rest[sign.end() :])
