@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import canonical, duplicates, neighbours
+from claimloom.llm import canonical, duplicates, neighbours, sentences
 from claimloom.session import ship
 
 
@@ -38,7 +38,11 @@ def p2_recall(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.recall(_t(spark, sf, "abstract_embeddings_bge_m3"))
 
 
-_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p2_found, p2_recall)
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.found(_t(spark, sf, "full_text"), _t(spark, sf, "extracted_claims"))
+
+
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p2_found, p2_recall, p3_found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
