@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import canonical, duplicates, neighbours, sentences
+from claimloom.llm import canonical, consensus, duplicates, neighbours, quality, sentences
 from claimloom.session import ship
 
 
@@ -42,7 +42,31 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.found(_t(spark, sf, "full_text"), _t(spark, sf, "extracted_claims"))
 
 
-_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p2_found, p2_recall, p3_found)
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.found(_t(spark, sf, "audit_decisions"))
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.labelled(_t(spark, sf, "audit_decisions"))
+
+
+def p6_reviewers(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.reviewers(_t(spark, sf, "audit_decisions"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.found(_t(spark, sf, "documents"))
+
+
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judged(_t(spark, sf, "documents"))
+
+
+def p9_functions(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.accuracies(_t(spark, sf, "documents"))
+
+
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p2_found, p2_recall, p3_found, p6_found, p6_items, p6_reviewers, p9_found, p9_statistics, p9_functions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
