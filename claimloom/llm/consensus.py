@@ -1,10 +1,12 @@
 """Problem 6: consensus labels, agreement, and the reliability of annotators.
 
-Method: triplet moments. Two annotators agree as often as both know the answer, corrected for the agreement chance gives them:
-(agreement - chance) / (1 - chance) = r_i * r_j, where r is the share of items on which an annotator knows rather than guesses.
-Three annotators give r_i squared = a_ij * a_ik / a_jk; all triplets are pooled, weighted by the items their pairs share. An
-annotator who guesses is taken to do so in the proportions of the labels the model leaves unexplained. The votes are then combined by
-their log-odds, log P(vote | label) summed over the annotators, with the labels' shares as prior.
+Method: triplet moments. For each label, two annotators' votes for it co-vary by v * d_i * d_j, where v is the variance of the
+label itself and d the annotator's discrimination, P(vote for it | it is true) - P(vote for it | it is not); subtracting the
+product of their own rates is the correction for chance, so annotators who favour a label gain nothing by agreeing. Three
+annotators give d_i squared = c_ij * c_ik / c_jk; all triplets are pooled, over the fields too, weighted by the items their
+pairs share. The votes are combined by their log-odds; what an annotator gives under each label (a third moment, between the
+annotator and the label so combined, over all items) then replaces the rates of one label against the rest, and the votes are
+combined again by the log-odds of these rates.
 
 Agreement needs, for each pair of annotators, only counts over the items both judged. They come from products of the items' vote
 matrices, added up within each task, so no pairs are emitted and what is shuffled and collected is bounded by the square of the
@@ -48,143 +50,219 @@ def decisions(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return rows.select("item", "who", F.expr(f"stack({len(fields)}, {pairs}) as (field, vote)")).where("vote is not null")
 
 
-def _items(votes: DataFrame) -> DataFrame:
-    """One row an item and field with its votes; at most one an annotator, so a row is bounded by their number."""
-    return votes.groupBy("item", "field").agg(F.collect_list(F.struct("who", "vote")).alias("votes"))
+def _items(votes: DataFrame, annotators: list[str]) -> DataFrame:
+    """One row an item and field with its votes as codes, annotator * labels + label; at most one an annotator, so a row is bounded by their number."""
+    shared = votes.sparkSession.sparkContext.broadcast({a: i for i, a in enumerate(annotators)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, col, k = shared.value, {x: i for i, x in enumerate(LABELS)}, len(LABELS)
+        for b in batches:
+            codes = [at[w] * k + col[v] for w, v in zip(b.column("who").to_pylist(), b.column("vote").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("field"), pa.array(codes, pa.int32())], names=["item", "field", "code"])
+
+    coded = votes.select("item", "field", "who", "vote").mapInArrow(run, "item string, field string, code int")
+    return coded.groupBy("item", "field").agg(F.collect_list("code").alias("votes"))
+
+
+def _by_field(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each field of a batch its rows, and their votes as parallel arrays: item, annotator, label."""
+    fields = b.column("field").dictionary_encode()
+    at = fields.indices.to_numpy(zero_copy_only=False)
+    lists = b.column("votes")
+    n = np.diff(lists.offsets.to_numpy())
+    codes = lists.flatten().to_numpy(zero_copy_only=False).astype("i8")
+    row = np.repeat(np.arange(len(n)), n)
+    for i, f in enumerate(fields.dictionary.to_pylist()):
+        rows = np.flatnonzero(at == i)
+        place = np.full(len(n), -1)
+        place[rows] = np.arange(len(rows))
+        mine = at[row] == i
+        yield f, rows, (place[row[mine]], codes[mine] // len(LABELS), codes[mine] % len(LABELS))
+
+
+def count_pairs(item: np.ndarray, who: np.ndarray, vote: np.ndarray, n_items: int, m: int, k: int) -> np.ndarray:
+    """Of each pair of annotators: the items both judged, then those on which both gave each label. Shape (1 + k, m, m)."""
+    out = np.zeros((1 + k, m, m))
+    step = max(1, 4_000_000 // max(1, m * k))
+    for s in range(0, n_items, step):
+        mine = (item >= s) & (item < s + step)
+        x = np.zeros((k, min(step, n_items - s), m), "f4")
+        x[vote[mine], item[mine] - s, who[mine]] = 1
+        seen = x.sum(0)
+        out[0] += seen.T @ seen
+        for i in range(k):
+            out[1 + i] += x[i].T @ x[i]
+    return out
 
 
-def moments(items: DataFrame, annotators: list[str], labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """``field``, ``i``, ``j``, ``n`` items that both judged, ``agree`` of them alike."""
-    at = {a: i for i, a in enumerate(annotators)}
-    col = {x: i for i, x in enumerate(labels)}
+def moments(items: DataFrame, m: int) -> DataFrame:
+    """``field``, ``i``, ``j``, ``n`` items that both judged, ``a`` those on which both gave each label."""
+    k = len(LABELS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(annotators)
-        total: dict[str, list[np.ndarray]] = {}
+        total: dict[str, np.ndarray] = {}
         for b in batches:
-            by: dict[str, list] = {}
-            for f, v in zip(b.column("field").to_pylist(), b.column("votes").to_pylist(), strict=True):
-                by.setdefault(f, []).append(v)
-            for f, rows in by.items():
-                n, agree = total.setdefault(f, [np.zeros((m, m)), np.zeros((m, m))])
-                step = max(1, 4_000_000 // max(1, m * len(labels)))
-                for s in range(0, len(rows), step):
-                    x = np.zeros((len(labels), min(step, len(rows) - s), m), "f4")
-                    for r, v in enumerate(rows[s : s + step]):
-                        for y in v:
-                            x[col[y["vote"]], r, at[y["who"]]] = 1
-                    for layer in x:
-                        agree += layer.T @ layer
-                    seen = x.sum(0)
-                    n += seen.T @ seen
+            for f, rows, arrays in _by_field(b):
+                total[f] = total.get(f, 0) + count_pairs(*arrays, len(rows), m, k)
         out = []
-        for f, (n, agree) in total.items():
-            i, j = np.nonzero(n)
-            out += zip([f] * len(i), i.tolist(), j.tolist(), n[i, j].astype(int).tolist(), agree[i, j].astype(int).tolist(), strict=True)
+        for f, c in total.items():
+            i, j = np.nonzero(c[0])
+            out += zip([f] * len(i), i.tolist(), j.tolist(), c[0, i, j].astype(int).tolist(), c[1:, i, j].T.astype(int).tolist(), strict=True)
         cols = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["field", "i", "j", "n", "agree"])
-
-    part = items.select("field", "votes").mapInArrow(run, "field string, i int, j int, n bigint, agree bigint")
-    return part.groupBy("field", "i", "j").agg(F.sum("n").alias("n"), F.sum("agree").alias("agree"))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["field", "i", "j", "n", "a"])
+
+    part = items.select("field", "votes").mapInArrow(run, "field string, i int, j int, n bigint, a array<bigint>")
+    return part.groupBy("field", "i", "j").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("a")[x]) for x in range(k)]).alias("a"))
+
+
+def discriminations(c: np.ndarray, n: np.ndarray, shrink: float = 10.0) -> np.ndarray:
+    """d of each annotator from the pairs' corrected agreement c = d_i * d_j, by triplets pooled with the items their pairs share as weights."""
+    m = len(c)
+    n = n * (1 - np.eye(m))
+    if not n.any():
+        return np.full(m, 0.5)
+    c = np.clip(c, -1, 1)
+    sign = np.ones(m)
+    for _ in range(20):  # who is against the majority: the signs of the leading direction
+        sign = np.where((n * c) @ sign >= 0, 1.0, -1.0)
+    same = c * sign[:, None] * sign[None]
+    mean = max(0.02, float((n * same).sum() / n.sum()))
+    d = np.empty(m)
+    for i in range(m):
+        w = np.sqrt(n[i][:, None] * n[i][None]) * n
+        top, low = float((w * same[i][:, None] * same[i][None]).sum()), float((w * same).sum())
+        d[i] = np.sqrt(min(max(top / low if low > 1e-9 else mean, 0.0), 1.0))
+    for _ in range(15):  # the same triplets, weighted by what their members have turned out to be worth
+        d = np.clip(((n * same) @ d + shrink * mean * 0.5) / (n @ (d * d) + shrink * np.sqrt(mean) * 0.5 + 1e-9), -1.0, 1.0)
+    return np.clip(d * sign, -0.98, 0.98)
+
+
+def fit(counts: dict[str, np.ndarray], given: dict[str, np.ndarray], shares: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Discriminations, annotator x label, pooled over the fields."""
+    m, k = next(iter(given.values())).shape
+    out = np.zeros((m, k))
+    for x in range(k):
+        num, den = np.zeros((m, m)), np.zeros((m, m))
+        for f, c in counts.items():
+            votes = given[f]
+            rate = votes[:, x] / np.maximum(votes.sum(1), 1)
+            pi = float((shares or {}).get(f, votes.sum(0) / max(votes.sum(), 1))[x])
+            var = max(pi * (1 - pi), 0.02)
+            cov = np.where(c[0] > 0, c[1 + x] / np.maximum(c[0], 1) - rate[:, None] * rate[None], 0)
+            num += c[0] * cov / var
+            den += c[0]
+        out[:, x] = discriminations(np.where(den > 0, num / np.maximum(den, 1), 0), den)
+    return out
 
 
-def reliabilities(n: np.ndarray, agree: np.ndarray, chance: float, shrink: float = 8.0) -> np.ndarray:
-    """Share of items that each annotator knows, by pooled triplets. Pairs that share few items are drawn towards the pool's mean."""
-    m = len(n)
-    off = ~np.eye(m, dtype=bool)
-    n = np.where(off, n, 0.0)
-    corrected = np.where(n > 0, (agree / np.maximum(n, 1) - chance) / (1 - chance), 0.0)
-    pool = float((corrected * n).sum() / n.sum()) if n.sum() else 0.25
-    pool = min(max(pool, 0.01), 0.98)
-    out = np.full(m, np.sqrt(pool))
-    for i in range(m):
-        w = np.sqrt(n[i])[:, None] * np.sqrt(n[i])[None] * n  # weight of the triplet i, j, k by the items of its three pairs
-        np.fill_diagonal(w, 0.0)
-        top = float((w * corrected[i][:, None] * corrected[i][None]).sum())
-        low = float((w * corrected).sum())
-        seen = float(n[i].sum())
-        square = top / low if low > 1e-9 else pool
-        sign = 1.0 if float((n[i] * corrected[i]).sum()) >= 0 else -1.0
-        raw = sign * np.sqrt(min(max(square, 0.0), 0.999))
-        out[i] = (raw * seen + np.sqrt(pool) * shrink) / (seen + shrink)
-    return np.clip(out, -0.5, 0.985)
-
-
-def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], given: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each field: reliability, guesses (annotator x label) and the labels' shares. ``given`` counts the labels that each annotator gave."""
-    out = {}
-    for f, (n, agree) in counts.items():
-        votes = given[f]
-        total = votes.sum(0) / max(votes.sum(), 1)
-        chance = float((total**2).sum()) if votes.sum() else 1 / len(LABELS)
-        r = reliabilities(n, agree, min(chance, 0.95))
-        cast = votes.sum(1)
-        known = float((r * cast).sum() / cast.sum()) if cast.sum() else 0.5
-        prior = np.clip(total, 1e-3, None)
-        prior = prior / prior.sum()
-        # what an annotator gives beyond what is known, drawn towards an even guess
-        own = votes - np.clip(r, 0, None)[:, None] * cast[:, None] * prior[None]
-        own = np.clip(own, 0, None) + 6.0 * prior[None] * 0.5 + 3.0 / len(LABELS)
-        guess = own / own.sum(1, keepdims=True)
-        out[f] = (r, guess, prior if known > 0 else np.full(len(LABELS), 1 / len(LABELS)))
+def rates(d: np.ndarray, votes: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """P(vote | label), annotator x label x vote, from the discriminations: what is left after the label itself is spread by the annotator's own habits."""
+    m, k = d.shape
+    habit = (votes + 2 * share[None]) / (votes.sum(1, keepdims=True) + 2)
+    hit = np.clip(habit + (1 - share)[None] * d, 0.02, 0.98)  # P(vote for it | it is true)
+    miss = np.clip(habit - share[None] * d, 0.01, 0.98)  # P(vote for it | it is not)
+    p = np.repeat(miss[:, None, :], k, 1)
+    p[:, np.arange(k), np.arange(k)] = hit
+    return p / p.sum(2, keepdims=True)
+
+
+def posteriors(item: np.ndarray, who: np.ndarray, vote: np.ndarray, n_items: int, p: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Posterior of the labels, item x label, by the log-odds of the votes."""
+    log = np.log(np.clip(p, 1e-4, None))[who, :, vote]
+    score = np.tile(np.log(np.clip(share, 1e-4, None)), (n_items, 1))
+    for x in range(score.shape[1]):
+        score[:, x] += np.bincount(item, log[:, x], n_items)
+    score = np.exp(score - score.max(1, keepdims=True))
+    return score / score.sum(1, keepdims=True)
+
+
+def given_under(item: np.ndarray, who: np.ndarray, vote: np.ndarray, post: np.ndarray, m: int) -> np.ndarray:
+    """What each annotator gave under each label: annotator x label x vote."""
+    k = post.shape[1]
+    out = np.zeros((m, k, k))
+    for x in range(k):
+        out[:, x] = np.bincount(who * k + vote, post[item, x], m * k).reshape(m, k)
     return out
 
 
-def likelihoods(r: np.ndarray, guess: np.ndarray) -> np.ndarray:
-    """log P(vote | label): annotator x vote x label. An annotator worse than chance is taken to give another label on purpose."""
-    m, k = guess.shape
-    known = np.clip(r, 0, None)[:, None, None] * np.eye(k)[None]
-    p = known + (1 - np.clip(r, 0, None))[:, None, None] * guess[:, :, None]
-    against = np.clip(-r, 0, None)[:, None, None]
-    p = (1 - against) * p + against * (1 - np.eye(k))[None] / (k - 1)
-    return np.log(np.clip(p, 1e-6, None))
+def refined(seen: dict[str, np.ndarray], start: dict[str, np.ndarray], strength: float = 6.0, pooled: float = 25.0) -> dict[str, np.ndarray]:
+    """P(vote | label) from what was given under the labels: pooled over the fields, and each field drawn towards the pool."""
+    every = sum(seen.values())
+    first = sum(start[f] * seen[f].sum(2, keepdims=True) for f in seen) + strength * sum(start.values()) / len(start)
+    first = first / first.sum(2, keepdims=True)
+    pool = (every + strength * first) / (every.sum(2, keepdims=True) + strength)
+    return {f: (c + pooled * pool) / (c.sum(2, keepdims=True) + pooled) for f, c in seen.items()}
 
 
-def _model(items: DataFrame, votes: DataFrame, most_annotators: int) -> tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], dict, dict]:
-    given_rows = bounded(votes.groupBy("field", "who", "vote").count(), most_annotators * len(LABELS) * len(FIELDS), "annotators' labels")
+def _learn(df: DataFrame, most_annotators: int, rounds: int) -> tuple[DataFrame, list[str], dict[str, np.ndarray], dict[str, np.ndarray], dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Items with votes, annotators, P(vote | label) and shares of the labels by field, pair counts, and the labels given."""
+    votes = written(decisions(df), "latest-votes")
+    given_rows = bounded(votes.groupBy("field", "who", "vote").count(), most_annotators * len(LABELS) * 100, "annotators' labels")
     annotators = sorted({r["who"] for r in given_rows})
     if len(annotators) > most_annotators:
         raise ValueError(f"more than {most_annotators} annotators")
-    at = {a: i for i, a in enumerate(annotators)}
-    m = len(annotators)
-    given = {f: np.zeros((m, len(LABELS))) for f in {r["field"] for r in given_rows}}
+    items = written(_items(votes, annotators), "items-with-votes")
+    at, col, m, k = {a: i for i, a in enumerate(annotators)}, {x: i for i, x in enumerate(LABELS)}, len(annotators), len(LABELS)
+    given = {f: np.zeros((m, k)) for f in sorted({r["field"] for r in given_rows})}
     for r in given_rows:
-        given[r["field"]][at[r["who"]], LABELS.index(r["vote"])] = r["count"]
-    counts = {f: (np.zeros((m, m)), np.zeros((m, m))) for f in given}
-    for r in bounded(moments(items, annotators), m * m * max(1, len(given)), "pairs of annotators") if m else []:
-        counts[r["field"]][0][r["i"], r["j"]] = r["n"]
-        counts[r["field"]][1][r["i"], r["j"]] = r["agree"]
-    return annotators, fit(counts, given), counts, given
+        given[r["field"]][at[r["who"]], col[r["vote"]]] = r["count"]
+    counts = {f: np.zeros((1 + k, m, m)) for f in given}
+    if not m:
+        return items, annotators, {}, {}, counts, given
+    for r in bounded(moments(items, m), m * m * len(given), "pairs of annotators"):
+        counts[r["field"]][:, r["i"], r["j"]] = [r["n"], *r["a"]]
+    shares = {f: v.sum(0) / v.sum() for f, v in given.items()}
+    d = fit(counts, given, shares)
+    p = {f: rates(d, given[f], shares[f]) for f in given}
+    for _ in range(rounds):
+        seen, total = _given_under(items, p, shares)
+        shares = {f: (total[f] + 1) / (total[f] + 1).sum() for f in given}
+        p = refined(seen, p)
+    return items, annotators, p, shares, counts, given
+
+
+def _given_under(items: DataFrame, p: dict[str, np.ndarray], shares: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """One pass over the items: what annotators gave under the labels, and the labels' mass. A task sends one small table a field."""
+    k = len(LABELS)
+    m = len(next(iter(p.values())))
+    shared = items.sparkSession.sparkContext.broadcast((p, shares))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, shares = shared.value
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for f, rows, arrays in _by_field(b):
+                post = posteriors(*arrays, len(rows), p[f], shares[f])
+                total[f] = total.get(f, 0) + np.concatenate([given_under(*arrays, post, m).ravel(), post.sum(0)])
+        cells = {f: np.flatnonzero(x) for f, x in total.items()}
+        names = [f for f, x in cells.items() for _ in x]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([*cells.values(), []]).astype("i4"), pa.int32()), pa.array(np.concatenate([*(total[f][x] for f, x in cells.items()), []]), pa.float64())], names=["field", "cell", "mass"])
 
+    part = items.select("field", "votes").mapInArrow(run, "field string, cell int, mass double").groupBy("field", "cell").agg(F.sum("mass").alias("mass"))
+    flat = {f: np.zeros(m * k * k + k) for f in p}
+    for r in bounded(part, len(p) * (m * k * k + k), "labels given"):
+        flat[r["field"]][r["cell"]] = r["mass"]
+    return {f: x[: m * k * k].reshape(m, k, k) for f, x in flat.items()}, {f: x[m * k * k :] for f, x in flat.items()}
 
-def labelled(df: DataFrame, *, most_annotators: int = 2_000) -> DataFrame:
+
+def labelled(df: DataFrame, *, most_annotators: int = 2_000, rounds: int = 12) -> DataFrame:
     """``item``, ``field``, ``label``, its posterior ``certainty``, the votes' number and ``agreement``: the share of the item's pairs of votes that agree."""
-    votes = written(decisions(df), "latest-votes")
-    items = written(_items(votes), "items-with-votes")
-    annotators, model, _, _ = _model(items, votes, most_annotators)
-    at = {a: i for i, a in enumerate(annotators)}
-    shared = df.sparkSession.sparkContext.broadcast({f: (likelihoods(r, g), np.log(p)) for f, (r, g, p) in model.items()})
+    items, _, p, shares, _, _ = _learn(df, most_annotators, rounds)
+    shared = df.sparkSession.sparkContext.broadcast((p, shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        col = {x: i for i, x in enumerate(LABELS)}
+        p, shares = shared.value
+        k = len(LABELS)
         for b in batches:
-            out = []
-            for item, f, v in zip(*(b.column(c).to_pylist() for c in ("item", "field", "votes")), strict=True):
-                like, prior = tables[f]
-                score = prior.copy()
-                counts = [0] * len(LABELS)
-                for y in v:
-                    k = col[y["vote"]]
-                    counts[k] += 1
-                    score = score + like[at[y["who"]], k]
-                p = np.exp(score - score.max())
-                p /= p.sum()
-                best = int(np.argmax(np.round(p, 12)))
-                n = len(v)
-                out.append((item, f, LABELS[best], float(p[best]), n, sum(c * (c - 1) for c in counts) / (n * (n - 1)) if n > 1 else None))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64()), strict=True)], names=["item", "field", "label", "certainty", "n_votes", "agreement"])
+            best, sure, n, alike = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows, "i4"), np.zeros(b.num_rows)
+            for f, rows, arrays in _by_field(b):
+                post = posteriors(*arrays, len(rows), p[f], shares[f])
+                counts = np.bincount(arrays[0] * k + arrays[2], minlength=len(rows) * k).reshape(-1, k)
+                top = np.argmax(np.round(post, 12), 1)
+                cast = counts.sum(1)
+                best[rows], sure[rows], n[rows] = top, post[np.arange(len(rows)), top], cast
+                alike[rows] = (counts * (counts - 1)).sum(1) / np.maximum(cast * (cast - 1), 1)
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("field"), pa.array([LABELS[x] for x in best], pa.string()), pa.array(sure), pa.array(n), pa.array(alike, mask=n < 2)], names=["item", "field", "label", "certainty", "n_votes", "agreement"])
 
     return items.mapInArrow(run, "item string, field string, label string, certainty double, n_votes int, agreement double")
 
@@ -193,16 +271,17 @@ def found(df: DataFrame) -> DataFrame:
     return labelled(df).select(F.col("item").alias("audit_id"), "field", "label")
 
 
-def reviewers(df: DataFrame, *, most_annotators: int = 2_000) -> DataFrame:
-    """``field``, ``who``, labels given, ``reliability`` (share of items known) and the mean chance-corrected agreement with others."""
-    votes = written(decisions(df), "latest-votes")
-    items = written(_items(votes), "items-with-votes")
-    annotators, model, counts, given = _model(items, votes, most_annotators)
+def reviewers(df: DataFrame, *, most_annotators: int = 2_000, rounds: int = 12) -> DataFrame:
+    """``field``, ``who``, labels given, ``reliability`` (expected share of right votes) and ``agreement`` with others, corrected for the chance that both annotators' own rates give."""
+    _, annotators, p, shares, counts, given = _learn(df, most_annotators, rounds)
     out = []
-    for f, (r, _, prior) in sorted(model.items()):
-        n, agree = (x - np.diag(np.diag(x)) for x in counts[f])
-        chance = float((prior**2).sum())
+    for f in sorted(given):
+        rate = given[f] / np.maximum(given[f].sum(1, keepdims=True), 1)
+        n = counts[f][0] * (1 - np.eye(len(annotators)))
+        alike = counts[f][1:].sum(0) * (1 - np.eye(len(annotators)))
+        chance = rate @ rate.T
         for i, a in enumerate(annotators):
-            shared = float(n[i].sum())
-            out.append((f, a, int(given[f][i].sum()), float(r[i]), float((agree[i].sum() / shared - chance) / (1 - chance)) if shared else None))
+            both, by_chance = float(n[i].sum()), float((n[i] * chance[i]).sum())
+            kappa = (float(alike[i].sum()) - by_chance) / (both - by_chance) if both > by_chance else None
+            out.append((f, a, int(given[f][i].sum()), float((shares[f] * np.diag(p[f][i])).sum()), kappa))
     return df.sparkSession.createDataFrame(out, "field string, who string, n_labels bigint, reliability double, agreement double")
