@@ -69,9 +69,9 @@ def input_parts(df: DataFrame, per_part: int = 16 << 20, least: int = 1) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors outside this machine the package's code, once a session."""
+    """Give the Python workers the package's code, wherever they run; once a session."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
     here = Path(__file__).resolve().parent
