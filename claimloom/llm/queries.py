@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import canonical, consensus, duplicates, neighbours, quality, sentences
+from claimloom.llm import canonical, consensus, duplicates, mixing, neighbours, packing, quality, sentences
 from claimloom.session import ship
 
 
@@ -66,7 +66,23 @@ def p9_functions(spark: SparkSession, sf: str) -> DataFrame:
     return quality.accuracies(_t(spark, sf, "documents"))
 
 
-_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p2_found, p2_recall, p3_found, p6_found, p6_items, p6_reviewers, p9_found, p9_statistics, p9_functions)
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(_t(spark, sf, "documents"), _t(spark, sf, "container_specs"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, sf), _t(spark, sf, "container_specs"))
+
+
+def p8_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+
+
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p2_found, p2_recall, p3_found, p6_found, p6_items, p6_reviewers, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_statistics, p9_functions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
