@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.plans import problems
+from claimloom.plans import evidence, problems
 from claimloom.session import ship
 
 
@@ -19,8 +19,13 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _shipped(f) for k, f in problems.QUERIES.items()}
+    return {k: _shipped(f) for k, f in (evidence.QUERIES | problems.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(evidence.SQL)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged claims with most evidence."""
+    return evidence.claims_merged(spark, sf).orderBy("evidence_count", "claim_id", ascending=[False, True]).limit(20)
