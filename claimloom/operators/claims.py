@@ -12,22 +12,26 @@ from pyspark.sql import functions as F
 from claimloom.functions import scoring, text
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that are worked out once a row, whatever later filters and projections use them. A generator of one row keeps Catalyst from repeating their expressions in each use, which for these nested conditions would outgrow generated code."""
+    kept = [c for c in df.columns if c not in values]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def processed(claims: DataFrame, *, ordinal: str = "claim_row_id") -> DataFrame:
     """Normalised names, types, effect, health meaning and direction of every claim, its id, and why it is rejected (null: accepted). The first reason that applies is given."""
     name = lambda c: text.clean_format(F.lower(text.strip(F.coalesce(F.col(c), F.lit("")))))
-    rows = claims.select(
-        F.col(ordinal).alias("ordinal"),
-        text.strip(F.col("pmid")).alias("pmid"),
-        name("subject_name").alias("subject"),
-        name("object_name").alias("object"),
-        text.subject_type(F.col("subject_name"), F.col("subject_type")).alias("subject_type"),
-        F.when(text.norm(F.col("object_type")) == "", "outcome").otherwise(text.norm(F.col("object_type"))).alias("object_type"),
-        F.col("direction").alias("given_direction"),
-        text.effect_direction(F.col("effect_direction")).alias("effect_direction"),
-        text.health_interpretation(F.col("health_interpretation")).alias("health_interpretation"),
-        "effect_size", "p_value", "study_type", "evidence_snippet",
-    )
-    rows = rows.withColumn("direction", text.claim_direction(F.col("given_direction"), F.col("effect_direction"), F.col("health_interpretation"), F.col("object")))
+    rows = claims.select(F.col(ordinal).alias("ordinal"), text.strip(F.col("pmid")).alias("pmid"), "subject_name", "object_name", F.col("subject_type").alias("given_type"), F.col("object_type").alias("given_object_type"), F.col("direction").alias("given_direction"), F.col("effect_direction").alias("given_effect"), F.col("health_interpretation").alias("given_health"), "effect_size", "p_value", "study_type", "evidence_snippet")
+    rows = once(
+        rows,
+        subject=name("subject_name"),
+        object=name("object_name"),
+        subject_type=text.subject_type(F.col("subject_name"), F.col("given_type")),
+        object_type=F.when(text.norm(F.col("given_object_type")) == "", "outcome").otherwise(text.norm(F.col("given_object_type"))),
+        effect_direction=text.effect_direction(F.col("given_effect")),
+        health_interpretation=text.health_interpretation(F.col("given_health")),
+    )
+    rows = once(rows, direction=text.claim_direction(F.col("given_direction"), F.col("effect_direction"), F.col("health_interpretation"), F.col("object")))
     food = F.col("subject_type") == "food"
     reason = (
         F.when(~F.col("subject_type").isin("food", "strain"), "subject type")
@@ -37,7 +41,8 @@ def processed(claims: DataFrame, *, ordinal: str = "claim_row_id") -> DataFrame:
         .when(F.col("direction") == "", "direction")
         .when(text.is_no_result(F.col("evidence_snippet")), "no result")
     )
-    return rows.withColumn("reject_reason", reason).withColumn("claim_id", text.claim_id(F.col("subject"), F.col("object"), F.col("direction")))
+    rows = once(rows, reject_reason=reason, claim_id=text.claim_id(F.col("subject"), F.col("object"), F.col("direction")))
+    return rows.drop("subject_name", "object_name", "given_type", "given_object_type", "given_effect", "given_health")
 
 
 def accepted(rows: DataFrame) -> DataFrame:

@@ -50,7 +50,8 @@ def paper_scores(articles: DataFrame, institutions: Sequence[str], funders: dict
     hits = F.size(F.filter(affil, lambda a: text.contains_any(F.lower(F.coalesce(a, F.lit(""))), [i.lower() for i in institutions])))
     known = F.when(F.size(affil) == 0, 0.0).otherwise(scoring.rung(hits, [(5, 10.0), (3, 9.0), (2, 8.0), (1, 6.0)], 3.0))
     agencies = F.transform(F.coalesce("grants", F.array().cast(articles.schema["grants"].dataType)), lambda g: F.lower(F.coalesce(g["agency"], F.lit(""))))
-    count = {k: F.size(F.filter(agencies, lambda a, v=v: text.contains_any(a, [x.lower() for x in v]))) for k, v in funders.items()}
+    naming = lambda words: lambda a: text.contains_any(a, [x.lower() for x in words])
+    count = {k: F.size(F.filter(agencies, naming(v))) for k, v in funders.items()}
     kind = (
         F.when(F.size(agencies) == 0, "none")
         .when((count["industry"] > 0) & ((count["government"] > 0) | (count["non_profit"] > 0)), "mixed")
