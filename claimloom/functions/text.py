@@ -13,6 +13,13 @@ from claimloom import lexicons as L
 SPACE = r"[\s\x{a0}]"
 
 
+def let(c: Column, *steps) -> Column:
+    """Apply functions one after the other, each to the last one's value. Every value is worked out once, where nested conditions would repeat it in each branch."""
+    for f in steps:
+        c = F.get(F.transform(F.array(c), f), F.lit(0))
+    return c
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
@@ -23,8 +30,18 @@ def norm(c: Column) -> Column:
 
 
 def contains_any(c: Column, terms: Sequence[str]) -> Column:
-    """One alternation instead of a chain of searches."""
-    return c.rlike("|".join(_quoted(t) for t in terms)) if terms else F.lit(False)
+    """One search instead of a chain: terms that contain others are left out, the rest share their beginnings in one pattern."""
+    least = [t for t in dict.fromkeys(terms) if not any(o != t and o in t for o in terms)]
+    return c.rlike(_pattern(least)) if least else F.lit(False)
+
+
+def _pattern(terms: Sequence[str]) -> str:
+    """A pattern for any of the terms, factored by their first letters."""
+    by: dict[str, list[str]] = {}
+    for t in terms:
+        by.setdefault(t[0], []).append(t[1:])
+    parts = [_quoted(k) + ("" if "" in v else _quoted(v[0]) if len(v) == 1 else _pattern(v)) for k, v in by.items()]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
 def _quoted(t: str) -> str:
@@ -37,13 +54,11 @@ def lookup(c: Column, table: dict[str, Sequence[str]]) -> Column:
 
 
 def effect_direction(c: Column, synonyms: dict[str, Sequence[str]] = L.EFFECT_SYNONYMS) -> Column:
-    n = norm(c)
-    return F.coalesce(lookup(n, synonyms), F.when(n.isin(*L.EFFECT_DIRECTIONS), n), F.lit("unclear"))
+    return let(norm(c), lambda n: F.coalesce(lookup(n, synonyms), F.when(n.isin(*L.EFFECT_DIRECTIONS), n), F.lit("unclear")))
 
 
 def health_interpretation(c: Column, synonyms: dict[str, Sequence[str]] = L.HEALTH_SYNONYMS) -> Column:
-    n = norm(c)
-    return F.coalesce(lookup(n, synonyms), F.when(n.isin(*L.HEALTH_INTERPRETATIONS), n), F.lit("unclear"))
+    return let(norm(c), lambda n: F.coalesce(lookup(n, synonyms), F.when(n.isin(*L.HEALTH_INTERPRETATIONS), n), F.lit("unclear")))
 
 
 def inferred_health(effect: Column, outcome: Column, adverse: Sequence[str] = L.ADVERSE_OUTCOMES, beneficial: Sequence[str] = L.BENEFICIAL_OUTCOMES) -> Column:
@@ -72,17 +87,20 @@ def claim_direction(value: Column, effect: Column, health: Column, outcome: Colu
 
 
 def subject_type(subject: Column, kind: Column, in_scope: Sequence[str] = L.IN_SCOPE_SUBJECTS) -> Column:
-    s, k = norm(subject), norm(kind)
-    compound = contains_any(s, L.COMPOUND_MARKERS)
-    prefixed = s.rlike("^(?:" + "|".join(L.STRAIN_PREFIXES) + ")")
-    return (
-        F.when(prefixed & ~compound, "strain")
-        .when((k == "strain") & compound, "food")
-        .when(k.isin("strain", "food"), k)
-        .when(k.isin(*L.INTERVENTION_TYPES), "food")
-        .when(contains_any(s, in_scope), "food")
-        .otherwise(F.when(k != "", k).otherwise("food"))
-    )
+    def of(x: Column) -> Column:
+        s, k = x["s"], x["k"]
+        compound = contains_any(s, L.COMPOUND_MARKERS)
+        prefixed = s.rlike("^(?:" + "|".join(L.STRAIN_PREFIXES) + ")")
+        return (
+            F.when(prefixed & ~compound, "strain")
+            .when((k == "strain") & compound, "food")
+            .when(k.isin("strain", "food"), k)
+            .when(k.isin(*L.INTERVENTION_TYPES), "food")
+            .when(contains_any(s, in_scope), "food")
+            .otherwise(F.when(k != "", k).otherwise("food"))
+        )
+
+    return let(F.struct(norm(subject).alias("s"), norm(kind).alias("k")), of)
 
 
 def subject_in_scope(subject: Column, kind: Column, in_scope: Sequence[str] = L.IN_SCOPE_SUBJECTS, out: Sequence[str] = L.OUT_OF_SCOPE_SUBJECTS) -> Column:
@@ -123,13 +141,6 @@ def clean_format(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, rf"(?:{SPACE}|_)+", "_"), "^_+|_+$", "")
 
 
-def let(c: Column, *steps) -> Column:
-    """Apply functions one after the other, each to the last one's value. Every value is worked out once, where nested conditions would repeat it in each branch."""
-    for f in steps:
-        c = F.get(F.transform(F.array(c), f), F.lit(0))
-    return c
-
-
 def food_name(c: Column) -> Column:
     """A food's canonical spelling: synonyms in order, then special cases in order, then the format."""
     def synonym(a: str, b: str):
