@@ -9,6 +9,7 @@ from claimloom import lexicons as L
 from claimloom.functions import scoring, text, vectors
 from claimloom.operators import audit, benchmarks, claims, corpus, entities, evidence, graph, quality, retrieval, transcripts
 from claimloom.plans import dialect as D
+from claimloom.streaming import incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -763,3 +764,24 @@ def transcripts_scored(spark, sf):
     a = rows.groupBy(F.col("pmid").alias("item_id")).agg(F.concat(F.lit("See "), F.array_join(F.array_sort(F.collect_set(part)), "; "), F.when(F.max("ordinal") % 3 == 0, ". There is no direct evidence.").otherwise(".")).alias("response"), F.max("ordinal").alias("o"))
     gold = a.where("o % 2 = 0").select("item_id", F.col("item_id").alias("pmid"))
     return transcripts.scored_answers(a, gold)
+
+
+# streams and runs ------------------------------------------------------------------------------------------------------------
+
+
+@query(D.with_merged("select claim_id, subject, object, direction, evidence_count, confidence, first_seen, last_updated from m"))
+def stream_merged(spark, sf):
+    out = incremental.merge_directory(spark, f"{sf}/extracted_claims.parquet", "claim-stream")
+    return out.select("claim_id", "subject", "object", "direction", "evidence_count", "confidence", "first_seen", "last_updated")
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by 1, 2")
+def stream_windows(spark, sf):
+    return incremental.windowed_events(_t(spark, sf, "events").where("ts is not null")).withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query()
+def run_check_points(spark, sf):
+    rows = _rows(spark, sf)
+    step = rows.groupBy("pmid").agg(F.min("ordinal").alias("ordinal"), F.countDistinct("subject").alias("new_entities"), F.count_if(F.col("reject_reason").isNotNull()).alias("warnings"))
+    return incremental.check_points(step.withColumn("run_id", F.lit("run")))
