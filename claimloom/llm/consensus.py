@@ -213,11 +213,11 @@ def _learn(df: DataFrame, most_annotators: int, rounds: int) -> tuple[DataFrame,
         counts[r["field"]][:, r["i"], r["j"]] = [r["n"], *r["a"]]
     shares = {f: v.sum(0) / v.sum() for f, v in given.items()}
     d = fit(counts, given, shares)
-    p = {f: rates(d, given[f], shares[f]) for f in given}
+    start = p = {f: rates(d, given[f], shares[f]) for f in given}
     for _ in range(rounds):
         seen, total = _given_under(items, p, shares)
         shares = {f: (total[f] + 1) / (total[f] + 1).sum() for f in given}
-        p = refined(seen, p)
+        p = refined(seen, start)
     return items, annotators, p, shares, counts, given
 
 
@@ -245,7 +245,7 @@ def _given_under(items: DataFrame, p: dict[str, np.ndarray], shares: dict[str, n
     return {f: x[: m * k * k].reshape(m, k, k) for f, x in flat.items()}, {f: x[m * k * k :] for f, x in flat.items()}
 
 
-def labelled(df: DataFrame, *, most_annotators: int = 2_000, rounds: int = 12) -> DataFrame:
+def labelled(df: DataFrame, *, most_annotators: int = 2_000, rounds: int = 20) -> DataFrame:
     """``item``, ``field``, ``label``, its posterior ``certainty``, the votes' number and ``agreement``: the share of the item's pairs of votes that agree."""
     items, _, p, shares, _, _ = _learn(df, most_annotators, rounds)
     shared = df.sparkSession.sparkContext.broadcast((p, shares))
@@ -271,7 +271,7 @@ def found(df: DataFrame) -> DataFrame:
     return labelled(df).select(F.col("item").alias("audit_id"), "field", "label")
 
 
-def reviewers(df: DataFrame, *, most_annotators: int = 2_000, rounds: int = 12) -> DataFrame:
+def reviewers(df: DataFrame, *, most_annotators: int = 2_000, rounds: int = 20) -> DataFrame:
     """``field``, ``who``, labels given, ``reliability`` (expected share of right votes) and ``agreement`` with others, corrected for the chance that both annotators' own rates give."""
     _, annotators, p, shares, counts, given = _learn(df, most_annotators, rounds)
     out = []
