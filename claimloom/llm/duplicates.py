@@ -24,8 +24,8 @@ FIELDS = ("subject_name", "object_name", "direction")
 
 def canonical(c: Column) -> Column:
     """Letters and digits only, regardless of case; null where there are none."""
-    bare = F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
-    return F.nullif(F.lower(F.upper(bare)), F.lit(""))
+    bare = F.regexp_replace(F.upper(c), r"[^\p{L}\p{N}]+", "")  # in between, or Catalyst takes lower(upper(x)) for lower(x)
+    return F.nullif(F.lower(bare), F.lit(""))
 
 
 def trimmed(c: Column) -> Column:
