@@ -239,6 +239,9 @@ def _send(filed: DataFrame, centroids: tuple[np.ndarray, np.ndarray], held: np.n
 
 def _search(t: pa.Table, dim: int, k: int) -> pa.Table:
     """All queries of a shard against the entries of the pairs each of them visits."""
+    order = np.lexsort((-t.column("own").to_numpy(), t.column("id").to_numpy()))
+    ids = t.column("id").to_numpy()[order]
+    t = t.take(order[np.r_[True, ids[1:] != ids[:-1]]])  # rows delivered twice
     ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
     x = _unpack(t.column("v"), dim)
     is_entry = own >= 0
