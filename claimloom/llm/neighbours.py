@@ -5,7 +5,7 @@ sample; every vector is filed under its pair of centroids. Each vector then visi
 taken from a heap, until the pairs visited hold ``candidates`` entries (all entries of a visited pair count, none are cut), and
 what is found is reranked by exact cosine.
 
-For Spark, the pairs that share the first centroid form one shard. An entry is sent to its shard once, a query once to each
+For Spark, the pairs of first centroids that lie together form one shard. An entry is sent to its shard once, a query once to each
 shard it visits, both as 16-bit integers per coordinate (renormalised after arrival; the error of a cosine is about 1e-6), so a
 vector moves a few times its own size however large the collection is. Shards of more than ``shard_rows`` entries are split by a
 hash of the id and their queries visit every part. Of more than k + 1 exact copies only the k + 1 smallest ids are filed; the
@@ -136,7 +136,7 @@ def _top(ids: np.ndarray, q: np.ndarray, e: np.ndarray, qid: np.ndarray, k: int)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, "i8"), np.zeros(0))
 
 
-def most_similar(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", *, k: int = 5, dim: int = DIM, candidates: int = 600, sample: int = SAMPLE, shard_rows: int = 200_000, cell_rows: int = 48) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", *, k: int = 5, dim: int = DIM, candidates: int = 2500, sample: int = SAMPLE, shard_rows: int = 200_000, cell_rows: int = 24) -> DataFrame:
     """``id``, ``other``, ``cosine``: for every usable vector the k most similar others."""
     data = usable(df, id_col, vec, dim)
     n = df.count()
@@ -149,9 +149,10 @@ def most_similar(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
     held = np.zeros((k1, k2), "i8")
     for r in bounded(filed.groupBy("c1", "c2").count(), k1 * k2, "centroid pairs"):
         held[r["c1"], r["c2"]] = r["count"]
-    parts = np.maximum(1, -(-held.sum(1) // shard_rows)).astype("i4")
-    sent = _send(filed, centroids, held, parts, candidates, dim)
-    hits = sent.groupBy("c1", "part").applyInArrow(lambda t: _search(t, dim, k), "id bigint, other bigint, cosine double")
+    groups = _groups(centroids[0], max(k1 / 6, held.sum() / 50_000))
+    parts = np.maximum(1, -(-np.bincount(groups, held.sum(1)).astype("i8") // shard_rows)).astype("i4")
+    sent = _send(filed, centroids, held, groups, parts, candidates, dim)
+    hits = sent.groupBy("shard", "part").applyInArrow(lambda t: _search(t, dim, k), "id bigint, other bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     top = hits.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
     return top if answered is None else top.unionByName(answered)
@@ -171,6 +172,14 @@ def _centroids(data: DataFrame, n: int, dim: int, sample: int, cell_rows: int) -
     return kmeans(x[:, : dim // 2], k), kmeans(x[:, dim // 2 :], k)
 
 
+def _groups(c: np.ndarray, wanted: float) -> np.ndarray:
+    """The group of each centroid: so many groups of centroids that lie together, or every one on its own."""
+    if wanted >= len(c):
+        return np.arange(len(c))
+    g = kmeans(c, max(1, round(wanted)))
+    return ((g * g).sum(1)[None] - 2 * c @ g.T).argmin(1)
+
+
 def _thin_copies(data: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     """Leave out the exact copies beyond the k + 1 smallest ids of a vector; their neighbours are those ids."""
     key = F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"))
@@ -205,14 +214,14 @@ def _file(data: DataFrame, centroids: tuple[np.ndarray, np.ndarray], dim: int) -
     return data.mapInArrow(run, "id bigint, v binary, c1 int, c2 int")
 
 
-def _send(filed: DataFrame, centroids: tuple[np.ndarray, np.ndarray], held: np.ndarray, parts: np.ndarray, candidates: int, dim: int) -> DataFrame:
-    """Each entry to its shard and each query to the shards it visits. ``own`` is the entry's second centroid, ``cells`` those the query visits; where both meet one row carries both."""
-    shared = filed.sparkSession.sparkContext.broadcast((centroids, held, parts))
-    schema = pa.schema([("c1", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("v", pa.binary()), ("own", pa.int32()), ("cells", pa.binary())])
+def _send(filed: DataFrame, centroids: tuple[np.ndarray, np.ndarray], held: np.ndarray, groups: np.ndarray, parts: np.ndarray, candidates: int, dim: int) -> DataFrame:
+    """Each entry to its shard and each query to the shards it visits. ``own`` is the number of the entry's pair, ``cells`` those of the pairs the query visits; where both meet one row carries both."""
+    shared = filed.sparkSession.sparkContext.broadcast((centroids, held, groups.tolist(), parts.tolist()))
+    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("v", pa.binary()), ("own", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (a, b), n, split = shared.value
-        na, nb = (a * a).sum(1), (b * b).sum(1)
+        (a, b), n, group, split = shared.value
+        na, nb, k2 = (a * a).sum(1), (b * b).sum(1), len(b)
         for t in batches:
             if not t.num_rows:
                 continue
@@ -222,19 +231,20 @@ def _send(filed: DataFrame, centroids: tuple[np.ndarray, np.ndarray], held: np.n
             d1, d2 = na[None] - 2 * x[:, : dim // 2] @ a.T, nb[None] - 2 * x[:, dim // 2 :] @ b.T
             out: list[list] = [[] for _ in schema]
             for r in range(t.num_rows):
-                by: dict[int, list[int]] = {own1[r]: []}
+                at = group[own1[r]]
+                by: dict[int, list[int]] = {at: []}
                 for i, j in visit(d1[r], d2[r], n, candidates):
-                    by.setdefault(i, []).append(j)
-                for c, cells in by.items():
-                    packed = np.array(cells, "<i2").tobytes()
-                    home = ids[r] % int(split[c]) if c == own1[r] else -1
-                    for p in range(int(split[c])):
+                    by.setdefault(group[i], []).append(i * k2 + j)
+                for shard, cells in by.items():
+                    packed = np.array(cells, "<i4").tobytes()
+                    home = ids[r] % split[shard] if shard == at else -1
+                    for p in range(split[shard]):
                         if cells or p == home:
-                            for col, val in zip(out, (c, p, ids[r], raw[r], own2[r] if p == home else -1, packed), strict=True):
+                            for col, val in zip(out, (shard, p, ids[r], raw[r], own1[r] * k2 + own2[r] if p == home else -1, packed), strict=True):
                                 col.append(val)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return filed.mapInArrow(run, "c1 int, part int, id bigint, v binary, own int, cells binary")
+    return filed.mapInArrow(run, "shard int, part int, id bigint, v binary, own int, cells binary")
 
 
 def _search(t: pa.Table, dim: int, k: int) -> pa.Table:
@@ -249,9 +259,9 @@ def _search(t: pa.Table, dim: int, k: int) -> pa.Table:
     o = np.lexsort((e_ids, e_own))
     e_ids, e_own, e = e_ids[o], e_own[o], e[o]
     cells = t.column("cells").to_pylist()
-    many = np.array([len(c) // 2 for c in cells])
+    many = np.array([len(c) // 4 for c in cells])
     q = np.repeat(np.arange(len(ids)), many)
-    c = np.frombuffer(b"".join(cells), "<i2").astype(int)
+    c = np.frombuffer(b"".join(cells), "<i4").astype(int)
     o = np.argsort(c, kind="stable")
     q, c = q[o], c[o]
     found = []
