@@ -41,6 +41,7 @@ _SIGN = "\u0300-\u036f\u0483-\u0487\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f
 _SIGNS = re.compile(f"[{_SIGN}]")
 _WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_SIGN}])*(?:['’-][^\W\d_]+)*")
 _DIGIT = re.compile(r"\d")
+_UPPER = re.compile("[A-ZÀ-ÞА-Я]")
 _MARK = re.compile(r"\s*(?:(?:--?|[•*+‣◦▪●·–])\s+|\(?\d{1,3}[.)]\s+|\(?[a-z]{1,2}\)\s+|\[\d{1,3}\]\s+|(?:[ivx]+)[.)]\s+)")
 _ENDS = frozenset(".!?…。！？｡।۔؟:")
 _AFTER = "\"'”’»)]」』 \t\r\u00a0"
@@ -49,7 +50,7 @@ _CELL = re.compile(r"\s*(?:[-+−]?\d[\d.,]*\s*%?|NA|N/A|n\.?d\.?|-|–|—|nan|
 _LOG = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\b(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b|^\s*(?:at \w+\.|Traceback |File \")|^\s*[\[{<].*[\]}>],?\s*$")
 _REFERENCE = re.compile(r"(?:19|20)\d\d\s*;\s*\d+|\bdoi:|\bet al\.?,? (?:19|20)\d\d|\d+\s*\(\d+\)\s*:\s*\d+|(?:19|20)\d\d\)?[.,;:]? *(?:vol\.? *)?\d+ *: *\d+")
 _BROKEN = re.compile("[\u0080-\u009f\ufffd]|[ÂÃÐÑØÙ][^\x00-\x7f]|[ãåäæçèéï][\u0080-\u00bf]|â€")
-_MIXED = re.compile(r"(?<!\S)(?:(?=\S*\d)(?=\S*[A-Za-z])[\x21-\x7e]+|[\x21-\x7e]*[|~^][\x21-\x7e]+|[\x21-\x7e]+[|~^%\\][A-Za-z|~^%\\]*)(?!\S)")
+_MIXED = re.compile(r"(?:(?=.*\d)(?=.*[A-Za-z])[\x21-\x7e]+|[\x21-\x7e]*[|~^][\x21-\x7e]+|[\x21-\x7e]+[|~^%\\][A-Za-z|~^%\\]*)\Z")
 _WIDE = "฀-๿぀-ヿ㐀-鿿豈-﫿"
 _WIDE_CHAR = re.compile(f"[{_WIDE}]")
 _THAI = re.compile("[\u0e00-\u0e7f]")
@@ -73,9 +74,10 @@ def statistics(text: str | None) -> dict[str, float]:
     wide, thai = (0, 0) if text.isascii() else (len(_WIDE_CHAR.findall(text)), len(_THAI.findall(text)))
     found = _WORD.findall(_WIDE_CHAR.sub(" ", text) if wide else text)
     n_words = len(found) + (wide - thai) / 2 + thai / 5  # scripts without spaces: the usual length of a word
-    letters = sum(map(len, found)) - sum(len(_SIGNS.findall(w)) for w in found if not w.isascii())
-    lower = [w.lower() for w in found]
-    common = sum(w in COMMON for w in lower)
+    plain = text.isascii()
+    letters = sum(map(len, found)) - (0 if plain else sum(len(_SIGNS.findall(w)) for w in found if not w.isascii()))
+    lower = list(map(str.lower, found))
+    common = sum(map(COMMON.__contains__, lower))
     wide_common = len(_FUNCTION_CHARS.findall(text)) if wide else 0
     digits = len(_DIGIT.findall(text))
     tokens = text.split()
@@ -83,7 +85,7 @@ def statistics(text: str | None) -> dict[str, float]:
     out["mean_word_length"] = letters / len(found) if found else 0.0
     out["symbol_ratio"] = max(0.0, 1 - (letters + wide + digits + _marks(text)) / solid)
     out["digit_ratio"] = digits / solid
-    out["upper_ratio"] = len(re.findall(r"[A-ZÀ-ÞА-Я]", text)) / solid
+    out["upper_ratio"] = len(_UPPER.findall(text)) / solid
     out["terminal_line_share"] = sum(map(_ended, lines)) / len(lines)
     out["common_word_share"] = (common + wide_common * 1.2) / (n_words or 1)
     stops = len(_STOPS.findall(text))
@@ -93,11 +95,11 @@ def statistics(text: str | None) -> dict[str, float]:
     column, cells, numbers = columns(lines)
     out["column_share"], out["number_cell_share"] = column / dense, numbers / cells if cells else 0.0
     out["short_line_share"] = sum(len(x) for x in lines if _width(x) <= 48 and len(x.split()) <= 8 and not _ended(x)) / dense if len(lines) > 2 else 0.0
-    out["reference_share"] = sum(len(x) for x in lines if _REFERENCE.search(x)) / dense
+    out["reference_share"] = sum(len(x) for x in lines if _REFERENCE.search(x)) / dense if digits > 4 else 0.0
     out["log_share"] = sum(len(x) for x in lines if _LOG.search(x)) / dense
-    out["navigation_share"] = sum(w in NAVIGATION for w in lower) / len(lower) if lower else 0.0
-    out["mixed_token_share"] = len(_MIXED.findall(text)) / len(tokens)
-    out["broken_share"] = len(_BROKEN.findall(text)) / solid
+    out["navigation_share"] = sum(map(NAVIGATION.__contains__, lower)) / len(lower) if lower else 0.0
+    out["mixed_token_share"] = sum(map(_mixed, tokens)) / len(tokens)
+    out["broken_share"] = 0.0 if plain else len(_BROKEN.findall(text)) / solid
     units = lower if len(lower) >= wide / 4 else re.findall(r"[^\s。！？、，；]{2,}", text)
     out["distinct_share"] = len(set(units)) / len(units) if units else 0.0
     items = [x for x in re.split(r"[,;、，；|]|>>|»\s|\s[·•/]\s", lines[0] if len(lines) == 1 else text) if x.strip()]
@@ -106,6 +108,11 @@ def statistics(text: str | None) -> dict[str, float]:
     return out
 
 
+def _mixed(token: str) -> bool:
+    """A token of letters with digits or odd symbols in it."""
+    return not token.isalpha() and _MIXED.match(token) is not None
+
+
 def _ended(line: str) -> bool:
     """Does a line end like a sentence?"""
     bare = line.rstrip(_AFTER)
