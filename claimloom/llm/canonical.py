@@ -81,27 +81,35 @@ def weighted_distance(a: str, b: str, most: float) -> float:
         return inf
     drop = [inf if x.isdigit() else 0.6 if i and x == a[i - 1] else 1.0 for i, x in enumerate(a)]
     add = [inf if y.isdigit() else 0.6 if j and y == b[j - 1] else 1.0 for j, y in enumerate(b)]
+    digits = not (a.isalpha() and b.isalpha())
     rows = [[0.0] * (m + 1) for _ in range(n + 1)]
     for j in range(m):
         rows[0][j + 1] = rows[0][j] + add[j]
     last: dict[str, int] = {}
     for i in range(1, n + 1):
-        x, row, prev, at = a[i - 1], rows[i], rows[i - 1], 0
-        row[0] = prev[0] + drop[i - 1]
-        for j in range(1, m + 1):
-            y = b[j - 1]
-            if x == y:
-                best = prev[j - 1]
-            else:
-                best = prev[j - 1] + (inf if x.isdigit() or y.isdigit() else 0.8 if x in _VOWELS and y in _VOWELS else 1.0)
-            best = min(best, row[j - 1] + add[j - 1], prev[j] + drop[i - 1])
-            k = last.get(y, 0)
-            if k and at and x != y:
-                best = min(best, rows[k - 1][at - 1] + (i - k - 1) + 0.8 + (j - at - 1))
+        x, row, prev, at, cut = a[i - 1], rows[i], rows[i - 1], 0, drop[i - 1]
+        vowel, number = x in _VOWELS, digits and x.isdigit()
+        left = low = row[0] = prev[0] + cut
+        for j, y in enumerate(b, 1):
+            best = prev[j - 1]
+            if x != y:
+                best += inf if number or digits and y.isdigit() else 0.8 if vowel and y in _VOWELS else 1.0
+                if at and (k := last.get(y, 0)):
+                    swapped = rows[k - 1][at - 1] + (i - k - 1) + 0.8 + (j - at - 1)
+                    if swapped < best:
+                        best = swapped
+            other = left + add[j - 1]
+            if other < best:
+                best = other
+            other = prev[j] + cut
+            if other < best:
+                best = other
             if x == y:
                 at = j
-            row[j] = best
-        if min(row) > most + 1:
+            row[j] = left = best
+            if best < low:
+                low = best
+        if low > most + 1:
             return inf
         last[x] = i
     return rows[n][m] if rows[n][m] <= most else inf
