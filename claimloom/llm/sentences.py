@@ -38,6 +38,8 @@ BULLETS = "-•*+‣◦▪●○■□➢➤✓"
 TITLES = frozenset("dr prof mr mrs ms st sr sra srta dra mme mlle hr frl dipl ing проф акад доц им".split())
 NUMBERED = frozenset("no nos nr fig figs eq eqs ref refs pp vol sec tab abb art núm num pág cap ex suppl рис табл стр гл ca approx max min env aprox vgl ок".split())
 MOST_LEXICON = 200_000
+#: Words a task counts before it hands them on.
+MOST_TABLE = 300_000
 
 _TERM = re.compile(r"[.!?…।॥۔؟。！？｡‼⁇⁈⁉]+")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
@@ -381,16 +383,28 @@ def count_words(texts: Iterator[str | None]) -> tuple[dict[str, list[int]], dict
 COUNTS = "kind string, word string, a bigint, b bigint, c bigint, d bigint"
 
 
+def _counted(table: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
+    words, counts = [*zip(*table, strict=True)] or [[], []], [*zip(*table.values(), strict=True)] or [[]] * 4
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in words), *(pa.array(x, pa.int64()) for x in counts)], names=["kind", "word", "a", "b", "c", "d"])
+
+
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """Counts over all texts: each task counts into its own table first, so only its vocabulary is shuffled. Kept are the words that can matter: possible abbreviations, and capitalised words met after one."""
+    """Counts over all texts: each task counts into its own table first, so only its vocabulary is shuffled. Nothing is left out before the sum, so batches and partitions do not matter; after it the words are kept that can matter: words before a period that something but a capital follows, and capitalised words met after one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[tuple[str, str], list[int]] = {}
         for b in batches:
             stop, start = count_words(b.column("text").to_pylist())
-            rows = [("stop", w, *n) for w, n in stop.items() if n[0] or n[1] or n[2] or len(w) <= 4 or "." in w]
-            rows += [("start", w, *n) for w, n in start.items() if w != w.lower()]
-            rows += [("small", w, 0, 0, n[2], 0) for w, n in start.items() if w == w.lower()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.string(), *[pa.int64()] * 4), strict=True)], names=["kind", "word", "a", "b", "c", "d"])
+            rows = [("stop", w, n) for w, n in stop.items()]
+            rows += [("start", w, [n[0], n[1], 0, n[3]]) for w, n in start.items() if w != w.lower()]  # small letters are counted once, by the next line
+            rows += [("small", w, [0, 0, n[2], 0]) for w, n in start.items() if w == w.lower()]
+            for kind, w, n in rows:
+                held = table.get((kind, w))
+                table[kind, w] = n if held is None else [x + y for x, y in zip(held, n, strict=True)]
+            if len(table) > MOST_TABLE:
+                yield _counted(table)
+                table = {}
+        yield _counted(table)
 
     total = docs.mapInArrow(run, COUNTS).groupBy("kind", "word").agg(*[F.sum(c).alias(c) for c in "abcd"])
     total = written(total, "word-counts")

@@ -77,3 +77,17 @@ def test_a_lexicon_of_any_size_gives_the_same(spark):
     a = sorted(map(tuple, S.found(full, claims).collect()))
     b = sorted(map(tuple, S.found(full, claims, most_lexicon=0).collect()))
     assert a == b and len(a) > 60
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_batches_do_not_change_the_counts(spark, size):
+    texts = ["It fell in women. Lactis was given."] * 9 + ["Most women. had it. We saw Lactis and women, lactis too."] + ["It was ca. Lactis, not lactis."] * 3
+    stop, start = S.count_words(iter(texts))
+    want = {("stop", w, *n) for w, n in stop.items() if n[0] + n[1] + n[2]} | {("start", w, *n) for w, n in start.items() if w != w.lower() and n[3]}
+    assert stop["women"] == [1, 0, 0, 9] and ("start", "Lactis", *start["Lactis"]) in want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = {tuple(r) for r in S.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
