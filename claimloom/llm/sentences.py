@@ -111,6 +111,11 @@ def _before(text: str, at: int, low: int) -> str:
     return text[i:at]
 
 
+def _bare(w: str) -> str:
+    """The word without the marks it may open with."""
+    return w.lstrip("-–—'*_°")
+
+
 def _number(w: str) -> bool:
     return bool(w) and w[-1].isdigit() and w[0] in "0123456789+-−–.#"
 
@@ -145,6 +150,19 @@ class Splitter:
                     out.append((a, b))
         return out
 
+    @staticmethod
+    def lookups(text: str) -> set[tuple[str, str]]:
+        """Kind and word of all evidence that splitting the text can ask for, cut the way ``period`` and ``ends`` cut it."""
+        out: set[tuple[str, str]] = set()
+        for s, e, bulleted in blocks(text):
+            if bulleted:
+                continue
+            stops = [m.start() for m in _TERM.finditer(text, s, e) if m[0] == "."]
+            if stops:
+                out.update(("stop", _bare(_before(text, at, s))) for at in stops)
+                out.update(("start", m[0]) for m in _WORD.finditer(text, stops[0], e))
+        return out
+
     def cuts(self, text: str, s: int, e: int) -> list[int]:
         """Positions inside a block where a sentence ends."""
         out: list[int] = []
@@ -231,7 +249,7 @@ class Splitter:
             return True
         if _devanagari(w[-1]) and not c.isdigit():
             return False
-        bare = w.lstrip("-–—'*_°")
+        bare = _bare(w)
         if w != bare and "°" in w:
             return True
         if quoted and len(bare) > 1:
@@ -446,8 +464,16 @@ def _split_with_join(docs: DataFrame, counts: DataFrame, keys: list[str], schema
     """The same with a lexicon of any size: the words of each text meet their counts in a shuffle."""
     docs = docs.where(F.length("text") > 0).withColumn("_row", F.xxhash64(*keys, "text"))
     docs = written(docs, "texts-to-split")
-    words = docs.select("_row", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\s\"“”«»()\[\]{},;:!?‘’/=<>]*[^\s\"“”«»()\[\]{},;:!?‘’/=<>.]"), F.lit(0)))).alias("word")).distinct()
-    own = words.join(counts, "word").groupBy("_row").agg(F.collect_list(F.struct("kind", "word", "a", "b", "c", "d")).alias("lex"))  # at most a text's own words
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = [sorted(Splitter.lookups(t)) for t in b.column("text").to_pylist()]
+            at = pa.array([i for i, x in enumerate(asked) for _ in x], pa.int32())
+            flat = [y for x in asked for y in x]
+            yield pa.RecordBatch.from_arrays([b.column("_row").take(at), pa.array([y[0] for y in flat], pa.string()), pa.array([y[1] for y in flat], pa.string())], names=["_row", "kind", "word"])
+
+    words = docs.select("_row", "text").mapInArrow(ask, "_row bigint, kind string, word string").distinct()
+    own = words.join(counts, ["kind", "word"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "word", "a", "b", "c", "d")).alias("lex"))  # at most a text's own words
     joined = docs.join(own, "_row", "left").select(*keys, "text", "lex")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

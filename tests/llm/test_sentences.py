@@ -91,3 +91,41 @@ def test_batches_do_not_change_the_counts(spark, size):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want
+
+
+HARD = ["It was vs. IL-6 there. End", "As approx. L’étude was read. End", "Seen in cf. Omega-3 users. End", "Run at °Xq. Bcd. “Then” so. (*Xq. Bcd-Efg) was; Xq. «Bcd» too."]
+EVIDENCE = ["the vs. small, vs. a, approx. no, cf. it, cf. we, approx. 5, Xq. a, Xq. no, *Xq. so we saw IL and IL, L’étude and L’étude, saw Omega and Omega, like Bcd and Bcd-Efg. Is ca. IL. Is ca. L’étude. Is ca. Omega. Is ca. Bcd."] * 6
+
+
+class Asked(dict):
+    def __init__(self, of, seen, kind):
+        super().__init__(of)
+        self.seen, self.kind = seen, kind
+
+    def get(self, w, default=None):
+        self.seen.add((self.kind, w))
+        return super().get(w, default)
+
+    def __contains__(self, w):
+        self.seen.add((self.kind, w))
+        return super().__contains__(w)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.sampled_from(HARD), st.text(alphabet=st.sampled_from("aBX .!?\n\"'(),“”«»’-5°*é"), max_size=60)), st.booleans())
+def test_lookups_hold_all_that_is_asked(text, known):
+    seen = set()
+    lex = S.Lexicon()
+    every = S.Splitter.lookups(text)
+    lex.stop = Asked({w: (5, 5, 5, 0) for k, w in every if k == "stop" and known}, seen, "stop")
+    lex.start = Asked({w: (0, 9, 0, 9) for k, w in every if k == "start" and known}, seen, "start")
+    S.Splitter(lex)(text)
+    assert seen <= every
+
+
+def test_a_joined_lexicon_knows_words_with_hyphens_and_apostrophes(spark):
+    full = spark.createDataFrame(list(enumerate(HARD + EVIDENCE)), "fulltext_id bigint, abstract string")
+    claims = spark.createDataFrame([], "claim_row_id bigint, evidence_snippet string")
+    a = sorted(map(tuple, S.found(full, claims).collect()))
+    assert a == sorted(map(tuple, S.found(full, claims, most_lexicon=0).collect()))
+    assert [r[2:] for r in a if r[1] < 3] == [(0, len(t) - 4) if i == 0 else (len(t) - 3, len(t)) for t in HARD[:3] for i in range(2)]
