@@ -25,15 +25,15 @@ def alias_lookup(entities: DataFrame) -> DataFrame:
     return rows.groupBy("entity_type", "alias").agg(F.min("entity_id").alias("entity_id"), F.count("*").alias("n"))
 
 
-def merged_greedily(names: DataFrame, pairs: DataFrame, *, least: float = 0.92) -> DataFrame:
+def merged_greedily(names: DataFrame, pairs: DataFrame, *, least: float = 0.92, types: tuple[str, ...] = ("food", "outcome")) -> DataFrame:
     """Canonical names as one pass in order of first sight gives them.
 
     ``names``: entity_type, key, first_id; ``pairs``: entity_type, entity_a, entity_b, similarity. A name joins the most similar
-    earlier canonical name if their similarity is at least ``least``, else it is canonical itself. Only names that have such a
-    pair take part in the pass; connected names are kept together by the smallest name they reach, found by repeated joins, so a
+    earlier canonical name, of equally similar ones the first seen, if their similarity is at least ``least``, else it is
+    canonical itself. Names of other types than ``types`` stay as they are. Only names that have such a pair take part in the pass; connected names are kept together by the smallest name they reach, found by repeated joins, so a
     group holds one cluster and not a whole type.
     """
-    close = pairs.where(F.col("similarity") >= least).select("entity_type", "entity_a", "entity_b", "similarity")
+    close = pairs.where((F.col("similarity") >= least) & F.col("entity_type").isin(*types)).select("entity_type", "entity_a", "entity_b", "similarity")
     both = close.select("entity_type", F.col("entity_a").alias("key"), F.col("entity_b").alias("other"), "similarity").unionByName(close.select("entity_type", F.col("entity_b").alias("key"), F.col("entity_a").alias("other"), "similarity"))
     linked = both.select("entity_type", "key").distinct()
     root = linked.withColumn("root", F.col("key"))
@@ -52,9 +52,10 @@ def merged_greedily(names: DataFrame, pairs: DataFrame, *, least: float = 0.92)
         for k, o, s in zip(g["key"], g["other"], g["similarity"], strict=True):
             near.setdefault(k, []).append((o, s))
         seen: dict[str, str] = {}
+        place: dict[str, int] = {}
         for k in g[["key", "first_id"]].drop_duplicates().sort_values(["first_id", "key"])["key"]:
-            best = max(((s, o) for o, s in near[k] if seen.get(o) == o), default=None)
-            seen[k] = best[1] if best else k
+            best = min(((-s, place[o], o) for o, s in near[k] if seen.get(o) == o), default=None)
+            place[k], seen[k] = len(place), best[2] if best else k
         return pd.DataFrame({"entity_type": g["entity_type"].iloc[0], "key": list(seen), "canonical": list(seen.values())})
 
     joined = grouped.groupBy("entity_type", "root").applyInPandas(one, "entity_type string, key string, canonical string")

@@ -6,10 +6,13 @@ they are when entities are merged or renamed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import node_id
+from claimloom.functions.text import name_words, node_id
+from claimloom.functions.vectors import name_similarity
 
 
 def entities(merged: DataFrame) -> DataFrame:
@@ -75,15 +78,13 @@ def conflicts(merged: DataFrame) -> DataFrame:
     return merged.groupBy("subject", "object").agg(d("positive").alias("n_positive"), d("negative").alias("n_negative"), F.sum("evidence_count").alias("evidence_count")).where("n_positive > 0 and n_negative > 0")
 
 
-def similar_names(names: DataFrame, *, threshold: float = 0.6) -> DataFrame:
+def similar_names(names: DataFrame, *, threshold: float = 0.6, parts: Callable[[Column], Column] = name_words) -> DataFrame:
     """Pairs of names of one type whose words have a Jaccard similarity of at least ``threshold``, each once.
 
     ``names`` has entity_type and name. Names meet only on their rarest words: of n words, two sets that similar share one of
     the n - ceil(threshold * n) + 1 rarest (prefix filter), so a frequent word brings nobody together.
     """
-    from claimloom.functions.text import name_words
-
-    sets = names.select("entity_type", "name", name_words(F.col("name")).alias("w")).where("size(w) > 0").distinct()
+    sets = names.select("entity_type", "name", parts(F.col("name")).alias("w")).where("size(w) > 0").distinct()
     words = sets.select("entity_type", "name", F.size("w").alias("n"), F.explode("w").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("df"))
     ranked = words.join(often, "word").groupBy("entity_type", "name").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
@@ -96,6 +97,37 @@ def similar_names(names: DataFrame, *, threshold: float = 0.6) -> DataFrame:
     return pairs.select(F.col("a.entity_type"), F.col("a.name").alias("entity_a"), F.col("b.name").alias("entity_b"), F.round(score, 6).alias("similarity")).where(F.col("similarity") >= threshold).distinct()
 
 
+def _grams(c: Column, n: int) -> Column:
+    """All stretches of ``n`` characters, each once."""
+    last = F.length(c) - n + 1
+    return F.array_distinct(F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, n)))
+
+
+def contained_names(names: DataFrame) -> DataFrame:
+    """Pairs of names of one type of which one contains the other, anywhere and regardless of case, each once.
+
+    A contained name meets the others on its rarest three characters, or as a whole if it is shorter; every name is there under
+    all its stretches of one to three characters.
+    """
+    rows = names.select("entity_type", "name", F.lower("name").alias("low")).where("low <> ''").distinct()
+    three = rows.select("entity_type", "name", "low", F.explode(_grams(F.col("low"), 3)).alias("gram"))
+    often = three.groupBy("entity_type", "gram").agg(F.count("*").alias("df"))
+    rarest = three.join(often, ["entity_type", "gram"]).groupBy("entity_type", "name", "low").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    inner = rarest.unionByName(rows.where("length(low) < 3").withColumn("gram", F.col("low")))
+    outer = three.unionByName(rows.select("entity_type", "name", "low", F.explode(F.concat(_grams(F.col("low"), 1), _grams(F.col("low"), 2))).alias("gram")).join(inner.where("length(low) < 3").select("entity_type", "gram").distinct(), ["entity_type", "gram"], "left_semi"))
+    a, b = inner.alias("a"), outer.alias("b")
+    pairs = a.join(b, (F.col("a.entity_type") == F.col("b.entity_type")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name") != F.col("b.name")) & F.col("b.low").contains(F.col("a.low")))
+    return pairs.select(F.col("a.entity_type"), F.least("a.name", "b.name").alias("entity_a"), F.greatest("a.name", "b.name").alias("entity_b")).distinct()
+
+
+def candidate_names(names: DataFrame, *, least: float = 0.45) -> DataFrame:
+    """Pairs of names of one type whose ``name_similarity`` is at least ``least``, each once: parts between underscores in common, or one name within the other."""
+    pairs = similar_names(names, threshold=least, parts=lambda c: F.array_distinct(F.split(F.lower(c), "_"))).drop("similarity")
+    if least <= 0.75:  # what a name within another is raised to
+        pairs = pairs.unionByName(contained_names(names)).distinct()
+    return pairs.withColumn("similarity", F.round(name_similarity(F.col("entity_a"), F.col("entity_b")), 6)).where(F.col("similarity") >= least)
+
+
 def edited(merged: DataFrame, edits: DataFrame) -> DataFrame:
     """Claims after a table of edits: ``action``, ``entity_type``, ``name``, ``target``.
 

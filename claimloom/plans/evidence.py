@@ -153,10 +153,19 @@ def entities_similar(spark, sf):
     return graph.similar_names(_names(spark, sf))
 
 
+@query(
+    f"with e as (select distinct {D.norm('entity_type')} as entity_type, {D.name('name')} as name from extracted_entities where {D.name('name')} <> ''), w as (select *, list_distinct(string_split(lower(name), '_')) as w from e), "
+    "p as (select a.entity_type, a.name as entity_a, b.name as entity_b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) as j, contains(lower(a.name), lower(b.name)) or contains(lower(b.name), lower(a.name)) as c from w a join w b on a.entity_type = b.entity_type and a.name < b.name), "
+    "s as (select entity_type, entity_a, entity_b, round(case when c then greatest(j, 0.75) else j end, 6) as similarity from p) select * from s where similarity >= 0.45"
+)
+def entities_candidates(spark, sf):
+    return graph.candidate_names(_names(spark, sf))
+
+
 @query()
 def entities_merged(spark, sf):
     seen = entities.first_seen(_t(spark, sf, "extracted_entities"))
-    return entities.merged_greedily(seen, graph.similar_names(_names(spark, sf)), least=0.75)
+    return entities.merged_greedily(seen, graph.candidate_names(_names(spark, sf), least=0.92))
 
 
 # graph -----------------------------------------------------------------------------------------------------------------------

@@ -239,3 +239,28 @@ def test_check_points():
     assert incremental.stops([(1, 0, 0)] * 3, articles=2) == [False, True, True]
     assert incremental.stops([(1, 80, 0), (1, 0, 1), (1, 0, 2)]) == [True, False, True]
     assert incremental.stops([]) == []
+
+
+def test_candidate_names_equal_brute_force(spark):
+    import random
+
+    random.seed(5)
+    names = sorted({"_".join(random.choices(["milk", "buttermilk", "a", "kvass", "ka", "apple", "soy", "tea", "steak", "", "oat"], k=random.randint(1, 5))) for _ in range(250)} - {""} | {"milk", "milk_soy", "a", "steak"})
+    df = spark.createDataFrame([(t, n) for n in names for t in ("food", "strain")][:-1], "entity_type string, name string")
+
+    def score(a, b):
+        x, y = set(a.split("_")), set(b.split("_"))
+        return max(len(x & y) / len(x | y), 0.75 if a in b or b in a else 0)
+
+    got = {(r["entity_a"], r["entity_b"]): r["similarity"] for r in graph.candidate_names(df).where("entity_type = 'food'").collect()}
+    assert got == {(a, b): round(score(a, b), 6) for a in names for b in names if a < b and score(a, b) >= 0.45}
+    assert got["milk", "milk_soy"] >= 0.75 and any("steak" in k[1] and k[0] == "a" for k in got)
+    high = {(r["entity_a"], r["entity_b"]) for r in graph.candidate_names(df, least=0.92).where("entity_type = 'food'").collect()}
+    assert high == {k for k, v in got.items() if v >= 0.92}
+
+
+def test_greedy_merging_is_for_foods_and_outcomes_from_092(spark):
+    names = spark.createDataFrame([(t, n, i) for t in ("food", "strain") for i, n in enumerate(["soy_tea", "milk_tea", "tea_milk", "milk"])] + [("food", "b", 11), ("food", "a", 12), ("food", "c", 13)], "entity_type string, key string, first_id int")
+    pairs = graph.candidate_names(names.select("entity_type", F.col("key").alias("name"))).unionByName(spark.createDataFrame([("food", "a", "c", 0.95), ("food", "b", "c", 0.95)], "entity_type string, entity_a string, entity_b string, similarity double"))
+    got = {(r["entity_type"], r["key"]): r["canonical"] for r in entities.merged_greedily(names, pairs).collect()}
+    assert {k: v for k, v in got.items() if k[1] != v} == {("food", "tea_milk"): "milk_tea", ("food", "c"): "b"}
