@@ -4,8 +4,9 @@ Method: each record gets a 128-bit digest of its canonical key. Keys met more of
 partial counts. Records of hot keys are salted and aggregated on two levels, and only the key's representative, one small row a
 hot key, is sent back to them; all other keys take one shuffle. The representative is the record with the smallest id.
 
-A record with a key field that is null or has no letter or digit, or without a group, is no copy of any. Ids that occur twice
-are the same record delivered twice; they yield one row each. An empty table yields no row. Extra columns are ignored, whatever
+A record with a key field that is null or has no letter or digit, or without a group, is no copy of any: ``copies`` and
+``collapse`` leave it out, ``records_once`` gives it once, with copies = 1. Records without an id can't be named and are left
+out everywhere. Ids that occur twice are the same record delivered twice; they yield one row each. An empty table yields no row. Extra columns are ignored, whatever
 their names. Long texts only cost their digest.
 """
 
@@ -32,11 +33,11 @@ def trimmed(c: Column) -> Column:
     return F.nullif(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit(""))
 
 
-def keyed(df: DataFrame, id_col: str, group: Column, fields: list[Column]) -> DataFrame:
-    """Rows ``id``, ``key`` of the records that can have copies. The key is 16 bytes, whatever the record's length."""
+def with_keys(df: DataFrame, id_col: str, group: Column, fields: list[Column]) -> DataFrame:
+    """Rows ``id``, ``key`` of all records with an id; the key is null for those that are no copy of any. It is 16 bytes, whatever the record's length."""
     parts = [trimmed(group), *map(canonical, fields)]
     whole = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
-    return df.select(F.col(id_col).alias("id"), F.when(whole, F.unhex(F.md5(F.concat_ws("\x1f", *parts)))).alias("key")).where("id is not null and key is not null")
+    return df.select(F.col(id_col).alias("id"), F.when(whole, F.unhex(F.md5(F.concat_ws("\x1f", *parts)))).alias("key")).where("id is not null")
 
 
 def representatives(records: DataFrame, *, hot_rows: int = 100_000, salts: int = 64) -> DataFrame:
@@ -79,6 +80,14 @@ def collapse(records: DataFrame, *, hot_rows: int = 100_000, salts: int = 64) ->
     return out.select("keep_id", "copies")
 
 
+def records_once(records: DataFrame, **how: int) -> DataFrame:
+    """``keep_id`` and ``copies`` of every group and, with copies = 1, of every record without a key. Rows delivered twice under one id are one record here, so that copies counts records."""
+    records = written(records.distinct(), "all-records")
+    groups = collapse(records.where("key is not null"), **how)
+    single = records.where("key is null").select(F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("copies"))
+    return groups.unionByName(single)
+
+
 def notation_field(text: Column, name: str) -> Column:
     """A field of a record written as ``name: value | ...`` or ``name=value; ...``, in any order and case of the names."""
     names = "|".join(FIELDS)
@@ -94,13 +103,27 @@ def parse_notation(df: DataFrame, text: str = "record_text") -> DataFrame:
     return df.withColumns({f: F.when(is_json, F.col("_fields")[f]).otherwise(notation_field(t, f)) for f in FIELDS}).drop("_fields")
 
 
+def all_claims(claims: DataFrame) -> DataFrame:
+    return with_keys(claims, "claim_row_id", F.col("pmid"), [F.col(f) for f in FIELDS])
+
+
+def all_raw(raw: DataFrame) -> DataFrame:
+    parsed = parse_notation(raw.select("raw_id", "pmid", "record_text"))
+    return with_keys(parsed, "raw_id", F.col("pmid"), [F.col(f) for f in FIELDS])
+
+
 def claim_records(claims: DataFrame) -> DataFrame:
-    return keyed(claims, "claim_row_id", F.col("pmid"), [F.col(f) for f in FIELDS])
+    return all_claims(claims).where("key is not null")
 
 
 def raw_records(raw: DataFrame) -> DataFrame:
-    parsed = parse_notation(raw.select("raw_id", "pmid", "record_text"))
-    return keyed(parsed, "raw_id", F.col("pmid"), [F.col(f) for f in FIELDS])
+    return all_raw(raw).where("key is not null")
+
+
+def collapsed(claims: DataFrame, raw: DataFrame, **how: int) -> DataFrame:
+    """``src``, ``keep_id`` and ``copies`` of both tables; every record counts in one row."""
+    both = [records_once(r, **how).select(F.lit(src).alias("src"), F.col("keep_id").cast("bigint"), "copies") for src, r in (("extracted_claims", all_claims(claims)), ("raw_claims", all_raw(raw)))]
+    return both[0].unionByName(both[1])
 
 
 def found(claims: DataFrame, raw: DataFrame, **how: int) -> DataFrame:

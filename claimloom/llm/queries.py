@@ -30,6 +30,11 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.collapse(duplicates.claim_records(_t(spark, sf, "extracted_claims")))
 
 
+def p5_collapsed_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Both tables and the records without a key; ``p5_collapsed`` is bound by its SQL to the keyed records of one."""
+    return duplicates.collapsed(_t(spark, sf, "extracted_claims"), _t(spark, sf, "raw_claims"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.found(_t(spark, sf, "abstract_embeddings_bge_m3"))
 
@@ -82,7 +87,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
 
 
-_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p2_found, p2_recall, p3_found, p6_found, p6_items, p6_reviewers, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_statistics, p9_functions)
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p5_collapsed_all, p2_found, p2_recall, p3_found, p6_found, p6_items, p6_reviewers, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_statistics, p9_functions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

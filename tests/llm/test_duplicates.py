@@ -60,3 +60,18 @@ def test_repeated_and_empty(spark):
     df = spark.createDataFrame([(5, "1", "a", "b", "c"), (5, "1", "a", "b", "c"), (3, "1", "A", "B.", "C"), (None, "1", "a", "b", "c"), (9, "1", "x" * 100_000, "b", "c")], CLAIM)
     assert [tuple(r) for r in D.copies(D.claim_records(df)).collect()] == [(3, 5)]
     assert D.copies(D.claim_records(df.limit(0))).count() == 0 and D.collapse(D.claim_records(df.limit(0))).count() == 0
+
+
+def test_collapsed_holds_every_record_of_both_tables(spark):
+    rows = variants(300, 4)
+    texts = [(1, "9", "object_name: IL-6 | direction: positive | subject_name: Soy"), (2, "9", "SUBJECT_NAME=soy; DIRECTION=positive;OBJECT_NAME=il6"), (3, "9", "{broken"), (4, None, "x"), (4, None, "x"), (None, "9", "x"), (5, "9", None)]
+    claims, raw = spark.createDataFrame(rows + rows[:5], CLAIM), spark.createDataFrame(texts, "raw_id bigint, pmid string, record_text string")
+    groups = {}
+    for k, i in brute(rows):
+        groups.setdefault(k, {k}).add(i)
+    spare = {i for g in groups.values() for i in g} - set(groups)
+    want = {("extracted_claims", i, len(groups.get(i, {i}))) for i, *_ in rows if i not in spare} | {("raw_claims", 1, 2), ("raw_claims", 3, 1), ("raw_claims", 4, 1), ("raw_claims", 5, 1)}
+    for hot in (10**6, 5):
+        got = [tuple(r) for r in D.collapsed(claims, raw, hot_rows=hot, salts=3).collect()]
+        assert sorted(got) == sorted(want)
+    assert D.collapsed(claims.limit(0), raw.limit(0)).count() == 0
