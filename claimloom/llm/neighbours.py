@@ -8,8 +8,9 @@ what is found is reranked by exact cosine.
 For Spark, the pairs of first centroids that lie together form one shard. An entry is sent to its shard once, a query once to each
 shard it visits, both as 16-bit integers per coordinate (renormalised after arrival; the error of a cosine is about 1e-6), so a
 vector moves a few times its own size however large the collection is. Shards of more than ``shard_rows`` entries are split by a
-hash of the id and their queries visit every part. Of more than k + 1 exact copies only the k + 1 smallest ids are filed; the
-others get theirs from them, which is exact.
+hash of the id and their queries visit every part. Copies are vectors of one direction, whatever their norm: those that are the
+same as 16-bit integers. Of more than k + 1 copies only the k + 1 smallest ids are filed; the others get what the smallest of them
+finds and these k + 1 themselves, which loses nothing, as no vector's k nearest hold a copy beyond them.
 
 Vectors that are null, of another length, all zero, or hold a null or something that is no finite number take no part. Equally
 similar vectors are taken by smaller id. Rows delivered twice under one id count once. An empty or one-row table yields no pair;
@@ -143,8 +144,7 @@ def most_similar(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
     centroids = _centroids(data, n, dim, sample, cell_rows)
     if centroids is None:
         return data.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine")).where("false")
-    data, answered = _thin_copies(data, k)
-    filed = written(_file(data, centroids, dim), "filed-vectors")
+    filed, kept, spare = _thin_copies(written(_file(data, centroids, dim), "filed-vectors"), k)
     k1, k2 = (len(c) for c in centroids)
     held = np.zeros((k1, k2), "i8")
     for r in bounded(filed.groupBy("c1", "c2").count(), k1 * k2, "centroid pairs"):
@@ -155,7 +155,10 @@ def most_similar(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
     hits = sent.groupBy("shard", "part").applyInArrow(lambda t: _search(t, dim, k), "id bigint, other bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     top = hits.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
-    return top if answered is None else top.unionByName(answered)
+    if kept is None:
+        return top
+    top = written(top, "nearest-vectors")
+    return top.unionByName(_answers(top, kept, spare, k))
 
 
 def _centroids(data: DataFrame, n: int, dim: int, sample: int, cell_rows: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -180,22 +183,30 @@ def _groups(c: np.ndarray, wanted: float) -> np.ndarray:
     return ((g * g).sum(1)[None] - 2 * c @ g.T).argmin(1)
 
 
-def _thin_copies(data: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
-    """Leave out the exact copies beyond the k + 1 smallest ids of a vector; their neighbours are those ids."""
+def _thin_copies(filed: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Leave out the copies beyond the k + 1 smallest ids of a packed vector. Besides: the ``key``, ``id`` and rank ``r`` of those kept, the ``id`` and ``key`` of those left out."""
     key = F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"))
-    keyed = data.select("id", key.alias("key"))
+    keyed = filed.select("id", key.alias("key"))
     hot = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("key"), "copied-vectors")
     if hot.isEmpty():
-        return data, None
-    members = data.select("id", "v", key.alias("key")).join(hot, "key", "left_semi")
+        return filed, None, None
+    members = keyed.join(hot, "key", "left_semi").distinct()
     salted = Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
-    some = members.select("key", "id").distinct().withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k + 1).drop("_r")
+    some = members.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k + 1).drop("_r")
     kept = some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
     kept = written(kept, "kept-copies")
-    lists = kept.groupBy("key").agg(F.collect_list(F.struct("r", "id")).alias("l"))  # k + 1 ids at most
-    spare = members.select("id", "key").join(kept.select("id"), "id", "left_anti").distinct()
-    answered = spare.join(lists, "key").select("id", F.explode("l").alias("x")).where(F.col("x.r") <= k).select("id", F.col("x.id").alias("other"), F.lit(1.0).alias("cosine"))
-    return data.join(spare.select("id"), "id", "left_anti"), answered
+    spare = written(members.join(kept.select("id"), "id", "left_anti"), "spare-copies")
+    return written(filed.join(spare.select("id"), "id", "left_anti"), "thinned-vectors"), kept, spare
+
+
+def _answers(top: DataFrame, kept: DataFrame, spare: DataFrame, k: int) -> DataFrame:
+    """The neighbours of the copies left out: the nearest among the kept ones of their key and the neighbours of its smallest id."""
+    first = kept.where("r = 1").select("key", "id").join(top, "id").select("key", "other", "cosine")
+    near = first.unionByName(kept.select("key", F.col("id").alias("other"), F.lit(1.0).alias("cosine"))).groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
+    best = Window.partitionBy("key").orderBy(F.col("cosine").desc(), "other")
+    near = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+    lists = near.groupBy("key").agg(F.collect_list(F.struct("other", "cosine")).alias("l"))  # k at most
+    return spare.join(lists, "key").select("id", F.explode("l").alias("x")).select("id", "x.other", "x.cosine")
 
 
 def _file(data: DataFrame, centroids: tuple[np.ndarray, np.ndarray], dim: int) -> DataFrame:

@@ -82,3 +82,13 @@ def test_pairs_are_visited_by_summed_distance():
     sums = [d1[i] + d2[j] for i, j in got]
     assert sums == sorted(sums) and len(got) == (held > 0).sum() == len(set(got))
     assert sum(held[i, j] for i, j in N.visit(d1, d2, held, 12)) >= 12
+
+
+def test_copies_of_any_norm_are_neighbours(spark):
+    v = np.random.default_rng(2).normal(size=64)
+    rows = [(i, v.tolist()) for i in range(100, 120)] + [(1, (v * 2).tolist()), (2, (v * 3.3).tolist()), (3, (v / 7).tolist()), (150, (v * 0.1).tolist())] + [(i + 300, x) for i, x in clustered(30, 6)]
+    got = {}
+    for r in N.most_similar(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    assert got[119] == got[150] == {1, 2, 3, 100, 101} and got[1] == {2, 3, 100, 101, 102}
+    assert {tuple(r) for r in N.found(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
