@@ -92,3 +92,10 @@ def test_copies_of_any_norm_are_neighbours(spark):
         got.setdefault(r["id"], set()).add(r["other"])
     assert got[119] == got[150] == {1, 2, 3, 100, 101} and got[1] == {2, 3, 100, 101, 102}
     assert {tuple(r) for r in N.found(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+
+
+def test_recall_asks_all_ids_divisible_by_50_in_blocks(spark):
+    df = spark.createDataFrame([(i * 10, v) for i, v in clustered(400, 8)], SCHEMA)
+    for queries in (2000, 20):
+        r = N.recall(df, queries=queries).first()
+        assert (r["n_queries"], r["n_true"], r["recall"]) == (80, 400, 1.0)
