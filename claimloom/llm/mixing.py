@@ -3,7 +3,9 @@
 Method: weighted fair queueing. Each source's texts are shuffled by a hash; a text's virtual finish time is the number of its
 source's tokens up to and with it, divided by the source's target share. Sorted by it over all sources, every prefix of the queue
 holds the sources in their shares, so the queue is cut at the total budget. A source that runs out starts over, up to its number
-of uses. The default budget is the largest one at which no source runs out of uses.
+of uses. The default budget is the largest one at which no source runs out of uses, so the scarcest source sets the size of the
+mix; ``shares`` reports what part of the tokens held that is. A given budget is kept: beyond the default one exhausted sources fall
+short, the others still get their part of it, and ``shares`` reports the shares reached.
 
 The running sums are taken in two levels: over slices of each source's shuffled order, of bounded size, and over the slices'
 totals, so a source with a third of all texts is no task of its own.
@@ -36,7 +38,7 @@ def _queue(docs: DataFrame, targets: DataFrame, budget: int | None, seed: int, t
     live = {s: r for s, r in known.items() if r["held"]}
     scale = sum(r["target_share"] for r in live.values())
     most = min((r["held"] * r["max_repeats"] * scale / r["target_share"] for r in live.values()), default=0.0)
-    total = float(min(budget, most)) if budget is not None else most
+    total = float(budget) if budget is not None else most
     rows = sum(r["n"] for r in live.values())
     slices = max(1, -(-rows // slice_rows))
     part = F.floor(F.col("place") / F.lit(2.0**63 / slices))
@@ -61,9 +63,9 @@ def mixed(docs: DataFrame, targets: DataFrame, *, budget: int | None = None, see
 
 
 def shares(docs: DataFrame, targets: DataFrame, *, budget: int | None = None, seed: int = 11, tokenizer: str = TOKENIZER, slice_rows: int = 50_000) -> DataFrame:
-    """What the selection reaches, a row a source: target and reached share, tokens, uses and the most uses of one text."""
+    """What the selection reaches, a row a source: target and reached share, tokens, uses and the most uses of one text; ``selected_part`` is the whole selection's tokens, repeats included, by the tokens that all sources with a target hold."""
     queue, goal, _ = _queue(docs, targets, budget, seed, tokenizer, slice_rows)
     got = queue.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_uses"), F.countDistinct("doc_id").alias("n_docs"), (F.max("use") + 1).alias("most_uses"))
     out = goal.join(got, "source", "left").na.fill(0, ["held", "n", "n_tokens", "n_uses", "n_docs", "most_uses"])
     every = Window.partitionBy()  # a row a source
-    return out.select("source", "target_share", F.round(F.try_divide(F.col("n_tokens"), F.sum("n_tokens").over(every)), 6).alias("reached_share"), "n_tokens", "n_docs", "n_uses", "most_uses", "max_repeats", F.col("held").alias("tokens_held"))
+    return out.select("source", "target_share", F.round(F.try_divide(F.col("n_tokens"), F.sum("n_tokens").over(every)), 6).alias("reached_share"), "n_tokens", "n_docs", "n_uses", "most_uses", "max_repeats", F.col("held").alias("tokens_held"), F.round(F.try_divide(F.sum("n_tokens").over(every), F.sum("held").over(every)), 6).alias("selected_part"))

@@ -96,3 +96,17 @@ def test_mixing(spark, docs):
     small = mixing.mixed(docs, t, budget=500).collect()
     assert 0 < sum(r["n_tokens"] for r in small) <= 500
     assert mixing.mixed(docs.limit(0), t).count() == 0 and mixing.mixed(docs, t.limit(0)).count() == 0
+
+
+def test_a_given_budget_is_kept(spark, docs):
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.2, 2), ("c", 0.3, 4)], "source string, target_share double, max_repeats int")
+    free = {r["source"]: r for r in mixing.shares(docs, t).collect()}
+    most = sum(r["n_tokens"] for r in free.values())
+    assert all(r["selected_part"] == round(most / sum(x["tokens_held"] for x in free.values()), 6) for r in free.values())
+    budget = 2 * most
+    got = {r["source"]: r for r in mixing.shares(docs, t, budget=budget).collect()}
+    longest = max(r["n_tokens"] for r in mixing.mixed(docs, t, budget=budget).collect())
+    for s, r in got.items():
+        want = min(budget * r["target_share"], r["tokens_held"] * r["max_repeats"])
+        assert want - longest <= r["n_tokens"] <= want + 1e-6, s
+    assert any(r["n_tokens"] == r["tokens_held"] * r["max_repeats"] for r in got.values()) and sum(r["n_tokens"] for r in got.values()) > most
