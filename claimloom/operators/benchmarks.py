@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions import text, vectors
+from claimloom.session import bounded, written
 
 
 def seeds(merged: DataFrame, n: int) -> DataFrame:
@@ -17,6 +18,25 @@ def seeds(merged: DataFrame, n: int) -> DataFrame:
     return top.withColumn("seed_rank", F.row_number().over(Window.orderBy(*order))).select("seed_rank", "claim_id", "subject", "object", "evidence_count")  # n rows
 
 
+def diversified(merged: DataFrame, n: int = 35) -> DataFrame:
+    """All claims as the reference lines them up: ``part`` 1, the n strongest with different subjects; 2, of the claims after the
+    nth of those the strongest of each further pair of subject and object; 3, the others. Sorted; each part by evidence,
+    confidence and names. With fewer than n subjects there is no part 2."""
+    order = [F.desc("evidence_count"), F.desc("confidence"), "subject", "object", "claim_id"]
+    merged = written(merged.select("claim_id", "subject", "object", "evidence_count", "confidence"), "claims-to-diversify")
+    top = bounded(seeds(merged, n).join(merged.select("claim_id", "confidence"), "claim_id").orderBy("seed_rank"), n, "first claims")
+    out = merged.join(F.broadcast(merged.sparkSession.createDataFrame([(r["claim_id"],) for r in top], "claim_id string")).withColumn("first", F.lit(True)), "claim_id", "left")
+    part = F.when(F.col("first"), 1).otherwise(3)
+    if len(top) == n:
+        last = top[-1]
+        key = lambda c: F.struct((-c("evidence_count")).cast("bigint").alias("e"), (-c("confidence")).cast("double").alias("c"), c("subject").alias("s"), c("object").alias("o"), c("claim_id").alias("i"))
+        after = key(F.col) > key(lambda name: F.lit(last[name]))
+        pair = Window.partitionBy("subject", "object")
+        out = out.withColumn("later", after & F.col("first").isNull()).withColumn("taken", F.max(F.col("first")).over(pair)).withColumn("_r", F.row_number().over(Window.partitionBy("subject", "object", "later").orderBy(*order)))
+        part = F.when(F.col("first"), 1).when(F.col("later") & F.col("taken").isNull() & (F.col("_r") == 1), 2).otherwise(3)
+    return out.withColumn("part", part).orderBy("part", *order).select("part", "claim_id", "subject", "object", "evidence_count", "confidence")
+
+
 def comparisons(merged: DataFrame, *, take: int = 3) -> DataFrame:
     """Outcomes with at least two subjects and their strongest claims, one a subject."""
     order = [F.desc("evidence_count"), F.desc("confidence"), "subject", "claim_id"]

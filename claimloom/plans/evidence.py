@@ -488,6 +488,17 @@ def text_rule_claims(spark, sf):
     return evidence.rule_claims(s, OUTCOMES, SUBJECTS).select("pmid", "subject", "outcome", "pos", "effect_direction", "health_interpretation", "direction", "p_value", "claim_ordinal")
 
 
+_EVERY_OUTCOME = {k: tuple(dict.fromkeys((*L.OUTCOME_ALIASES.get(k, ()), *OUTCOMES.get(k, ())))) for k in L.OUTCOME_ALIASES | OUTCOMES}
+_EVERY_SUBJECT = tuple(dict.fromkeys((*L.RETRY_SUBJECTS, *SUBJECTS)))
+
+
+@query()
+def text_rule_claims_all(spark, sf):
+    """All alias groups and subjects; text_rule_claims is bound by its SQL to the ones picked."""
+    s = evidence.result_sentences(_latest(spark, sf))
+    return evidence.rule_claims(s, _EVERY_OUTCOME, _EVERY_SUBJECT).select("pmid", "subject", "outcome", "pos", "effect_direction", "health_interpretation", "direction", "p_value", "claim_ordinal")
+
+
 @query()
 def text_backfilled(spark, sf):
     return evidence.backfilled(claims.accepted(_rows(spark, sf)), _latest(spark, sf))
@@ -740,6 +751,18 @@ def benchmark_compatibility(spark, sf):
     return benchmarks.compatibility(_gold(spark, sf), rows)
 
 
+@query()
+def benchmark_compatibility_all(spark, sf):
+    """Against the whole claims table; benchmark_compatibility is bound by its SQL to two thirds of it."""
+    return benchmarks.compatibility(_gold(spark, sf), claims.accepted(_rows(spark, sf)))
+
+
+@query()
+def benchmark_diversified(spark, sf):
+    """All claims, of which benchmark_seeds has the first 35."""
+    return benchmarks.diversified(_merged(spark, sf))
+
+
 # transcripts -----------------------------------------------------------------------------------------------------------------
 
 _CALLS = "c as (select user_id as item_id, event_id as ordinal, event_type || ' ' || json_extract_string(props, '$.k') as command from events where user_id is not null), e as (select item_id, command, count(*) as n, min(ordinal) as f from c group by 1, 2), i as (select item_id, sum(n)::bigint as n_calls, count(*) as n_commands, sum(n - 1)::bigint as repeats, arg_min(command, {'a': -n, 'b': f}) as most_called from e group by 1)"

@@ -264,3 +264,30 @@ def test_greedy_merging_is_for_foods_and_outcomes_from_092(spark):
     pairs = graph.candidate_names(names.select("entity_type", F.col("key").alias("name"))).unionByName(spark.createDataFrame([("food", "a", "c", 0.95), ("food", "b", "c", 0.95)], "entity_type string, entity_a string, entity_b string, similarity double"))
     got = {(r["entity_type"], r["key"]): r["canonical"] for r in entities.merged_greedily(names, pairs).collect()}
     assert {k: v for k, v in got.items() if k[1] != v} == {("food", "tea_milk"): "milk_tea", ("food", "c"): "b"}
+
+
+@pytest.mark.parametrize("n", [4, 90])
+def test_diversified_claims_follow_the_reference(spark, n):
+    import random
+
+    random.seed(n)
+    rows = [(f"c{i:03}", random.choice("abcdefgh"), random.choice("xyz"), random.randint(1, 4), random.choice([0.5, 0.9])) for i in range(120)]
+    ranked = sorted(rows, key=lambda r: (-r[3], -r[4], r[1], r[2], r[0]))
+    selected, subjects, pairs = [], set(), set()
+    for r in ranked:
+        if r[1:3] in pairs or r[1] in subjects and len(selected) < n:
+            continue
+        selected.append(r)
+        subjects.add(r[1])
+        pairs.add(r[1:3])
+    want = selected + [r for r in ranked if r not in selected]
+    got = benchmarks.diversified(spark.createDataFrame(rows, "claim_id string, subject string, object string, evidence_count bigint, confidence double"), n).collect()
+    assert [r["claim_id"] for r in got] == [r[0] for r in want]
+
+
+def test_rule_claims_query_has_all_outcome_groups():
+    from claimloom import lexicons
+    from claimloom.plans import evidence as plans
+
+    assert all(set(v) <= set(plans._EVERY_OUTCOME[k]) for d in (lexicons.OUTCOME_ALIASES, plans.OUTCOMES) for k, v in d.items())
+    assert set(lexicons.RETRY_SUBJECTS) | set(plans.SUBJECTS) == set(plans._EVERY_SUBJECT)
