@@ -17,10 +17,10 @@ twice. Offsets count code points from 0, the end is exclusive. Extra columns are
 from __future__ import annotations
 
 import re
-import unicodedata
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,9 +101,9 @@ def _lines(text: str, s: int, e: int) -> Iterator[tuple[int, int, bool]]:
 
 
 def _before(text: str, at: int, low: int) -> str:
-    """The word that ends at a position, with the periods inside it."""
+    """The word that ends at a position, with the periods inside it. A period with a word after it ends none, so a stretch without space is read once."""
     i = at
-    while i > low and at - i < 40:
+    while i > low:
         c = text[i - 1]
         if c.isspace() or c in "\"“”«»()[]{},;:!?‘’/=<>":
             break
@@ -130,11 +130,61 @@ class Lexicon:
             (self.stop if kind == "stop" else self.start)[word] = (a, b, c, d)
 
 
+class Document:
+    """What a document itself says of its words and marks, each indexed once and only if asked for, so a text takes time in proportion to its length."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.german: dict[tuple[int, int], bool] = {}
+
+    @cached_property
+    def stops(self) -> dict[str, list[int]]:
+        """Of each word before a period: how often it is met, how often it goes on (small letter or comma), how often the text ends."""
+        out: dict[str, list[int]] = {}
+        for m in _LAST.finditer(self.text):
+            n = out.setdefault(_bare(m[1]), [0, 0, 0])
+            kind = _follows(self.text, m.end())
+            n[0] += 1
+            n[1] += kind in ("lower", "comma")
+            n[2] += kind == "end"
+        return out
+
+    @cached_property
+    def within(self) -> set[str]:
+        """Words between a space and a space or comma."""
+        return set(_SPACED.findall(self.text))
+
+    @cached_property
+    def marks(self) -> dict[str, list[int]]:
+        """Where quotation marks stand that may open or close."""
+        out: dict[str, list[int]] = {"„": [], "“": [], '"': []}
+        for m in _QUOTE.finditer(self.text):
+            out[m[0]].append(m.start())
+        return out
+
+    def last(self, mark: str, low: int, high: int) -> int:
+        at = self.marks[mark]
+        i = bisect_left(at, high)
+        return at[i - 1] if i and at[i - 1] >= low else -1
+
+    def count(self, mark: str, low: int, high: int) -> int:
+        at = self.marks[mark]
+        return bisect_left(at, high) - bisect_left(at, low)
+
+    def is_german(self, s: int, e: int) -> bool:
+        got = self.german.get((s, e))
+        if got is None:
+            got = self.german[s, e] = _GERMAN.search(self.text, s, e) is not None
+        return got
+
+
 class Splitter:
     def __init__(self, lexicon: Lexicon | None = None) -> None:
         self.lex = lexicon or Lexicon()
+        self.doc = Document("")
 
     def __call__(self, text: str) -> list[tuple[int, int]]:
+        self.doc = Document(text)
         out: list[tuple[int, int]] = []
         thai = _THAI.search(text) is not None
         for s, e, bulleted in blocks(text):
@@ -157,7 +207,7 @@ class Splitter:
         for s, e, bulleted in blocks(text):
             if bulleted:
                 continue
-            stops = [m.start() for m in _TERM.finditer(text, s, e) if m[0] == "."]
+            stops = [m.start() for m in _TERM.finditer(text, s, e) if m[0] == "." and (m.end() >= e or (c := text[m.end()]).isspace() or c in CLOSERS or _is_ideograph(c))]
             if stops:
                 out.update(("stop", _bare(_before(text, at, s))) for at in stops)
                 out.update(("start", m[0]) for m in _WORD.finditer(text, stops[0], e))
@@ -181,7 +231,7 @@ class Splitter:
         while j < e:
             c = text[j]
             if c in CLOSERS:
-                if c == "“" and text.rfind("„", open_at, j) <= text.rfind("“", open_at, j) or c == '"' and text.count('"', open_at, j) % 2 == 0:
+                if c == "“" and self.doc.last("„", open_at, j) <= self.doc.last("“", open_at, j) or c == '"' and self.doc.count('"', open_at, j) % 2 == 0:
                     break  # it opens a quotation
                 quoted |= c in QUOTES
                 j += 1
@@ -255,15 +305,13 @@ class Splitter:
         if quoted and len(bare) > 1:
             return True
         if _number(w):
-            if not c.isalpha() or not _GERMAN.search(text, s, e) or len(w) > 2:
+            if not c.isalpha() or not self.doc.is_german(s, e) or len(w) > 2:
                 return True
             return self.starts(text, word, p + len(word), e, False)
         if not bare or not bare[-1].isalpha():
             return True
         if not _cased(bare[-1]) and len(bare) > 1:  # scripts without capitals
             return not self.short(text, bare, None)
-        if len(bare) > 12 and "." not in bare:
-            return True
         if len(bare) <= 2 and bare.isupper() and len(word) <= 2 and word.isupper() and text[p + len(word) : p + len(word) + 1] == ".":
             return False  # initials and the like
         if not self.short(text, bare, c):
@@ -287,16 +335,8 @@ class Splitter:
         low = w.lower()
         if low in TITLES or low in NUMBERED:
             return True
-        key = w + "."
-        if text.count(key) > 1:
-            yes = no = 0
-            at = text.find(key)
-            while at >= 0:
-                if at == 0 or not text[at - 1].isalnum():
-                    kind = _follows(text, at + len(key))
-                    yes += kind in ("lower", "comma")
-                    no += kind == "end"
-                at = text.find(key, at + 1)
+        n, yes, no = self.doc.stops.get(w, (0, 0, 0))
+        if n > 1:
             if yes and not no:
                 return True
             if no and not yes and w not in self.lex.stop:
@@ -315,8 +355,7 @@ class Splitter:
             return True
         low = word.lower()
         if low != word:
-            here = text.count(" " + low + " ") + text.count(" " + low + ",")
-            if here and len(word) > 1:
+            if len(word) > 1 and low in self.doc.within:
                 return True
         f = self.lex.start.get(word)
         if f is None:
@@ -346,8 +385,12 @@ def _follows(text: str, i: int) -> str:
 
 
 _PART = r"[^\s\"“”«»()\[\]{},;:!?‘’/=<>.]"
-#: A short word before a period; anchored where a word begins and bounded, so that no text takes more than linear time.
-_STOP = re.compile(rf"(?<!{_PART})(?<!{_PART}\.)({_PART}{{1,12}}(?:\.{_PART}{{1,12}}){{0,4}})\.(?=[\s,;:])")
+#: A word before a period; anchored where a word begins and without going back, so that no text takes more than linear time.
+_STOP = re.compile(rf"(?<!{_PART})(?<!{_PART}\.)({_PART}++(?:\.{_PART}++)*+)\.(?=[\s,;:])")
+#: The last part of a word before a period.
+_LAST = re.compile(rf"(?<!{_PART})({_PART}++)\.")
+_SPACED = re.compile(r"(?<= )[^ ,]++(?=[ ,])")
+_QUOTE = re.compile('[„“"]')
 _ANY = re.compile(r"(?:^|(?<=[\s(\"'“‘«„¿¡]))[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
 
@@ -364,7 +407,7 @@ def count_words(texts: Iterator[str | None]) -> tuple[dict[str, list[int]], dict
             continue
         for m in _STOP.finditer(t):
             w = m[1]
-            if len(w) <= 12 and w[-1].isalpha():
+            if w[-1].isalpha():
                 k = kinds.get(_follows(t, m.end()))
                 if k is not None:
                     if w not in stop:
@@ -462,7 +505,7 @@ def _emit(b: pa.RecordBatch, keys: list[str], found: list[list[tuple[int, int]]]
 
 def _split_with_join(docs: DataFrame, counts: DataFrame, keys: list[str], schema: str) -> DataFrame:
     """The same with a lexicon of any size: the words of each text meet their counts in a shuffle."""
-    docs = docs.where(F.length("text") > 0).withColumn("_row", F.xxhash64(*keys, "text"))
+    docs = docs.where(F.length("text") > 0).withColumn("_row", F.unhex(F.md5(F.to_json(F.struct(*keys, "text")))))
     docs = written(docs, "texts-to-split")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,7 +515,7 @@ def _split_with_join(docs: DataFrame, counts: DataFrame, keys: list[str], schema
             flat = [y for x in asked for y in x]
             yield pa.RecordBatch.from_arrays([b.column("_row").take(at), pa.array([y[0] for y in flat], pa.string()), pa.array([y[1] for y in flat], pa.string())], names=["_row", "kind", "word"])
 
-    words = docs.select("_row", "text").mapInArrow(ask, "_row bigint, kind string, word string").distinct()
+    words = docs.select("_row", "text").mapInArrow(ask, "_row binary, kind string, word string").distinct()
     own = words.join(counts, ["kind", "word"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "word", "a", "b", "c", "d")).alias("lex"))  # at most a text's own words
     joined = docs.join(own, "_row", "left").select(*keys, "text", "lex")
 

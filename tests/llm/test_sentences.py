@@ -129,3 +129,24 @@ def test_a_joined_lexicon_knows_words_with_hyphens_and_apostrophes(spark):
     a = sorted(map(tuple, S.found(full, claims).collect()))
     assert a == sorted(map(tuple, S.found(full, claims, most_lexicon=0).collect()))
     assert [r[2:] for r in a if r[1] < 3] == [(0, len(t) - 4) if i == 0 else (len(t) - 3, len(t)) for t in HARD[:3] for i in range(2)]
+
+
+def test_time_grows_with_the_length():
+    """Texts of megabytes, with abbreviations, quotations, numbers, and without spaces."""
+    import time
+
+    prose = "Probiotics, e.g. L. casei, improved digestion approx. 3 days later. The 2. Gruppe und die \"Kontrolle.\" Yes. Vgl. Abb. 3 of Nr. 5 here. "
+    for text in (prose * 40_000, "a." * 1_000_000, "a-" * 1_000_000 + ". B", '"a." ' * 400_000, "x" * 3_000_000 + ". B", ". " * 800_000):
+        began = time.perf_counter()
+        parts_ = S.Splitter()(text)
+        S.count_words([text])
+        S.Splitter.lookups(text)
+        assert parts_ and time.perf_counter() - began < 30
+
+
+def test_words_of_any_length_can_be_abbreviations():
+    word = "Elektroenzephalographiegerätekunde" * 2  # beyond 40 letters, and beyond 12
+    stop, _ = S.count_words([f"Die {word}. und andere, die {word}. und so."])
+    assert stop[word] == [2, 0, 0, 0]
+    known = S.Splitter(S.Lexicon([("stop", word, 9, 0, 0, 1), ("start", "Nord", 0, 9, 0, 1)]))
+    assert len(known(f"Die {word}. Nord war da.")) == 1
