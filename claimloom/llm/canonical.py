@@ -1,13 +1,18 @@
 """Problem 1: map freely typed values to the entries of a reference list.
 
-Method: the reference list becomes a symmetric-delete dictionary that is broadcast behind a check of its size (a larger list
-is worked through in pieces of that size and the best piece wins, which is exact). Words are looked up with a bounded edit
-distance through their deletes; phrases are ranked by weighted Damerau-Levenshtein distance, then by how often the reference
-entry is met exactly in the corpus, then by the smaller id. What finds no entry is reported with id 0.
+Method: the reference list becomes a symmetric-delete dictionary that is built once, on the driver, and broadcast. Words are
+looked up with a bounded edit distance through their deletes; phrases are ranked by weighted Damerau-Levenshtein distance, then by
+how often the reference entry is met exactly in the corpus, then by the smaller id. What finds no entry is reported with id 0.
+
+A dictionary holds at most ``most_names`` names and aliases, which bounds its size (a name of w words leaves at most 79 deletes a
+word of 12 letters; 5,000 names leave about 50 MB). A longer list is divided into dictionaries of that size, every value is looked up
+in each, and the best answer wins by the same order as within one dictionary, so the result is the same whatever the division.
+Each distinct value is looked up once; its answer is joined back to all its rows.
 
 Digits never take part in an edit, so codes and numbers have to agree. The order of words does not matter ("miso, rice").
-Values that are null or blank yield no row. Very long values are rejected by their word count without any edit distance,
-because no entry within the bound can have as many words. Repeated values count each time. An empty list maps all to 0.
+Values that are null or blank yield no row of the queries and id 0 in ``map_values``. Values of any length are read whole: what may
+be cut from the end of a value is cut as often as it is there, and a form that is longer than all entries is left out only because
+no entry within the bound can have as many letters. Repeated values count each time. An empty list maps all to 0.
 """
 
 from __future__ import annotations
@@ -15,21 +20,26 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from claimloom.session import bounded
+from claimloom.session import bounded, written
 
-#: Words that say how a value was measured or taken, not what it is; dropped from the end of a value only where the whole value is unknown.
+#: Words that say how a value was measured or taken, not what it is; dropped from the end of a value only where the whole value is unknown. The default of a parameter.
 TRAILING_NOISE = ("level", "levels", "concentration", "concentrations", "value", "values", "change", "mean", "intake", "consumption", "product", "products", "plain", "at follow up")
-#: Words dropped before a code.
+#: Words dropped before a code. The default of a parameter.
 CODE_NOISE = ("strain", "str")
+#: Words whose neighbours a task remembers.
 MEMO = 200_000
+#: Names and aliases in one dictionary.
+MOST_NAMES = 5_000
+#: Letters by which a value without its spaces may be longer than an entry it matches.
+SLACK = 3
 
 _SPLIT = re.compile(r"[\W_]+")
 _CODE = re.compile(r"^(?:[a-z]{1,3}\d+|\d+[a-z]{0,2})$")
@@ -145,10 +155,11 @@ class Dictionary:
     whole_by_delete: dict[str, list[str]] = field(default_factory=dict)
     spelled: dict[str, list[str]] = field(default_factory=dict)
     most_words: int = 0
+    longest: int = 0
     weight: dict[int, int] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, entries: list[tuple[int, str, list[str] | None]], weight: dict[int, int] | None = None) -> Dictionary:
+    def build(cls, entries: Iterable[tuple[int, str, list[str] | None]], weight: dict[int, int] | None = None, code_noise: Sequence[str] = CODE_NOISE) -> Dictionary:
         self = cls(weight=weight or {})
         phrases: dict[tuple[str, ...], set[int]] = defaultdict(set)
         squashed: dict[str, set[int]] = defaultdict(set)
@@ -164,12 +175,13 @@ class Dictionary:
                     phrases[tuple(sorted(f))].add(i)
                     for k in range(len(f)):  # the head word may have been moved to the front
                         squashed["".join((*f[k:], *f[:k]))].add(i)
-                    if _CODE.match(f[-1]) and len(f) >= 3:
-                        squashed["".join((*f[:-1], CODE_NOISE[0], f[-1]))].add(i)
+                    if _CODE.match(f[-1]) and len(f) >= 3 and code_noise:
+                        squashed["".join((*f[:-1], code_noise[0], f[-1]))].add(i)
                     self.vocabulary.update(f)
         self.phrases = {k: sorted(v) for k, v in phrases.items()}
         self.squashed = {k: sorted(v) for k, v in squashed.items()}
         self.most_words = max(map(len, self.phrases), default=0)
+        self.longest = max(map(len, self.squashed), default=0)
         by: dict[str, set[str]] = defaultdict(set)
         spelled: dict[str, set[str]] = defaultdict(set)
         for w in self.vocabulary:
@@ -209,70 +221,78 @@ class Dictionary:
                             out[w] = x
         return sorted(out.items(), key=lambda x: (x[1], x[0]))
 
-    def rank(self, ids: list[int]) -> int:
+    def rank(self, ids: Sequence[int]) -> int:
         return min(ids, key=lambda i: (-self.weight.get(i, 0), i))
 
 
+#: An answer: how it was found (0 as it stands, 1 without spaces, 2 by its words, 3 as a whole with edits), the cost of that, minus the entry's weight, its id, and the distance. Of several the smallest counts; id 0 is none.
+Answer = tuple[int, float, int, int, float]
+NONE: Answer = (9, 0.0, 0, 0, 0.0)
+
+
 class Matcher:
-    """Looks values up in a dictionary and remembers the last answers."""
+    """Looks values up in a dictionary."""
 
-    def __init__(self, dictionary: Dictionary) -> None:
+    def __init__(self, dictionary: Dictionary, noise: Sequence[str] = TRAILING_NOISE, code_noise: Sequence[str] = CODE_NOISE) -> None:
         self.d = dictionary
-        self.memo: dict[str, tuple[int, float]] = {}
         self.near: dict[str, list[tuple[str, float]]] = {}
-        self.noise = sorted((tuple(x.split()) for x in TRAILING_NOISE), key=len, reverse=True)
+        self.noise = sorted((tuple(x.split()) for x in noise), key=len, reverse=True)
+        self.code_noise = tuple(code_noise)
         self.tails = sorted(("".join(n) for n in self.noise), key=len, reverse=True)
 
     def __call__(self, value: str) -> tuple[int, float]:
         """Id of the best entry and its distance; id 0 where the list holds none."""
-        got = self.memo.get(value)
-        if got is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got = self.memo[value] = self._find(value)
-        return got
+        got = self.answer(value)
+        return got[3], got[4]
 
-    def _find(self, value: str) -> tuple[int, float]:
+    def answer(self, value: str) -> Answer:
         w = words(value)
-        if not w or len(w) > 2 * self.d.most_words + 6:
-            return 0, 0.0
-        forms = [w]
-        if len(w) >= 2 and w[-2] in CODE_NOISE and _CODE.match(w[-1]):
-            forms.append((*w[:-2], w[-1]))
-        cut = w
+        if not w:
+            return NONE
+        most = self.d.longest + SLACK  # a form of more words, each a letter at least, matches nothing
+        forms = [(0, w)] if len(w) <= most else []
+        k, end = 1, len(w)
+        if len(w) >= 2 and w[-2] in self.code_noise and _CODE.match(w[-1]):
+            if len(w) - 1 <= most:
+                forms.append((1, (*w[:-2], w[-1])))
+            k += 1
         while True:
             for n in self.noise:
-                if len(cut) > len(n) and cut[-len(n) :] == n:
-                    cut = cut[: -len(n)]
-                    forms.append(cut)
+                if end > len(n) and w[end - len(n) : end] == n:
+                    end -= len(n)
+                    if end <= most:
+                        forms.append((k, w[:end]))
+                    k += 1
                     break
             else:
                 break
-        for k, f in enumerate(forms):
-            ids = self.d.phrases.get(tuple(sorted(f))) or self.d.squashed.get("".join(f))
-            if ids:
-                return self.d.rank(ids), 0.1 * k
-        joined = self._joined("".join(w))
-        for k, s in enumerate(joined):
+        for k, f in forms:
+            for step, ids in enumerate((self.d.phrases.get(tuple(sorted(f))), self.d.squashed.get("".join(f)))):
+                if ids:
+                    return self._ranked(0, 2 * k + step, ids, 0.1 * k)
+        joined = self._joined("".join(w), most)
+        for k, s in joined:
             if s in self.d.squashed:
-                return self.d.rank(self.d.squashed[s]), 0.1 * k
-        best = (float("inf"), 0, 0)
-        for k, f in enumerate(forms):
-            for cost, i in self._phrase(f):
-                best = min(best, (cost + 0.1 * k, -self.d.weight.get(i, 0), i))
-        if best[2] == 0:
-            for k, s in enumerate(joined):
-                for cost, i in self._whole(s):
-                    best = min(best, (cost + 0.1 * k, -self.d.weight.get(i, 0), i))
-        return (best[2], best[0]) if best[2] else (0, 0.0)
-
-    def _joined(self, s: str) -> list[str]:
-        """A text without its spaces, and the same without the noise at its end."""
-        out = [s]
+                return self._ranked(1, k, self.d.squashed[s], 0.1 * k)
+        best = min((self._ranked(2, cost + 0.1 * k, (i,), cost + 0.1 * k) for k, f in forms for cost, i in self._phrase(f)), default=NONE)
+        if best is NONE:
+            best = min((self._ranked(3, cost + 0.1 * k, (i,), cost + 0.1 * k) for k, s in joined for cost, i in self._whole(s)), default=NONE)
+        return best
+
+    def _ranked(self, how: int, cost: float, ids: Sequence[int], distance: float) -> Answer:
+        i = self.d.rank(ids)
+        return how, cost, -self.d.weight.get(i, 0), i, distance
+
+    def _joined(self, s: str, most: int) -> list[tuple[int, str]]:
+        """A text without its spaces, and the same without the noise at its end; those that no entry is as long as are left out."""
+        out, k, end = [], 0, len(s)
         while True:
+            if end <= most:
+                out.append((k, s[:end]))
             for n in self.tails:
-                if len(out[-1]) > len(n) + 2 and out[-1].endswith(n):
-                    out.append(out[-1][: -len(n)])
+                if end > len(n) + 2 and s.endswith(n, 0, end):
+                    end -= len(n)
+                    k += 1
                     break
             else:
                 return out
@@ -286,7 +306,7 @@ class Matcher:
         return got
 
     def _phrase(self, f: tuple[str, ...]) -> Iterator[tuple[float, int]]:
-        if len(f) > self.d.most_words:
+        if len(f) > self.d.most_words:  # word stands for word, so no entry has as many
             return
         most = phrase_bound(sum(map(len, f)))
         choices = [self._near(w) for w in f]
@@ -323,53 +343,58 @@ class Matcher:
                                 yield x, i
 
 
-def exact_weights(values: DataFrame, reference: DataFrame, *, value: str = "value", most_entries: int = 200_000) -> dict[int, int]:
-    """How often each entry's own name is met in the values, regardless of case and punctuation: the reference frequency. One pass, at most one row an entry comes back."""
-    key: callable = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    names = reference.select(F.col("canonical_id"), key(F.col("canonical_name")).alias("k")).where("k <> ''").groupBy("k").agg(F.min("canonical_id").alias("canonical_id"))
-    met = values.select(key(F.col(value)).alias("k")).groupBy("k").count()
-    rows = bounded(met.join(names, "k").groupBy("canonical_id").agg(F.sum("count").alias("n")), most_entries, "reference entries")
-    return {r["canonical_id"]: r["n"] for r in rows}
+def weighted(reference: DataFrame, counts: DataFrame, *, value: str = "value", count: str = "count") -> DataFrame:
+    """``reference`` with ``weight``: how often each entry's own name is met in the values, regardless of case and punctuation. ``counts`` holds the values with their number; an entry of a name that several share is the smallest id."""
+    key = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    names = reference.select("canonical_id", key(F.col("canonical_name")).alias("_k")).where("_k <> ''").groupBy("_k").agg(F.min("canonical_id").alias("canonical_id"))
+    met = counts.groupBy(key(F.col(value)).alias("_k")).agg(F.sum(count).alias("_n"))
+    n = names.join(met, "_k").groupBy("canonical_id").agg(F.sum("_n").alias("weight"))
+    return reference.drop("weight").join(n, "canonical_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
 
 
-def map_values(df: DataFrame, reference: DataFrame, *, value: str = "value", weights: dict[int, int] | None = None, most_entries: int = 200_000) -> DataFrame:
+def map_values(df: DataFrame, reference: DataFrame, *, value: str = "value", most_names: int = MOST_NAMES, noise: Sequence[str] = TRAILING_NOISE, code_noise: Sequence[str] = CODE_NOISE) -> DataFrame:
     """Add ``canonical_id`` int (0: the list holds none) and ``distance`` double to every row of ``df``.
 
-    ``reference`` has canonical_id, canonical_name and known_aliases. No shuffle: each task holds the dictionary and a bounded
-    memo of answers. A list of more than ``most_entries`` entries is worked through in pieces of that many; each piece gives its
-    best entry and the smallest (distance, frequency, id) of them is kept, still without a shuffle, because the pieces follow
-    each other in the same rows. Columns of ``df`` named canonical_id or distance are replaced.
+    ``reference`` has canonical_id, canonical_name, known_aliases and, if wanted, ``weight``. Columns of ``df`` named canonical_id or
+    distance are replaced.
     """
     df = df.drop("canonical_id", "distance")
-    entries = reference.select("canonical_id", "canonical_name", "known_aliases")
-    n = entries.count()
-    weights = weights or {}
-    if n <= most_entries:
-        return _lookup(df, [tuple(r) for r in bounded(entries, most_entries, "reference entries")], weights, value)
-    pieces = -(-n // most_entries) * 2
-    part = F.pmod(F.xxhash64("canonical_id"), F.lit(pieces))
-    out = df.withColumn("_best", F.lit(None).cast("struct<d:double,w:bigint,i:int>"))
+    asked = df.select(F.col(value).alias("value")).where("value is not null").distinct()
+    got = written(answers(asked, reference, most_names=most_names, noise=noise, code_noise=code_noise), "answers").withColumnRenamed("value", "_value")
+    out = df.join(got, F.col(value) == F.col("_value"), "left").drop("_value")
+    return out.withColumns({"canonical_id": F.coalesce("canonical_id", F.lit(0)), "distance": F.coalesce("distance", F.lit(0.0))})
+
+
+def answers(asked: DataFrame, reference: DataFrame, *, most_names: int = MOST_NAMES, noise: Sequence[str] = TRAILING_NOISE, code_noise: Sequence[str] = CODE_NOISE) -> DataFrame:
+    """``value``, ``canonical_id``, ``distance`` of the distinct values of ``asked``; without a row, or with id 0, where the list holds none."""
+    weight = F.col("weight") if "weight" in reference.columns else F.lit(0)
+    names = reference.select(F.col("canonical_id").cast("int").alias("i"), F.explode(F.concat(F.array("canonical_name"), F.coalesce("known_aliases", F.array().cast("array<string>")))).alias("name"), weight.cast("bigint").alias("w")).where("i is not null and name is not null").distinct()
+    n = names.count()
+    pieces = 1 if n <= most_names else -(-n // most_names) * 2  # by hash, so half full on average
+    part = F.pmod(F.xxhash64("i", "name"), F.lit(pieces))
+    found_in = []
     for p in range(pieces):
-        rows = [tuple(r) for r in bounded(entries.where(part == p), most_entries, "a piece of the reference")]
-        w = {r[0]: weights.get(r[0], 0) for r in rows}
-        out = _lookup(out, rows, w, value)
-        weigh = F.coalesce(F.create_map(*[F.lit(x) for kv in w.items() if kv[1] for x in kv])[F.col("canonical_id")], F.lit(0)) if any(w.values()) else F.lit(0)
-        new = F.when(F.col("canonical_id") > 0, F.struct(F.col("distance").alias("d"), (-weigh).cast("bigint").alias("w"), F.col("canonical_id").alias("i")))
-        out = out.withColumn("_best", F.least("_best", new)).drop("canonical_id", "distance")
-    return out.withColumns({"canonical_id": F.coalesce("_best.i", F.lit(0)), "distance": F.coalesce("_best.d", F.lit(0.0))}).drop("_best")
+        rows = bounded(names if pieces == 1 else names.where(part == p), 2 * most_names + 100, "names in a dictionary")
+        d = Dictionary.build(((r["i"], r["name"], None) for r in sorted(rows)), {r["i"]: r["w"] for r in rows if r["w"]}, code_noise)
+        found_in.append(_lookup(asked, d, noise, code_noise))
+    if pieces == 1:
+        return found_in[0].select("value", "canonical_id", "distance")
+    every = reduce(DataFrame.unionByName, found_in).where("canonical_id > 0")
+    best = every.groupBy("value").agg(F.min(F.struct("how", "cost", "weight", "canonical_id", "distance")).alias("b"))
+    return best.select("value", "b.canonical_id", "b.distance")
 
 
-def _lookup(df: DataFrame, rows: list[tuple], weights: dict[int, int], value: str) -> DataFrame:
-    entries = df.sparkSession.sparkContext.broadcast((rows, weights))
-    names = df.columns
+def _lookup(asked: DataFrame, dictionary: Dictionary, noise: Sequence[str], code_noise: Sequence[str]) -> DataFrame:
+    shared = asked.sparkSession.sparkContext.broadcast(dictionary)  # of at most ``most_names`` names, see above
+    types = (pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(Dictionary.build(*entries.value))
+        match = Matcher(shared.value, noise, code_noise)
         for b in batches:
-            got = [match(v) if v is not None else (0, 0.0) for v in b.column(value).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.float64())], names=[*names, "canonical_id", "distance"])
+            got = [match.answer(v) for v in b.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("value"), *(pa.array([x[i] for x in got], t) for i, t in enumerate(types))], names=["value", "how", "cost", "weight", "canonical_id", "distance"])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add("canonical_id", IntegerType()).add("distance", DoubleType()))
+    return asked.select("value").mapInArrow(run, "value string, how int, cost double, weight bigint, canonical_id int, distance double")
 
 
 def _stated(c: Column) -> Column:
@@ -387,14 +412,18 @@ def typed_values(claims: DataFrame, entities: DataFrame) -> DataFrame:
 def found(claims: DataFrame, entities: DataFrame, reference: DataFrame) -> DataFrame:
     """Every typed value that is not, character for character, a canonical name, with its entry or 0."""
     values = typed_values(claims, entities)
-    weights = exact_weights(values, reference)
-    rest = values.join(reference.select(F.col("canonical_name").alias("value")), "value", "left_anti").select(*values.columns)
-    return map_values(rest, reference, weights=weights).select("record_id", "field", "pos", "canonical_id")
+    counts = written(values.groupBy("value").count(), "typed-values")
+    asked = counts.join(reference.select(F.col("canonical_name").alias("value")), "value", "left_anti")
+    got = written(asked.select("value").join(answers(asked, weighted(reference, counts)), "value", "left"), "answers")
+    return values.join(got, "value").select("record_id", "field", "pos", F.coalesce("canonical_id", F.lit(0)).alias("canonical_id"))
 
 
 def misses(claims: DataFrame, entities: DataFrame, reference: DataFrame) -> DataFrame:
     """The values no entry was found for, in lower case and single spaces, with how often and in which fields they occur."""
     values = typed_values(claims, entities)
-    mapped = map_values(values, reference, weights=exact_weights(values, reference)).where("canonical_id = 0")
+    counts = written(values.groupBy("value").count(), "typed-values")
+    got = answers(counts, weighted(reference, counts)).where("canonical_id > 0").select("value")
+    missed = written(counts.select("value").join(got, "value", "left_anti"), "missed-values")
+    mapped = values.join(missed, "value")
     flat = F.trim(F.regexp_replace(F.lower("value"), r"[\s_]+", " "))
     return mapped.groupBy(flat.alias("value"), "field").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("n_records"))

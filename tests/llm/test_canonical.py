@@ -91,7 +91,7 @@ def test_pieces_of_a_large_list_give_the_same(spark):
     ref = spark.createDataFrame(LIST, "canonical_id int, canonical_name string, known_aliases array<string>")
     v = spark.createDataFrame([(x, 1) for x in ("yoghurt", "hdl cholestrol", "il-10", "nothing", "sauerkraut pasteurized", None)], "value string, distance int")
     a = {r["value"]: r["canonical_id"] for r in C.map_values(v, ref).collect()}
-    b = {r["value"]: r["canonical_id"] for r in C.map_values(v, ref, most_entries=9).collect()}
+    b = {r["value"]: r["canonical_id"] for r in C.map_values(v, ref, most_names=9).collect()}
     assert a == b and a["hdl cholestrol"] == 6 and a[None] == 0
 
 
@@ -99,3 +99,24 @@ def test_frequency_breaks_ties(spark):
     d = C.Dictionary.build([(1, "fat mass", []), (2, "fas mass", [])], {2: 5})
     assert C.Matcher(d)("faz mass")[0] == 2
     assert C.Matcher(C.Dictionary.build([(1, "fat mass", []), (2, "fas mass", [])]))("faz mass")[0] == 1
+
+
+def test_noise_is_cut_as_often_as_it_is_there(match):
+    assert match("kefir" + " intake" * 50)[0] == 13
+    assert match("kefir" + "intake" * 50)[0] == 13
+    assert match("kefir" + " intake" * 300_000)[0] == 13  # in time linear in the length
+    assert C.Matcher(match.d, noise=("dose",))("kefir dose dose")[0] == 13
+    assert C.Matcher(match.d, noise=())("kefir consumption")[0] == 0
+
+
+def test_a_list_longer_than_a_dictionary(spark):
+    """One name more than a dictionary holds: the answers do not depend on the division."""
+    random.seed(3)
+    names = sorted({"".join(random.choices("aeioubcdlmnrst", k=9)) for _ in range(C.MOST_NAMES + 50)})[: C.MOST_NAMES + 1]
+    assert len(names) == C.MOST_NAMES + 1
+    ref = spark.createDataFrame([(i + 1, n, None) for i, n in enumerate(names)], "canonical_id int, canonical_name string, known_aliases array<string>")
+    asked = [n[:4] + "x" + n[5:] for n in names[::50]] + names[1::50]
+    df = spark.createDataFrame([(x,) for x in asked], "value string")
+    a = {r["value"]: r["canonical_id"] for r in C.map_values(df, ref).collect()}
+    whole = C.Matcher(C.Dictionary.build((i + 1, n, None) for i, n in enumerate(names)))
+    assert a == {x: whole(x)[0] for x in asked} and all(a.values())
