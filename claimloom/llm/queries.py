@@ -27,11 +27,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
-    return duplicates.collapse(duplicates.claim_records(_t(spark, sf, "extracted_claims")))
-
-
-def p5_collapsed_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Both tables and the records without a key; ``p5_collapsed`` is bound by its SQL to the keyed records of one."""
+    """Every record of both tables, once with its number of copies."""
     return duplicates.collapsed(_t(spark, sf, "extracted_claims"), _t(spark, sf, "raw_claims"))
 
 
@@ -87,7 +83,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
 
 
-_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p5_collapsed_all, p2_found, p2_recall, p3_found, p6_found, p6_items, p6_reviewers, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_statistics, p9_functions)
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (p1_found, p1_misses, p5_found, p5_collapsed, p2_found, p2_recall, p3_found, p6_found, p6_items, p6_reviewers, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_statistics, p9_functions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -101,12 +97,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: shipped(f) for f in _ALL}
 
 
+def _collapsed_sql() -> str:
+    """Groups by the key itself, not by its digest; fields of the raw records by JSON functions or one pattern a field."""
+    names = "|".join(duplicates.FIELDS)
+    bare = lambda c: f"lower(upper(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')))"
+    noted = lambda f: f"regexp_extract(record_text, '(?is)(?:^|[;|])\\s*{f}\\s*[:=]\\s*(.*?)\\s*(?:[;|]\\s*(?:{names})\\s*[:=]|$)', 1)"
+    raw = lambda f: f"case when starts_with(ltrim(record_text), '{{{{') then case when json_valid(record_text) then json_extract_string(record_text, '$.{f}') end else {noted(f)} end".replace("{{", "{")
+    rows = lambda src, i, field, table: f"select '{src}' as src, {i} as id, regexp_replace(pmid, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') as g, " + ", ".join(f"{bare(field(f))} as f{k}" for k, f in enumerate(duplicates.FIELDS)) + f" from {table}"
+    every = rows("extracted_claims", "claim_row_id", str, "extracted_claims") + " union " + rows("raw_claims", "raw_id", raw, "raw_claims")
+    whole = "coalesce(g <> '' and f0 <> '' and f1 <> '' and f2 <> '', false)"
+    return f"with e as ({every}) select src, min(id) as keep_id, count(*) as copies from e where id is not null and {whole} group by src, g, f0, f1, f2 union all select distinct src, id, 1::bigint from e where id is not null and not {whole}"
+
+
 def oracle_sql() -> dict[str, str]:
-    key = "regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
-    fields = [f"lower(upper({key.format(f)}))" for f in ("subject_name", "object_name", "direction")]
-    pmid = "regexp_replace(pmid, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
-    groups = f"""select {pmid} as g, {fields[0]} as a, {fields[1]} as b, {fields[2]} as c, claim_row_id as id from extracted_claims"""
-    whole = "g <> '' and a <> '' and b <> '' and c <> ''"
-    return {
-        "p5_collapsed": f"select min(id) as keep_id, count(*) as copies from ({groups}) where {whole} group by g, a, b, c",
-    }
+    return {"p5_collapsed": _collapsed_sql()}
