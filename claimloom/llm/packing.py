@@ -3,7 +3,7 @@
 Method: conflict-constrained best fit; texts of clusters come first, then all others, each from the largest to the smallest. Open containers are ordered by what is left in them; a bitmap of the
 residuals in use gives the successor of an item's size, and the search goes on from successor to successor until the tightest
 container is found whose bitmaps of sources and of duplicate clusters allow the item. Texts with the same letters and digits form
-a cluster and never share a container; sources named in ``apart`` only share one with texts of the same source.
+a cluster and never share a container; sources named in ``apart`` (none by default) only share one with texts of the same source.
 
 Texts are spread over shards by a hash of their id, as many as the corpus's tokens and rows demand, so a shard has a bounded size
 and every shard is packed on its own; at most its last few containers are not full. Equal items of one cluster, such as the
@@ -141,7 +141,7 @@ def pack(ids: Sequence[int], sizes: Sequence[int], sources: Sequence[str | None]
     return out
 
 
-def packed(docs: DataFrame, specs: DataFrame, *, apart: Sequence[str] = ("extraction_dump",), tokenizer: str = TOKENIZER, shard_tokens: int = 4_000_000, shard_rows: int = 20_000) -> DataFrame:
+def packed(docs: DataFrame, specs: DataFrame, *, apart: Sequence[str] = (), tokenizer: str = TOKENIZER, shard_tokens: int = 4_000_000, shard_rows: int = 20_000) -> DataFrame:
     """The place of every text, or piece of one, for every capacity."""
     capacities = sorted({(r["spec_id"], r["capacity_tokens"]) for r in bounded(specs.select("spec_id", "capacity_tokens").where("capacity_tokens >= 1 and spec_id is not null"), 1_000, "container specs")})
     texts = written(sized(docs, tokenizer=tokenizer, with_key=True), "sized-texts")

@@ -1,10 +1,9 @@
-"""Sizes of texts in tokens of a public tokenizer, whose file is a parameter and is read where the tasks run."""
+"""Sizes of texts in tokens of a public tokenizer, whose file is a parameter; it is read once, on the driver, and goes to the tasks with the session."""
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,13 +14,23 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(4)
-def encoding(path: str = TOKENIZER):
-    """The tokenizer of a rank file, once a process."""
-    import tiktoken
+#: Bytes a rank file may have to be broadcast.
+MOST_BYTES = 64 << 20
+
 
+def ranks_of(path: str = TOKENIZER) -> bytes:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        raw = f.read(MOST_BYTES + 1)
+    if len(raw) > MOST_BYTES:
+        raise ValueError(f"{path}: more than {MOST_BYTES} bytes")
+    return raw
+
+
+def encoding(raw: bytes):
+    """The tokenizer of a rank file's content."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -39,8 +48,10 @@ def sized(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source
         rows = rows.withColumn("key", content_key(F.col("text")))
     keep = ["doc_id", "source", *(["key"] if with_key else [])]
 
+    shared = docs.sparkSession.sparkContext.broadcast(ranks_of(tokenizer))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
+        enc = encoding(shared.value)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64())], names=[*keep, "n_tokens"])

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from claimloom.llm import mixing, packing
-from claimloom.llm.tokens import encoding, sized
+from claimloom.llm.tokens import encoding, ranks_of, sized
 
 DOC = "doc_id bigint, text string, source string"
 
@@ -22,7 +22,7 @@ def docs(spark):
 
 
 def test_sizes_are_the_tokenizers(docs):
-    enc = encoding()
+    enc = encoding(ranks_of())
     for r in sized(docs, with_key=True).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert r["n_tokens"] >= 0
     got = {r["doc_id"]: r["n_tokens"] for r in sized(docs.where("doc_id = 902")).collect()}
@@ -31,7 +31,7 @@ def test_sizes_are_the_tokenizers(docs):
 
 def test_packing(spark, docs):
     specs = spark.createDataFrame([(1, 64), (2, 512), (3, 0)], "spec_id int, capacity_tokens int")
-    places = packing.packed(docs, specs, shard_tokens=20_000).collect()
+    places = packing.packed(docs, specs, apart=("extraction_dump",), shard_tokens=20_000).collect()
     size, source, key = {}, {}, {}
     for r in sized(docs, with_key=True).collect():
         if r["n_tokens"] >= size.get(r["doc_id"], -1):
