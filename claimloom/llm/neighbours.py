@@ -7,11 +7,16 @@ what is found is reranked by exact cosine.
 
 For Spark, the pairs of first centroids that lie together form one shard. An entry is sent to its shard once, a query once to each
 shard it visits, both as 16-bit integers per coordinate (renormalised after arrival; the error of a cosine is about 1e-6), so a
-vector moves a few times its own size however large the collection is. Shards of more than ``shard_rows`` entries are split by a
-hash of the id and their queries visit every part. Copies are vectors of one direction, whatever their norm: those that are the
+vector moves a few times its own size however large the collection is. A shard is a grid of parts: its entries are split by their
+id where they are more than ``shard_rows``, its queries where, by the visits of a sample, more than ``shard_rows`` are to be
+expected; every part of the queries meets every part of the entries once, and no part grows with the collection. Copies are vectors of one direction, whatever their norm: those that are the
 same as 16-bit integers. Of more than k + 1 copies only the k + 1 smallest ids are filed; the others get what the smallest of them
 finds and these k + 1 themselves, which loses nothing, as no vector's k nearest hold a copy beyond them.
 
+The number of centroids grows with the square root of the collection, to ``most_centroids`` a half, whose pairs' counts are what is
+broadcast (4 bytes each: 64 MB at most). From about 400 million vectors on cells grow instead, and with them the entries that each
+query visits, so that the number of cells does not fall.
+
 Vectors that are null, of another length, all zero, or hold a null or something that is no finite number take no part. Equally
 similar vectors are taken by smaller id. Rows delivered twice under one id count once. An empty or one-row table yields no pair;
 tables of up to ``candidates`` rows are searched exhaustively.
@@ -32,8 +37,14 @@ from pyspark.sql.window import Window
 from claimloom.session import bounded, written
 
 DIM = 64
+#: Vectors the centroids are fitted on: at least so many, more where so many a centroid are more.
 SAMPLE = 20_000
-MOST_CENTROIDS = 1024
+SAMPLE_A_CENTROID = 20
+MOST_CENTROIDS = 4096
+#: Vectors up to which ``candidates`` is enough; beyond, a query visits more, with the fourth root of the collection's size.
+MEASURED = 120_000
+#: Sampled vectors whose visits tell how many queries a shard is to expect.
+VISITS = 2_000
 
 
 def usable(df: DataFrame, id_col: str, vec: str, dim: int = DIM) -> DataFrame:
@@ -137,21 +148,27 @@ def _top(ids: np.ndarray, q: np.ndarray, e: np.ndarray, qid: np.ndarray, k: int)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, "i8"), np.zeros(0))
 
 
-def most_similar(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", *, k: int = 5, dim: int = DIM, candidates: int = 2500, sample: int = SAMPLE, shard_rows: int = 200_000, cell_rows: int = 24) -> DataFrame:
+def most_similar(
+    df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", *, k: int = 5, dim: int = DIM, candidates: int = 2500, sample: int = SAMPLE, shard_rows: int = 100_000, cell_rows: int = 24, most_centroids: int = MOST_CENTROIDS
+) -> DataFrame:
     """``id``, ``other``, ``cosine``: for every usable vector the k most similar others."""
     data = usable(df, id_col, vec, dim)
-    n = df.count()
-    centroids = _centroids(data, n, dim, sample, cell_rows)
+    n = data.count()
+    centroids, some = _centroids(data, n, dim, sample, cell_rows, most_centroids)
     if centroids is None:
         return data.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine")).where("false")
     filed, kept, spare = _thin_copies(written(_file(data, centroids, dim), "filed-vectors"), k)
     k1, k2 = (len(c) for c in centroids)
-    held = np.zeros((k1, k2), "i8")
-    for r in bounded(filed.groupBy("c1", "c2").count(), k1 * k2, "centroid pairs"):
-        held[r["c1"], r["c2"]] = r["count"]
-    groups = _groups(centroids[0], max(k1 / 6, held.sum() / 50_000))
-    parts = np.maximum(1, -(-np.bincount(groups, held.sum(1)).astype("i8") // shard_rows)).astype("i4")
-    sent = _send(filed, centroids, held, groups, parts, candidates, dim)
+    held = np.zeros((k1, k2), "i4")
+    counts = filed.groupBy("c1", "c2").agg(F.count("*").cast("int").alias("n")).toArrow()  # a row a pair of centroids, at most ``most_centroids`` squared
+    held[counts.column("c1").to_numpy(), counts.column("c2").to_numpy()] = counts.column("n").to_numpy()
+    total = int(held.sum(dtype="i8"))
+    wanted = candidates * max(1.0, total / MEASURED) ** 0.25
+    wanted = round(max(wanted, wanted * total / (k1 * k2) / cell_rows) if k1 >= most_centroids else wanted)
+    groups = _groups(centroids[0], max(k1 / 6, total / 50_000))
+    parts = np.maximum(1, -(-np.bincount(groups, held.sum(1, dtype="i8")).astype("i8") // shard_rows)).astype("i4")
+    asked = np.maximum(1, np.ceil(_expected(some, centroids, held, groups, wanted) * total / shard_rows)).astype("i4")
+    sent = _send(filed, centroids, held, groups, parts, asked, wanted, dim)
     hits = sent.groupBy("shard", "part").applyInArrow(lambda t: _search(t, dim, k), "id bigint, other bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     top = hits.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
@@ -161,18 +178,31 @@ def most_similar(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
     return top.unionByName(_answers(top, kept, spare, k))
 
 
-def _centroids(data: DataFrame, n: int, dim: int, sample: int, cell_rows: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Centroids of both halves, from at most ``sample`` vectors chosen by a hash of their id."""
+def _centroids(data: DataFrame, n: int, dim: int, sample: int, cell_rows: int, most: int) -> tuple[tuple[np.ndarray, np.ndarray] | None, np.ndarray]:
+    """Centroids of both halves, from a sample of vectors chosen by a hash of their id, whose size is bounded by ``sample`` and ``most``; and some of the sample."""
+    k = max(1, min(most, round(math.sqrt(n / cell_rows))))
+    sample = max(sample, SAMPLE_A_CENTROID * k)
     share = min(1.0, 0.9 * sample / max(n, 1))
     some = data if share == 1.0 else data.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = bounded(some, sample + 2_000, "sample of vectors") if n else []
     if not rows:
-        return None
+        return None, np.zeros((0, dim))
     rows.sort(key=lambda r: r["id"])
     x = np.array([r["v"] for r in rows], "f8")
     x /= np.sqrt((x * x).sum(1, keepdims=True))
-    k = max(1, min(MOST_CENTROIDS, round(math.sqrt(n / cell_rows)), len(x)))
-    return kmeans(x[:, : dim // 2], k), kmeans(x[:, dim // 2 :], k)
+    k = min(k, len(x))
+    return (kmeans(x[:, : dim // 2], k), kmeans(x[:, dim // 2 :], k)), x[:: -(-len(x) // VISITS)]
+
+
+def _expected(x: np.ndarray, centroids: tuple[np.ndarray, np.ndarray], held: np.ndarray, groups: np.ndarray, wanted: int) -> np.ndarray:
+    """The share of all queries that visits each shard, from some vectors."""
+    a, b = centroids
+    half = a.shape[1]
+    d1, d2 = (a * a).sum(1)[None] - 2 * x[:, :half] @ a.T, (b * b).sum(1)[None] - 2 * x[:, half:] @ b.T
+    out = np.zeros(groups.max() + 1)
+    for r in range(len(x)):
+        out[np.unique([groups[i] for i, _ in visit(d1[r], d2[r], held, wanted)])] += 1
+    return out / max(len(x), 1)
 
 
 def _groups(c: np.ndarray, wanted: float) -> np.ndarray:
@@ -225,13 +255,13 @@ def _file(data: DataFrame, centroids: tuple[np.ndarray, np.ndarray], dim: int) -
     return data.mapInArrow(run, "id bigint, v binary, c1 int, c2 int")
 
 
-def _send(filed: DataFrame, centroids: tuple[np.ndarray, np.ndarray], held: np.ndarray, groups: np.ndarray, parts: np.ndarray, candidates: int, dim: int) -> DataFrame:
-    """Each entry to its shard and each query to the shards it visits. ``own`` is the number of the entry's pair, ``cells`` those of the pairs the query visits; where both meet one row carries both."""
-    shared = filed.sparkSession.sparkContext.broadcast((centroids, held, groups.tolist(), parts.tolist()))
+def _send(filed: DataFrame, centroids: tuple[np.ndarray, np.ndarray], held: np.ndarray, groups: np.ndarray, parts: np.ndarray, asked: np.ndarray, candidates: int, dim: int) -> DataFrame:
+    """Each entry to its shard and each query to the shards it visits; in a shard, an entry to its part of the entries with every part of the queries, and the other way round. ``own`` is the number of the entry's pair, ``cells`` those of the pairs the query visits; where both meet one row carries both."""
+    shared = filed.sparkSession.sparkContext.broadcast((centroids, held, groups.tolist(), parts.tolist(), asked.tolist()))
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("v", pa.binary()), ("own", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (a, b), n, group, split = shared.value
+        (a, b), n, group, split, ways = shared.value
         na, nb, k2 = (a * a).sum(1), (b * b).sum(1), len(b)
         for t in batches:
             if not t.num_rows:
@@ -248,11 +278,13 @@ def _send(filed: DataFrame, centroids: tuple[np.ndarray, np.ndarray], held: np.n
                     by.setdefault(group[i], []).append(i * k2 + j)
                 for shard, cells in by.items():
                     packed = np.array(cells, "<i4").tobytes()
-                    home = ids[r] % split[shard] if shard == at else -1
+                    home, way = ids[r] % split[shard] if shard == at else -1, ids[r] // split[shard] % ways[shard]
                     for p in range(split[shard]):
-                        if cells or p == home:
-                            for col, val in zip(out, (shard, p, ids[r], raw[r], own1[r] * k2 + own2[r] if p == home else -1, packed), strict=True):
-                                col.append(val)
+                        for w in range(ways[shard]):
+                            asks = cells and w == way
+                            if asks or p == home:
+                                for col, val in zip(out, (shard, p * ways[shard] + w, ids[r], raw[r], own1[r] * k2 + own2[r] if p == home else -1, packed if asks else b""), strict=True):
+                                    col.append(val)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return filed.mapInArrow(run, "shard int, part int, id bigint, v binary, own int, cells binary")

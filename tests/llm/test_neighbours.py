@@ -99,3 +99,22 @@ def test_recall_asks_all_ids_divisible_by_50_in_blocks(spark):
     for queries in (2000, 20):
         r = N.recall(df, queries=queries).first()
         assert (r["n_queries"], r["n_true"], r["recall"]) == (80, 400, 1.0)
+
+
+def test_hot_shards_are_split_by_entries_and_queries(spark):
+    """A third of all vectors are near copies of one, so their cell and its queries are hot."""
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=64)
+    rows = clustered(400, 10) + [(i + 1000, (hot + rng.normal(size=64) * 0.01).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a = {tuple(r) for r in N.most_similar(df, candidates=150).select("id", "other").collect()}
+    b = {tuple(r) for r in N.most_similar(df, candidates=150, shard_rows=30).select("id", "other").collect()}
+    assert a == b and len(a) == 600 * 5
+
+
+def test_cells_grow_where_centroids_are_bounded(spark):
+    rows = clustered(3000, 12)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {tuple(r) for r in N.found(df, most_centroids=3, candidates=300).collect()}
+    want = brute(rows)
+    assert len(got & want) / len(want) > 0.9
