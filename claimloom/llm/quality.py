@@ -1,9 +1,13 @@
 """Problem 9: per-document text statistics, and whether a document is natural prose, a list, a table or junk.
 
-Method: thresholds on the statistics are noisy labelling functions, each voting for one kind or abstaining. Votes are counted by
-pattern over all documents; expectation-maximization on the agreements learns how often each function votes for what under each
-kind, and every pattern gets the posterior of the kinds. Only the pattern counts reach the driver (at most 2 ** functions rows,
-checked); documents never do.
+Method: thresholds on the statistics are noisy labelling functions, each voting for one type of text or abstaining, none looking
+at another's statistic. Votes are counted by pattern over all documents; expectation-maximization on their agreements learns, for
+every type, its share and how often each function votes under it, and every pattern gets the posterior of the types. Junk and lists
+come in types that have little in common (logs, menus, broken characters; bullets, references), so a kind is a set of types and its
+posterior their sum. All that is set beforehand is the start and two things that keep the types from changing places: a prior of
+``prior`` documents a type, which does not grow with the corpus, and that a function votes for at least nine in ten texts of its own
+type. A corpus leaves at most 2 ** functions patterns (524,288 of 19 functions), however large it is; only their counts reach
+the driver, documents never do.
 
 Null, empty and blank texts are junk with zero counts and null ratios. Texts of any length are read whole. Rows delivered twice
 are judged twice, alike. An empty table yields no row. Ties between kinds go to the first of prose, list, table, junk. Columns
@@ -14,7 +18,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,11 @@ from pyspark.sql import functions as F
 from claimloom.session import bounded, written
 
 KINDS = ("prose", "list", "table", "junk")
+#: Types of text and the kind each belongs to.
+TYPES = {
+    "prose": "prose", "bullets": "list", "lines": "list", "references": "list", "inline": "list", "table": "table",
+    "blank": "junk", "symbols": "junk", "codes": "junk", "log": "junk", "navigation": "junk", "broken": "junk", "repeated": "junk",
+}
 #: Function words of ten languages (for scripts without spaces, function characters). Fixed values.
 COMMON = frozenset(
     "the of and to in a is was were for on with as by at from that this it be are an or not but had has have we our their which who did does no all some most than between after before during per so why if "
@@ -58,7 +68,7 @@ _GAP = re.compile(r" {2,}")
 
 STATISTICS = (
     "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "terminal_line_share", "common_word_share", "bullet_share", "short_line_share",
-    "column_share", "number_cell_share", "reference_share", "log_share", "navigation_share", "mixed_token_share", "broken_share", "distinct_share", "item_words", "n_items", "words_a_stop",
+    "column_share", "number_cell_share", "reference_share", "log_share", "navigation_share", "mixed_token_share", "broken_share", "distinct_share", "item_words", "n_items", "words_a_stop", "short_items", "repeated_words",
 )
 
 
@@ -105,6 +115,8 @@ def statistics(text: str | None) -> dict[str, float]:
     items = [x for x in re.split(r"[,;、，；|]|>>|»\s|\s[·•/]\s", lines[0] if len(lines) == 1 else text) if x.strip()]
     out["n_items"] = float(len(items))
     out["item_words"] = n_words / len(items) if items else 0.0
+    out["short_items"] = float(len(items)) if out["item_words"] <= 5 and not stops else 0.0  # separated items that no sentence ends in
+    out["repeated_words"] = float(round(n_words)) if out["distinct_share"] < 0.15 and n_words * out["distinct_share"] <= 14 else 0.0  # words that are the same few
     return out
 
 
@@ -156,49 +168,27 @@ def columns(lines: list[str]) -> tuple[int, int, int]:
     return best
 
 
-def _short_items(s: dict[str, float]) -> bool:
-    """Separated short items without the end of a sentence."""
-    return s["n_items"] >= 4 and s["item_words"] <= 5 and s["words_a_stop"] == 0
-
-
-def _repeated(s: dict[str, float]) -> bool:
-    return s["distinct_share"] < 0.15 and s["n_words"] >= 12 and s["n_words"] * s["distinct_share"] <= 14
-
-
-def _arranged(s: dict[str, float]) -> bool:
-    """Most of the text is laid out as something other than sentences, or is the same few words."""
-    return _repeated(s) or max(s["bullet_share"], s["short_line_share"], s["reference_share"], s["column_share"], s["log_share"]) >= 0.5 or _short_items(s)
-
-
-def _damaged(s: dict[str, float]) -> bool:
-    return s["broken_share"] >= 0.02 or s["mixed_token_share"] >= 0.3 or s["symbol_ratio"] >= 0.45 or s["navigation_share"] >= 0.3
-
-
-#: Labelling functions: name, the kind they vote for, and the threshold that makes them vote.
-FUNCTIONS: tuple[tuple[str, str, object], ...] = (
-    ("common_words", "prose", lambda s: s["common_word_share"] >= 0.18 and s["n_words"] >= 4 and not _arranged(s)),
-    ("sentence_lines", "prose", lambda s: s["terminal_line_share"] >= 0.5 and s["n_words"] >= 2 and not _arranged(s) and not _damaged(s)),
-    ("sentence_lengths", "prose", lambda s: 2 <= s["words_a_stop"] <= 45 and not _arranged(s) and not _damaged(s)),
-    ("long_items", "prose", lambda s: s["item_words"] >= 6 and s["n_words"] >= 6 and not _arranged(s)),
-    ("plain_words", "prose", lambda s: s["common_word_share"] >= 0.12 and s["mixed_token_share"] < 0.12 and s["symbol_ratio"] < 0.15 and not _arranged(s)),
-    ("bullets", "list", lambda s: s["bullet_share"] >= 0.5 and s["column_share"] < 0.5),
-    ("short_lines", "list", lambda s: s["short_line_share"] >= 0.5 and s["column_share"] < 0.3 and s["log_share"] < 0.3 and not _damaged(s) and s["n_words"] >= 4),
-    ("references", "list", lambda s: s["reference_share"] >= 0.5 and s["column_share"] < 0.5),
-    ("inline_items", "list", lambda s: _short_items(s) and s["n_lines"] <= 3 and s["column_share"] < 0.3 and not _damaged(s)),
-    ("few_common_words", "list", lambda s: s["common_word_share"] < 0.10 and s["n_words"] >= 4 and s["words_a_stop"] == 0 and s["column_share"] < 0.3 and s["log_share"] < 0.3 and not _damaged(s) and s["distinct_share"] > 0.12),
-    ("no_sentence", "list", lambda s: s["terminal_line_share"] < 0.3 and s["n_lines"] >= 4 and s["words_a_stop"] == 0 and s["column_share"] < 0.3 and s["log_share"] < 0.3 and not _damaged(s) and s["n_words"] < 8 * s["n_lines"]),
+#: Labelling functions: name, the type they vote for, and the threshold that makes them vote.
+FUNCTIONS: tuple[tuple[str, str, Callable[[dict[str, float]], bool]], ...] = (
+    ("common_words", "prose", lambda s: s["common_word_share"] >= 0.15),
+    ("sentence_lines", "prose", lambda s: s["terminal_line_share"] >= 0.5),
+    ("sentence_lengths", "prose", lambda s: 2 <= s["words_a_stop"] <= 45),
+    ("long_items", "prose", lambda s: s["item_words"] >= 6),
+    ("varied_words", "prose", lambda s: s["distinct_share"] >= 0.3),
+    ("bullets", "bullets", lambda s: s["bullet_share"] >= 0.5),
+    ("short_lines", "lines", lambda s: s["short_line_share"] >= 0.5),
+    ("references", "references", lambda s: s["reference_share"] >= 0.5),
+    ("short_items", "inline", lambda s: s["short_items"] >= 4),
     ("columns", "table", lambda s: s["column_share"] >= 0.5),
-    ("number_cells", "table", lambda s: s["number_cell_share"] >= 0.3 and s["column_share"] >= 0.4),
-    ("digits", "table", lambda s: 0.12 <= s["digit_ratio"] and s["mean_word_length"] >= 3 and s["mixed_token_share"] < 0.3 and s["log_share"] < 0.3 and s["column_share"] > 0.2),
-    ("blank", "junk", lambda s: s["n_words"] < 1),
-    ("symbols", "junk", lambda s: s["symbol_ratio"] >= 0.45 or s["n_words"] < 1),
-    ("mixed_tokens", "junk", lambda s: s["mixed_token_share"] >= 0.35 and s["column_share"] < 0.5),
-    ("machine_lines", "junk", lambda s: s["log_share"] >= 0.5 and s["column_share"] < 0.5),
-    ("navigation", "junk", lambda s: s["navigation_share"] >= 0.35),
-    ("menu", "junk", lambda s: s["navigation_share"] >= 0.2 and s["item_words"] <= 3),
-    ("broken_characters", "junk", lambda s: s["broken_share"] >= 0.05),
-    ("repetition", "junk", lambda s: _repeated(s) and s["column_share"] < 0.5 and s["n_lines"] < 4),
-    ("no_plain_word", "junk", lambda s: s["common_word_share"] < 0.02 and s["column_share"] < 0.5 and (s["mixed_token_share"] >= 0.2 or s["symbol_ratio"] >= 0.4 and s["terminal_line_share"] == 0 or s["broken_share"] >= 0.03 or s["mean_word_length"] > 14)),
+    ("digits", "table", lambda s: s["digit_ratio"] >= 0.12),
+    ("no_words", "blank", lambda s: s["n_words"] < 1),
+    ("symbols", "symbols", lambda s: s["symbol_ratio"] >= 0.45),
+    ("mixed_tokens", "codes", lambda s: s["mixed_token_share"] >= 0.3),
+    ("machine_lines", "log", lambda s: s["log_share"] >= 0.5),
+    ("navigation", "navigation", lambda s: s["navigation_share"] >= 0.2),
+    ("menu", "navigation", lambda s: s["navigation_share"] >= 0.35),
+    ("broken_characters", "broken", lambda s: s["broken_share"] >= 0.03),
+    ("repetition", "repeated", lambda s: s["repeated_words"] >= 12),
 )
 
 
@@ -207,21 +197,30 @@ def votes(s: dict[str, float]) -> int:
     return sum(1 << i for i, (_, _, f) in enumerate(FUNCTIONS) if f(s))
 
 
-def learn(patterns: dict[int, int], rounds: int = 60, prior: float = 20.0) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """Expectation-maximization over vote patterns: the share of each kind, how often each function votes under each kind, and each pattern's posterior.
+@dataclass
+class Learnt:
+    """What expectation-maximization has learnt: the share of each type, how often each function votes under it, and each pattern's posterior of the types."""
 
-    The start, and a weak prior that keeps the kinds from changing places, is that a function votes for its own kind six times
-    in ten and for another one in twenty. A function has two rates, one for its own kind and one for all others; the second
-    never exceeds half of the first, else it would not be a labelling function for its kind.
-    """
-    m, k = len(FUNCTIONS), len(KINDS)
-    own = np.array([KINDS.index(kind) for _, kind, _ in FUNCTIONS])
-    start = np.where(own[:, None] == np.arange(k)[None], 0.6, 0.05)
+    share: np.ndarray
+    rate: np.ndarray
+    types: dict[int, np.ndarray]
+
+    def kinds(self, pattern: int) -> np.ndarray:
+        return self.types[pattern] @ _KIND_OF
+
+
+_KIND_OF = np.array([[kind == k for k in KINDS] for kind in TYPES.values()], float)
+
+
+def learn(patterns: dict[int, int], *, rounds: int = 60, prior: float = 20.0, start: tuple[float, float] = (0.9, 0.05), least: float = 0.9) -> Learnt:
+    """Expectation-maximization over vote patterns. ``start`` is how often a function votes under its own type and under another one, ``prior`` the documents a type that this counts for, ``least`` how often a function votes under its own type at least."""
+    m, k = len(FUNCTIONS), len(TYPES)
+    own = np.array([list(TYPES).index(t) for _, t, _ in FUNCTIONS])[:, None] == np.arange(k)[None]
+    before = np.where(own, *start)
     codes = sorted(patterns)
     n = np.array([patterns[c] for c in codes], float)
-    v = np.array([[c >> i & 1 for i in range(m)] for c in codes], float).reshape(len(codes), m)
-    rate, share = start.copy(), np.full(k, 1 / k)
-    weight = prior * max(1.0, n.sum() / 1000) if len(n) else prior
+    v = (np.array(codes, "i8").reshape(-1, 1) >> np.arange(m)[None] & 1).astype(float)
+    rate, share = before, np.full(k, 1 / k)
     post = np.zeros((len(codes), k))
     for _ in range(rounds if len(codes) else 0):
         log = np.log(share)[None] + v @ np.log(rate) + (1 - v) @ np.log(1 - rate)
@@ -229,12 +228,9 @@ def learn(patterns: dict[int, int], rounds: int = 60, prior: float = 20.0) -> tu
         post /= post.sum(1, keepdims=True)
         mass = (post * n[:, None]).sum(0)
         share = (mass + 1) / (mass + 1).sum()
-        cast = v.T @ (post * n[:, None])
-        hit, seen = cast[np.arange(m), own], mass[own]
-        right = (hit + weight * 0.6) / (seen + weight)
-        wrong = (cast.sum(1) - hit + weight * 0.05) / (mass.sum() - seen + weight)
-        rate = np.clip(np.where(own[:, None] == np.arange(k)[None], right[:, None], np.minimum(wrong, right / 2)[:, None]), 1e-4, 1 - 1e-4)
-    return share, rate, dict(zip(codes, post, strict=True))
+        rate = np.clip((v.T @ (post * n[:, None]) + prior * before) / (mass + prior)[None], 1e-4, 1 - 1e-4)
+        rate = np.where(own, np.maximum(rate, least), rate)
+    return Learnt(share, rate, dict(zip(codes, post, strict=True)))
 
 
 SCHEMA = "doc_id bigint, votes bigint, " + ", ".join(f"{s} double" for s in STATISTICS)
@@ -254,15 +250,18 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def judged(docs: DataFrame, *, most_patterns: int = 200_000, keep: tuple[str, ...] = STATISTICS, **how: str) -> DataFrame:
+def _patterns(m: DataFrame) -> dict[int, int]:
+    return {r["votes"]: r["count"] for r in bounded(m.groupBy("votes").count(), 1 << len(FUNCTIONS), "vote patterns")}  # which can't be more
+
+
+def judged(docs: DataFrame, *, keep: tuple[str, ...] = STATISTICS, **how: str) -> DataFrame:
     """``doc_id``, statistics, ``kind`` and the posterior of every kind."""
     m = written(measured(docs, **how).select("doc_id", "votes", *keep), "text-statistics")
-    rows = bounded(m.groupBy("votes").count(), most_patterns, "vote patterns")
-    _, _, post = learn({r["votes"]: r["count"] for r in rows})
-    spark = docs.sparkSession
-    table = [(c, KINDS[int(p.argmax())], *map(float, p)) for c, p in post.items()]
-    known = spark.createDataFrame(table, "votes bigint, kind string, " + ", ".join(f"p_{k} double" for k in KINDS))
-    return m.join(F.broadcast(known), "votes").drop("votes")  # at most ``most_patterns`` rows, checked above
+    learnt = learn(_patterns(m))
+    kinds = {c: learnt.kinds(c) for c in learnt.types}
+    table = [(c, KINDS[int(np.round(p, 12).argmax())], *map(float, p)) for c, p in kinds.items()]
+    known = docs.sparkSession.createDataFrame(table, "votes bigint, kind string, " + ", ".join(f"p_{k} double" for k in KINDS))
+    return m.join(F.broadcast(known), "votes").drop("votes")  # at most 2 ** functions rows
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -271,14 +270,13 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def accuracies(docs: DataFrame) -> DataFrame:
-    """For each labelling function: its kind, how often it votes, and how often it is right when it votes, as learnt."""
-    rows = bounded(measured(docs).groupBy("votes").count(), 200_000, "vote patterns")
-    patterns = {r["votes"]: r["count"] for r in rows}
-    _, _, post = learn(patterns)
+    """For each labelling function: its type and kind, how often it votes, and how often a text it votes for is of its kind, as learnt."""
+    patterns = _patterns(measured(docs))
+    learnt = learn(patterns)
     total = sum(patterns.values()) or 1
     out = []
-    for i, (name, kind, _) in enumerate(FUNCTIONS):
-        hit = [(n, post[c]) for c, n in patterns.items() if c >> i & 1]
+    for i, (name, of, _) in enumerate(FUNCTIONS):
+        hit = [(n, learnt.kinds(c)) for c, n in patterns.items() if c >> i & 1]
         cast = sum(n for n, _ in hit)
-        out.append((name, kind, cast / total, sum(n * float(p[KINDS.index(kind)]) for n, p in hit) / cast if cast else None))
-    return docs.sparkSession.createDataFrame(out, "function string, kind string, coverage double, accuracy double")
+        out.append((name, of, TYPES[of], cast / total, sum(n * float(p[KINDS.index(TYPES[of])]) for n, p in hit) / cast if cast else None))
+    return docs.sparkSession.createDataFrame(out, "function string, text_type string, kind string, coverage double, accuracy double")
