@@ -117,6 +117,28 @@ def is_no_result(c: Column, phrases: Sequence[str] = L.NON_RESULT_PHRASES) -> Co
     return contains_any(F.lower(F.coalesce(c, F.lit(""))), phrases)
 
 
+def sample_of_full_text(methods: Column, body: Column, patterns: Sequence[str] = L.FULL_TEXT_SAMPLE_PATTERNS) -> Column:
+    """The sample size a full text states: the first pattern that gives a number, in the methods or, without them, in the whole body."""
+    t = F.coalesce(F.nullif(methods, F.lit("")), body, F.lit(""))
+    return F.coalesce(*[F.nullif(F.regexp_extract(t, "(?i)" + p, 1), F.lit("")).try_cast("bigint") for p in patterns])
+
+
+def aliases_of(name: Column, known: dict[str, str] = L.ALIAS_RULES) -> Column:
+    """A name and the other spelling it is known under, in order."""
+    other = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.lower(name)]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(name, other))))
+
+
+def direction_phrase(direction: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in L.DIRECTION_PHRASES.items() for x in kv])[direction], F.concat(F.lit("a "), direction, F.lit(" reported effect")))
+
+
+def score_band(score: Column, width: int = 5) -> Column:
+    """The band of a score, such as 85-89; negative scores floor downwards."""
+    low = (F.floor(score / width) * width).cast("int")
+    return F.concat(low.cast("string"), F.lit("-"), (low + width - 1).cast("string"))
+
+
 def study_type(title: Column, abstract: Column, given: Column) -> Column:
     t, a = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(abstract, F.lit("")))
     text = F.concat(t, F.lit("\n"), a)

@@ -78,6 +78,9 @@ class Reading:
     penalty: float
 
 
+MOST_FACTORS = 12
+
+
 @dataclass
 class Grammar:
     """The tries, with roots from a table of unit constants: rows of unit, base_unit, factor."""
@@ -130,13 +133,15 @@ class Grammar:
         return out
 
     def segment(self, text: str) -> list[Reading]:
-        """All readings of a unit string."""
+        """All readings of a unit string of any length. A unit of more than ``MOST_FACTORS`` factors is none, so the readings of the rest of a string stay few."""
         low, n = text.lower(), len(text)
         if len(low) != n:
             return []
         rest: list[dict[bool, dict[tuple[float, Dim], float]]] = [{} for _ in range(n + 1)]
         rest[n] = {False: {(1.0, ()): 0.0}}
+        factors = [0] * (n + 1)  # the fewest a reading from here has
         for at in range(n - 1, -1, -1):
+            few = MOST_FACTORS
             for under in (False, True):
                 got: dict[tuple[float, Dim], float] = {}
                 for end, scale, dim, cost in self.atoms(text, low, at):
@@ -150,6 +155,9 @@ class Grammar:
                             follow.append((m.end(), (m[1] or "").lower() in ("/", "per"), 0.0))
                         follow.append((end, False, 1.0 + (not text[end - 1].isdigit())))
                     for nxt, divide, extra in follow:
+                        if factors[nxt] >= MOST_FACTORS or divide not in rest[nxt]:
+                            continue
+                        few = min(few, factors[nxt] + 1)
                         for (s, d), c in (rest[nxt].get(divide) or {}).items():
                             total = dict(d)
                             for u, v in dim.items():
@@ -160,6 +168,7 @@ class Grammar:
                                 got[key] = new
                 if got:
                     rest[at][under] = got
+            factors[at] = few
         return [Reading(s, d, c) for (s, d), c in (rest[0].get(False) or {}).items()]
 
     def read(self, text: str, expected: tuple[Dim, ...] | None) -> Reading | None:
@@ -172,7 +181,7 @@ class Grammar:
 def read_unit(text: str, expected: tuple[Dim, ...] | None, grammar: Grammar) -> Reading | None:
     """The best reading of a unit string; with ``expected`` only one of those dimensions, the earlier the more likely."""
     clean = re.sub(r"\s+", " ", text.replace("μ", "µ").replace("​", "")).strip().strip(",;:").strip()
-    if not clean or len(clean) > 60:
+    if not clean:
         return None
     readings = grammar.segment(clean)
     if expected is not None:

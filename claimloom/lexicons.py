@@ -60,7 +60,7 @@ REVIEW_MARKERS = ("meta-analysis", "systematic review", "network meta-analysis",
 PRIMARY_MARKERS = ("randomized", "randomised", "clinical trial", "double-blind", "placebo-controlled", "crossover")
 RESULT_MARKERS = (
     "95% ci", "achieved", "associated with", "compared with", "compared to", "decreased", "did not", "existed", "found on", "greatest reduction", "improved", "increase", "increased", "lower",
-    "lowered", "md", "no increase", "no significant", "observed", "odds ratio", "p ", "p<", "p =", "reduced", "reduction", "risk ratio", "rr:", "significant", "smd",
+    "lowered", "md", "no increase", "no significant", "observed", "odds ratio", "p ", "p\u2009", "p<", "p =", "reduced", "reduction", "risk ratio", "rr:", "significant", "smd",
 )
 OUTCOME_ALIASES = {
     "fasting_plasma_glucose": ("fasting plasma glucose", "fpg"),
@@ -84,7 +84,16 @@ OUTCOME_ALIASES = {
     "nausea": ("nausea",),
     "vomiting": ("vomiting",),
 }
-DECREASE_MARKERS = ("decrease", "decreased", "decreases", "reduced", "reduction", "lower", "lowered", "md = -", "smd: -")
+#: Sample sizes in full texts, the first that applies.
+FULL_TEXT_SAMPLE_PATTERNS = (
+    r"a\s+total\s+of\s+(\d+)\s*(?:participants?|subjects?|patients?|women|men|individuals?)",
+    r"(\d+)\s*(?:participants?|subjects?|patients?|women|men|individuals?)\s*(?:were\s+)?(?:enrolled|recruited|included|randomized)",
+    r"(?:total\s+)?n\s*[=:]\s*(\d+)",
+    r"(\d+)\s*(?:healthy\s+)?(?:volunteers?|subjects?|participants?|patients?)",
+)
+ALIAS_RULES = {"yogurt": "yoghurt", "kefir": "kephir", "kimchi": "kimchee", "kombucha": "combucha"}
+DIRECTION_PHRASES = {"positive": "a positive reported effect or association", "negative": "a negative reported effect or association", "neutral": "no statistically significant or neutral reported effect"}
+DECREASE_MARKERS = ("decrease", "decreased", "decreases", "reduced", "reduction", "lower", "lowered", "md\u2009=\u2009-", "md = -", "smd: -")
 INCREASE_MARKERS = ("increased", "improved", "rise", "smd: 0.", "smd: 1.", "smd 0.", "smd 1.")
 NO_EFFECT_MARKERS = ("no significant", "no increase", "did not")
 #: Phrase to subject, the first that applies.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions import text, vectors
+from claimloom.operators import summaries
 from claimloom.session import bounded, written
 
 
@@ -37,6 +38,30 @@ def diversified(merged: DataFrame, n: int = 35) -> DataFrame:
     return out.withColumn("part", part).orderBy("part", *order).select("part", "claim_id", "subject", "object", "evidence_count", "confidence")
 
 
+#: Shares of the types of question; what rounding leaves goes to comparisons.
+TYPE_SHARES = {"description": 0.34, "evidence_lookup": 0.21, "reason": 0.21, "comparison": 0.24}
+
+
+def items(merged: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Questions about single claims in the order of ``diversified``, by the shares of their types, each with its gold articles and the answer to expect. ``rows`` are the claims' records."""
+    quota = summaries.quotas(size, TYPE_SHARES, "comparison")
+    single = {t: n for t, n in quota.items() if t != "comparison"}
+    order = ["part", F.desc("evidence_count"), F.desc("confidence"), "subject", "object", "claim_id"]
+    top = diversified(merged).orderBy(*order).limit(sum(single.values()))
+    top = written(top.withColumn("n", F.row_number().over(Window.orderBy(*order))), "question-claims")  # as many rows as questions
+    kind, at = None, 0
+    for t, n in single.items():
+        at += n
+        kind = F.when(F.col("n") <= at, t) if kind is None else kind.when(F.col("n") <= at, t)
+    mine = rows.join(F.broadcast(top.select("claim_id")), "claim_id")  # as many as questions
+    pmids = mine.where("pmid <> ''").select("claim_id", "pmid").distinct().groupBy("claim_id").agg(F.array_join(F.array_sort(F.collect_list("pmid")), ", ").alias("pmids"))
+    snippet = mine.where("evidence_snippet <> ''").groupBy("claim_id").agg(F.min_by("evidence_snippet", "ordinal").alias("snippet"))
+    out = top.join(pmids, "claim_id", "left").join(snippet, "claim_id", "left").join(merged.select("claim_id", "direction"), "claim_id")
+    plain = lambda c: F.replace(F.col(c), F.lit("_"), F.lit(" "))
+    answer = F.concat(F.lit("The graph supports that "), plain("subject"), F.lit(" has "), text.direction_phrase(F.col("direction")), F.lit(" on "), plain("object"), F.lit(". Gold evidence PMID(s): "), F.coalesce("pmids", F.lit("")), F.lit("."), F.when(F.col("snippet").isNotNull(), F.concat(F.lit(" Key source evidence: "), "snippet")).otherwise(""))
+    return out.select("n", kind.alias("question_type"), "claim_id", "subject", "object", "pmids", answer.alias("expected_answer"))
+
+
 def comparisons(merged: DataFrame, *, take: int = 3) -> DataFrame:
     """Outcomes with at least two subjects and their strongest claims, one a subject."""
     order = [F.desc("evidence_count"), F.desc("confidence"), "subject", "claim_id"]
@@ -62,18 +87,36 @@ def repaired_gold(gold: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def anchors(gold: DataFrame, rows: DataFrame) -> DataFrame:
-    """For each item the claim of its gold pmids whose subject and outcome are most alike: mean of the two Jaccard similarities, ties to the smaller claim id."""
+    """For each item the claim of its gold pmids whose subject and outcome are most alike: both Jaccard similarities and their mean, ties to the smaller claim id."""
     r = rows.select("pmid", "claim_id", F.col("subject").alias("s"), F.col("object").alias("o")).distinct()
-    score = (vectors.jaccard(text.name_words(F.col("subject")), text.name_words(F.col("s"))) + vectors.jaccard(text.name_words(F.col("object")), text.name_words(F.col("o")))) / 2
-    j = gold.join(r, "pmid").select("item_id", "claim_id", F.round(score, 6).alias("score"))
+    alike = lambda a, b: vectors.jaccard(text.name_words(F.col(a)), text.name_words(F.col(b)))
+    j = gold.join(r, "pmid").select("item_id", "claim_id", alike("subject", "s").alias("subject_score"), alike("object", "o").alias("outcome_score")).withColumn("score", F.round((F.col("subject_score") + F.col("outcome_score")) / 2, 6))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "claim_id")
     return j.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
-def compatibility(gold: DataFrame, rows: DataFrame) -> DataFrame:
-    """What a graph holds of each item's gold: share of its pmids, and a category."""
+def compatibility(gold: DataFrame, rows: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """What a graph holds and retrieves of each item's gold.
+
+    ``retrieved``: item_id, pmid, rank. Shares of the gold pmids that the graph holds and that are among the first 10 and 20
+    retrieved, the best anchor claim of the gold pmids, and a category: the first that applies, from pmids that are absent over
+    all, some, or only later ones retrieved, to how close the anchor is where none is.
+    """
+    g = gold.select("item_id", "pmid").distinct()
     held = rows.select("pmid").distinct().withColumn("held", F.lit(1))
-    cover = gold.select("item_id", "pmid").distinct().join(held, "pmid", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("held", F.lit(0))), 6).alias("coverage"))
-    out = cover.join(anchors(gold, rows), "item_id", "left")
-    kind = F.when(F.col("coverage") == 0, "missing").when(F.coalesce("score", F.lit(0.0)) >= 0.8, "anchored").when(F.col("coverage") == 1, "covered").otherwise("partial")
-    return out.select("item_id", "coverage", F.coalesce("score", F.lit(0.0)).alias("anchor_score"), kind.alias("category"))
+    first = retrieved.groupBy("item_id", "pmid").agg(F.min("rank").alias("rank"))
+    j = g.join(held, "pmid", "left").join(first, ["item_id", "pmid"], "left")
+    n = j.groupBy("item_id").agg(F.count("*").alias("n"), F.count("held").alias("held"), F.count_if(F.col("rank") <= 10).alias("n10"), F.count_if(F.col("rank") <= 20).alias("n20"))
+    out = n.join(anchors(gold, rows), "item_id", "left").na.fill(0.0, ["subject_score", "outcome_score", "score"])
+    near = lambda c: F.round(c, 9) >= 0.8
+    kind = (
+        F.when(F.col("held") == 0, "gold_pmids_absent_from_new_graph")
+        .when(F.col("n10") == F.col("n"), "all_gold_pmids_retrieved_top10")
+        .when(F.col("n10") > 0, "partial_gold_pmids_retrieved_top10")
+        .when(F.col("n20") > 0, "gold_pmids_rank_11_20")
+        .when(near("subject_score") & near("outcome_score"), "anchor_claim_present_but_not_retrieved_top20")
+        .when(near("subject_score") | near("outcome_score"), "gold_pmids_present_but_anchor_changed")
+        .otherwise("gold_pmids_present_but_no_close_anchor")
+    )
+    share = lambda c: F.round(F.col(c) / F.col("n"), 4)
+    return out.select("item_id", share("held").alias("coverage"), share("n10").alias("recall_10"), share("n20").alias("recall_20"), F.col("score").alias("anchor_score"), kind.alias("category"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom import lexicons as L
 from claimloom.functions import scoring, text
+from claimloom.operators.graph import contained_names
 
 
 def latest_articles(articles: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def resolved(selected: DataFrame, metadata: DataFrame, *, factor: float = 1.25)
     )
 
 
-def paper_scores(articles: DataFrame, institutions: Sequence[str], funders: dict[str, Sequence[str]]) -> DataFrame:
-    """Study type, sample size, institution and funding scores of every article, their weighted sum and its grade.
+def paper_scores(articles: DataFrame, institutions: Sequence[str], funders: dict[str, Sequence[str]], journals: DataFrame) -> DataFrame:
+    """Study type, sample size, journal, institution and funding scores of every article, their weighted sum and its grade.
 
     ``institutions`` are names that count when an affiliation contains one; ``funders`` lists keywords of government, non_profit,
     industry and academic agencies.
@@ -63,8 +64,8 @@ def paper_scores(articles: DataFrame, institutions: Sequence[str], funders: dict
     )
     points = F.create_map(*[F.lit(x) for kv in {"none": 5.0, "mixed": 6.0, "industry": 3.0, "government": 10.0, "non_profit": 8.0, "academic": 7.0, "unknown": 5.0}.items() for x in kv])
     rows = articles.select("pmid", study["score"].alias("study_score"), study["label"].alias("study_label"), n.alias("sample_size"), scoring.sample_score(n, trial_like).alias("sample_score"), known.alias("institution_score"), kind.alias("funding"))
-    rows = rows.withColumn("funding_score", points[F.col("funding")])
-    total = F.round(F.col("study_score") * 0.25 + F.col("sample_score") * 0.2 + F.lit(3.0) * 0.2 + F.col("institution_score") * 0.15 + F.col("funding_score") * 0.2, 6)
+    rows = rows.withColumn("funding_score", points[F.col("funding")]).join(journal_scores(articles, journals), "pmid")
+    total = F.round(F.col("study_score") * 0.25 + F.col("sample_score") * 0.2 + F.col("journal_score") * 0.2 + F.col("institution_score") * 0.15 + F.col("funding_score") * 0.2, 6)
     return rows.withColumn("total", total).withColumn("grade", scoring.grade(F.col("total")))
 
 
@@ -111,20 +112,62 @@ def expansion(articles: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def journal_match(names: DataFrame, journals: DataFrame) -> DataFrame:
-    """For every journal name its entry of a list: the same name, else the first in the list's order that contains it or is contained in it.
+    """For every journal name its entry of a list: the same name, else the first in the list's order that contains it or is contained in it, else the first that contains what is left of the name without its filling words.
 
-    ``names`` has journal; ``journals`` has title and ordinal. Only distinct names take part, and the containment join is against
-    the list alone.
+    ``names`` has journal; ``journals`` has title and ordinal. Only distinct names take part. Names meet titles on their rarest
+    three characters, so neither side is compared as a whole with the other.
     """
     n = names.select(F.lower(text.strip(F.col("journal"))).alias("journal")).where("journal <> ''").distinct()
-    j = journals.select(F.lower(text.strip(F.col("title"))).alias("title"), "ordinal").where("title <> ''")
-    exact = n.join(j, n["journal"] == j["title"]).groupBy("journal").agg(F.min_by("title", "ordinal").alias("title")).withColumn("how", F.lit("exact"))
-    rest = n.join(exact.select("journal"), "journal", "left_anti")
-    part = rest.join(j, F.contains(rest["journal"], j["title"]) | F.contains(j["title"], rest["journal"])).groupBy("journal").agg(F.min_by("title", "ordinal").alias("title")).withColumn("how", F.lit("contained"))
-    found = exact.unionByName(part)
+    j = journals.select(F.lower(text.strip(F.col("title"))).alias("title"), "ordinal").where("title <> ''").groupBy("title").agg(F.min("ordinal").alias("ordinal"))
+    exact = n.join(j, n["journal"] == j["title"]).select("journal", "title", F.lit("exact").alias("how"))
+    words = F.col("journal")
+    for w in ("journal", "of", "and", "the"):
+        words = F.replace(words, F.lit(w), F.lit(""))
+    rest = n.join(exact.select("journal"), "journal", "left_anti").withColumn("words", text.strip(words))
+    pool = rest.select(F.explode(F.array("journal", "words")).alias("name")).unionByName(j.select(F.col("title").alias("name"))).where("name <> ''").distinct().withColumn("entity_type", F.lit("journal"))
+    pairs = contained_names(pool)
+    pairs = pairs.select(F.explode(F.array(F.struct(F.col("entity_a").alias("a"), F.col("entity_b").alias("title")), F.struct(F.col("entity_b").alias("a"), F.col("entity_a").alias("title")))).alias("p")).select("p.*").join(j, "title")
+    part = rest.join(pairs, rest["journal"] == pairs["a"]).groupBy("journal").agg(F.min_by("title", "ordinal").alias("title")).withColumn("how", F.lit("contained"))
+    left = rest.where("words <> ''").join(part.select("journal"), "journal", "left_anti")
+    inner = pairs.where(F.contains("title", "a")).select(F.col("a").alias("words"), "title", "ordinal").unionByName(j.select(F.col("title").alias("words"), "title", "ordinal"))
+    by_words = left.join(inner, "words").groupBy("journal").agg(F.min_by("title", "ordinal").alias("title")).withColumn("how", F.lit("words"))
+    found = exact.unionByName(part).unionByName(by_words)
     return n.join(found, "journal", "left").withColumn("how", F.coalesce("how", F.lit("none")))
 
 
+def journal_tier(sjr: Column, ranked: Column) -> Column:
+    """Score and tier of a journal by its rank indicator; ``ranked`` says whether the list has the journal."""
+    steps = ((10.0, 10.0, "top"), (5.0, 9.0, "excellent"), (3.0, 8.0, "high"), (2.0, 7.0, "good"), (1.0, 6.0, "medium"), (0.5, 5.0, "fair"))
+    pair = lambda s, t: F.struct(F.lit(s).alias("score"), F.lit(t).alias("tier"))
+    out = F.when(~ranked, pair(3.0, "unranked"))
+    for low, score, tier in steps:
+        out = out.when(sjr >= low, pair(score, tier))
+    return out.when(sjr > 0, pair(4.0, "low")).otherwise(pair(3.0, "unranked"))
+
+
+def journal_scores(articles: DataFrame, journals: DataFrame) -> DataFrame:
+    """``pmid``, ``journal_score``, ``journal_tier`` of every article; ``journals`` has title, ordinal and sjr. Without a journal 0, unknown."""
+    key = F.lower(text.strip(F.coalesce("journal", F.lit(""))))
+    sjr = journals.groupBy(F.lower(text.strip(F.col("title"))).alias("title")).agg(F.min_by("sjr", "ordinal").alias("sjr"))
+    known = journal_match(articles.select("journal"), journals).join(sjr, "title", "left").select(F.col("journal").alias("_j"), "sjr")
+    j = articles.select("pmid", key.alias("_j")).join(known, "_j", "left")
+    tier = F.when(F.col("_j") == "", F.struct(F.lit(0.0).alias("score"), F.lit("unknown").alias("tier"))).otherwise(journal_tier(F.coalesce("sjr", F.lit(0.0)), F.col("sjr").isNotNull()))
+    return j.select("pmid", tier["score"].alias("journal_score"), tier["tier"].alias("journal_tier"))
+
+
+def detected_types(articles: DataFrame) -> DataFrame:
+    """``pmid`` and the coarse study type its publication types name."""
+    t = F.lower(F.array_join(scoring.type_names(F.col("publication_types")), "\n"))
+    kind = F.when(t.contains("randomized"), "RCT").when(t.contains("meta-analysis"), "Meta-analysis").when(t.contains("systematic review"), "Systematic review").otherwise("Other")
+    return articles.select("pmid", kind.alias("study_type"))
+
+
+def worth_retrying(articles: DataFrame, *, out: Sequence[str] = L.OUT_OF_SCOPE_SUBJECTS, within: Sequence[str] = L.IN_SCOPE_SUBJECTS) -> DataFrame:
+    """Articles that name a subject in scope and none out of it, in title or abstract: another pass may find claims the first did not."""
+    t = text.norm(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
+    return articles.where(~text.contains_any(t, out) & text.contains_any(t, within))
+
+
 def evidence_of(c: Column) -> Column:
     """Whether a text has a p-value, a confidence interval or a sample size."""
     return text.p_value(c).isNotNull() | c.rlike(r"(?i)95%\s*CI") | text.first_sample(c).isNotNull()

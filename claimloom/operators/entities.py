@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,33 +31,27 @@ def merged_greedily(names: DataFrame, pairs: DataFrame, *, least: float = 0.92,
 
     ``names``: entity_type, key, first_id; ``pairs``: entity_type, entity_a, entity_b, similarity. A name joins the most similar
     earlier canonical name, of equally similar ones the first seen, if their similarity is at least ``least``, else it is
-    canonical itself. Names of other types than ``types`` stay as they are. Only names that have such a pair take part in the pass; connected names are kept together by the smallest name they reach, found by repeated joins, so a
-    group holds one cluster and not a whole type.
+    canonical itself. Names of other types than ``types`` stay as they are.
+
+    A name can be decided as soon as all earlier names like it are, so every round decides, all over the table, the names whose
+    earlier neighbours are decided; the others wait. There are as many rounds as the longest chain of names that each wait for the
+    one before (few, as it has to follow the order of first sight), and no cluster is brought together in a task.
     """
     close = pairs.where((F.col("similarity") >= least) & F.col("entity_type").isin(*types)).select("entity_type", "entity_a", "entity_b", "similarity")
-    both = close.select("entity_type", F.col("entity_a").alias("key"), F.col("entity_b").alias("other"), "similarity").unionByName(close.select("entity_type", F.col("entity_b").alias("key"), F.col("entity_a").alias("other"), "similarity"))
+    both = close.select("entity_type", F.col("entity_a").alias("key"), F.col("entity_b").alias("other"), "similarity").unionByName(close.select("entity_type", F.col("entity_b").alias("key"), F.col("entity_a").alias("other"), "similarity")).distinct()
+    seen = names.select("entity_type", "key", "first_id")
+    place = lambda k: F.struct(F.col(f"{k}_id").alias("i"), F.col(k).alias("k"))
+    j = both.join(seen.withColumnRenamed("first_id", "key_id"), ["entity_type", "key"]).join(seen.select("entity_type", F.col("key").alias("other"), F.col("first_id").alias("other_id")), ["entity_type", "other"])
+    waiting = written(j.where(place("other") < place("key")).select("entity_type", "key", "other", "other_id", "similarity"), "earlier-names")
     linked = both.select("entity_type", "key").distinct()
-    root = linked.withColumn("root", F.col("key"))
-    while True:  # label spreading; as many rounds as the longest chain
-        lower = both.join(root.withColumnRenamed("key", "other"), ["entity_type", "other"]).groupBy("entity_type", "key").agg(F.min("root").alias("low"))
-        step = root.join(lower, ["entity_type", "key"]).select("entity_type", "key", F.least("root", "low").alias("new"), (F.col("low") < F.col("root")).alias("moved"))
-        step = written(step, "entity-roots")
-        root = step.select("entity_type", "key", F.col("new").alias("root"))
-        if step.where("moved").isEmpty():
-            break
-    grouped = both.join(root, ["entity_type", "key"]).join(names.select("entity_type", "key", "first_id"), ["entity_type", "key"])
-    grouped = grouped.select("entity_type", "root", "key", "first_id", "other", "similarity")
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[tuple[str, float]]] = {}
-        for k, o, s in zip(g["key"], g["other"], g["similarity"], strict=True):
-            near.setdefault(k, []).append((o, s))
-        seen: dict[str, str] = {}
-        place: dict[str, int] = {}
-        for k in g[["key", "first_id"]].drop_duplicates().sort_values(["first_id", "key"])["key"]:
-            best = min(((-s, place[o], o) for o, s in near[k] if seen.get(o) == o), default=None)
-            place[k], seen[k] = len(place), best[2] if best else k
-        return pd.DataFrame({"entity_type": g["entity_type"].iloc[0], "key": list(seen), "canonical": list(seen.values())})
-
-    joined = grouped.groupBy("entity_type", "root").applyInPandas(one, "entity_type string, key string, canonical string")
-    return names.select("entity_type", "key").join(joined, ["entity_type", "key"], "left").withColumn("canonical", F.coalesce("canonical", "key"))
+    done = written(linked.join(waiting, ["entity_type", "key"], "left_anti").withColumn("canonical", F.col("key")), "decided-names")
+    rounds = [done]
+    while not waiting.isEmpty():
+        known = reduce(DataFrame.unionByName, rounds).select("entity_type", F.col("key").alias("other"), (F.col("canonical") == F.col("key")).alias("stands"))
+        stand = F.when(F.col("stands"), F.struct((-F.col("similarity")).alias("s"), F.col("other_id").alias("i"), F.col("other").alias("o")))
+        ready = waiting.join(known, ["entity_type", "other"], "left").groupBy("entity_type", "key").agg(F.count_if(F.col("stands").isNull()).alias("open"), F.min(stand).alias("best")).where("open = 0")
+        done = written(ready.select("entity_type", "key", F.coalesce("best.o", "key").alias("canonical")), "decided-names")
+        rounds.append(done)
+        waiting = written(waiting.join(done.select("entity_type", "key"), ["entity_type", "key"], "left_anti"), "waiting-names")
+    decided = reduce(DataFrame.unionByName, rounds)
+    return names.select("entity_type", "key").join(decided, ["entity_type", "key"], "left").withColumn("canonical", F.coalesce("canonical", "key"))

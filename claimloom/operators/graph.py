@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import name_words, node_id
+from pyspark.sql.window import Window
+
+from claimloom.functions.text import clean_format, name_words, node_id, strip
 from claimloom.functions.vectors import name_similarity
 
 
@@ -103,6 +105,22 @@ def _grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, n)))
 
 
+def contained_in(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """``part``, ``whole_id`` of all texts (``whole_id``, ``whole``) that contain a part (``part``) as it stands, each once.
+
+    A part meets the texts on its rarest three characters, or as a whole if it is shorter; texts are there under their
+    stretches of three characters, and of one and two where a part is that short.
+    """
+    short = parts.select("part").where("part <> '' and length(part) < 3").distinct()
+    long = parts.select("part").where("length(part) >= 3").distinct()
+    three = wholes.select("whole_id", F.explode(_grams(F.col("whole"), 3)).alias("gram"))
+    often = three.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = long.select("part", F.explode(_grams(F.col("part"), 3)).alias("gram")).join(often, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("gram"))
+    few = wholes.select("whole_id", F.explode(F.concat(_grams(F.col("whole"), 1), _grams(F.col("whole"), 2))).alias("gram")).join(short.withColumnRenamed("part", "gram"), "gram")
+    met = rarest.join(three, "gram").select("part", "whole_id")
+    return met.join(wholes, "whole_id").where(F.contains("whole", "part")).select("part", "whole_id").unionByName(few.select(F.col("gram").alias("part"), "whole_id")).distinct()
+
+
 def contained_names(names: DataFrame) -> DataFrame:
     """Pairs of names of one type of which one contains the other, anywhere and regardless of case, each once.
 
@@ -128,30 +146,127 @@ def candidate_names(names: DataFrame, *, least: float = 0.45) -> DataFrame:
     return pairs.withColumn("similarity", F.round(name_similarity(F.col("entity_a"), F.col("entity_b")), 6)).where(F.col("similarity") >= least)
 
 
-def edited(merged: DataFrame, edits: DataFrame) -> DataFrame:
-    """Claims after a table of edits: ``action``, ``entity_type``, ``name``, ``target``.
+def orphans(merged: DataFrame, names: DataFrame) -> DataFrame:
+    """Entities (``entity_type``, ``name``) that no claim has as subject or object, regardless of case."""
+    low = lambda df: df.select("entity_type", F.lower("name").alias("_low")).distinct()
+    return names.select("entity_type", "name", F.lower("name").alias("_low")).join(low(entities(merged)), ["entity_type", "_low"], "left_anti").select("entity_type", "name").distinct()
+
+
+def referenced(merged: DataFrame, names: DataFrame) -> DataFrame:
+    """Entities that some claim has as subject or object, regardless of case."""
+    low = entities(merged).select("entity_type", F.lower("name").alias("_low")).distinct()
+    return names.withColumn("_low", F.lower("name")).join(low, ["entity_type", "_low"], "left_semi").drop("_low")
 
-    merge and rename put the target for the name, retype another type for the entity, set_name a display name; an entity marked
-    out of scope leaves a flag on its claims. Deletions touch no claim: an entity without claims is no node, one with claims
-    stays. If several edits of one kind name an entity the smallest target wins.
+
+def _known(merged: DataFrame, others: DataFrame | None) -> DataFrame:
+    """``entity_type``, ``name`` and number of claims of all nodes; ``others`` are nodes without claims."""
+    known = entities(merged).select("entity_type", "name", (F.col("as_subject") + F.col("as_object")).alias("n_claims"))
+    if others is None:
+        return known
+    return known.unionByName(others.select("entity_type", "name", F.lit(0).cast("bigint").alias("n_claims"))).groupBy("entity_type", "name").agg(F.max("n_claims").alias("n_claims"))
+
+
+def edit_results(merged: DataFrame, edits: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Every edit (``action``, ``entity_type``, ``name``, ``target``) with whether it can be made and, if not, why.
+
+    A merge needs the entity or its target, a rename an entity and no target of its new name, an entity is deleted only without
+    claims, everything else needs the entity. Edits of one table are judged by the graph before any of them.
     """
-    e = edits.groupBy("entity_type", "name").agg(
-        F.min(F.when(F.col("action").isin("merge", "rename", "set_name"), F.col("target"))).alias("to_name"),
-        F.min(F.when(F.col("action") == "retype", F.col("target"))).alias("to_type"),
-        F.bool_or(F.col("action") == "mark_out_of_scope").alias("out"),
-    )
-    s = e.select(F.col("entity_type").alias("subject_type"), F.col("name").alias("subject"), F.col("to_name").alias("s_name"), F.col("to_type").alias("s_type"), F.col("out").alias("s_out"))
-    o = e.select(F.col("entity_type").alias("object_type"), F.col("name").alias("object"), F.col("to_name").alias("o_name"), F.col("to_type").alias("o_type"), F.col("out").alias("o_out"))
-    joined = merged.join(s, ["subject_type", "subject"], "left").join(o, ["object_type", "object"], "left")
-    flag = lambda out, kind, name: F.when(F.col(out), F.concat(F.lit("entity_out_of_scope:"), F.col(kind), F.lit(":"), F.col(name)))
-    return joined.select(
-        "claim_id",
-        F.coalesce("s_type", "subject_type").alias("subject_type"),
-        F.coalesce("s_name", "subject").alias("subject"),
-        F.coalesce("o_type", "object_type").alias("object_type"),
-        F.coalesce("o_name", "object").alias("object"),
-        "direction",
-        "evidence_count",
-        "claim_text",
-        F.array_compact(F.array(flag("s_out", "subject_type", "subject"), flag("o_out", "object_type", "object"))).alias("quality_flags"),
+    known = _known(merged, others)
+    e = edits.select("action", "entity_type", "name", "target").distinct()
+    own = known.select("entity_type", "name", "n_claims")
+    new = known.select("entity_type", F.col("name").alias("target"), F.lit(True).alias("taken"))
+    j = e.join(own, ["entity_type", "name"], "left").join(new, ["entity_type", "target"], "left")
+    exists, taken, act = F.col("n_claims").isNotNull(), F.coalesce("taken", F.lit(False)), F.col("action")
+    why = (
+        F.when((act == "merge") & ~exists & ~taken, "neither exists")
+        .when(act == "merge", None)
+        .when(~act.isin("rename", "retype", "set_name", "mark_out_of_scope", "delete", "delete_orphan"), "unknown action")
+        .when(~exists, "no such entity")
+        .when((act == "rename") & taken & (F.col("name") != F.col("target")), "new name exists")
+        .when(act.isin("delete", "delete_orphan") & (F.col("n_claims") > 0), "has claims")
     )
+    return j.select("action", "entity_type", "name", "target", why.isNull().alias("success"), why.alias("reason"))
+
+
+def _mapping(merged: DataFrame, edits: DataFrame, others: DataFrame | None) -> DataFrame:
+    """What each entity becomes by the edits that can be made; of several of one kind the smallest target counts."""
+    e = edit_results(merged, edits, others).where("success")
+    pick = lambda *a: F.min(F.when(F.col("action").isin(*a), F.col("target")))
+    return e.groupBy("entity_type", "name").agg(pick("merge", "rename").alias("to_name"), pick("retype").alias("to_type"), pick("set_name").alias("display"), F.bool_or(F.col("action") == "mark_out_of_scope").alias("out"), F.bool_or(F.col("action").isin("delete", "delete_orphan")).alias("gone"))
+
+
+def edited_nodes(merged: DataFrame, edits: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Entity nodes after the edits: ``node_id``, ``entity_type``, ``name``, ``display_name`` and ``quality_status``.
+
+    A display name leaves the node's id as it is. A merged entity gives its claims to the target and is gone.
+    """
+    j = _known(merged, others).join(_mapping(merged, edits, others), ["entity_type", "name"], "left").where("not coalesce(gone, false)")
+    kind, name = F.coalesce("to_type", "entity_type"), F.coalesce("to_name", "name")
+    rows = j.select(kind.alias("entity_type"), name.alias("name"), "display", F.when(F.col("out"), "out_of_scope").alias("q"))
+    return rows.groupBy("entity_type", "name").agg(F.min("display").alias("display_name"), F.min("q").alias("quality_status")).select(node_id(F.col("entity_type"), F.col("name")).alias("node_id"), "entity_type", "name", "display_name", "quality_status")
+
+
+def edited(merged: DataFrame, edits: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Claims after the edits that can be made (``edit_results``); claim ids stay.
+
+    merge and rename put the target for the name, retype another type for the entity; both change the node that a claim hangs on
+    (``subject_id``, ``object_id``). set_name changes the name that claims show and no node id. An entity marked out of scope
+    leaves a flag on its claims. An entity with claims can't be deleted.
+    """
+    e = _mapping(merged, edits, others)
+    side = lambda x: e.select(F.col("entity_type").alias(f"{x}_type"), F.col("name").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("to_name", "to_type", "display", "out")])
+    joined = merged.join(side("subject"), ["subject_type", "subject"], "left").join(side("object"), ["object_type", "object"], "left")
+    flag = lambda x: F.when(F.col(f"{x}_out"), F.concat(F.lit("entity_out_of_scope:"), F.col(f"{x}_type"), F.lit(":"), F.col(x)))
+    cols = []
+    for x in ("subject", "object"):
+        kind, name = F.coalesce(f"{x}_to_type", f"{x}_type"), F.coalesce(f"{x}_to_name", x)
+        cols += [node_id(kind, name).alias(f"{x}_id"), kind.alias(f"{x}_type"), F.coalesce(f"{x}_display", name).alias(x)]
+    return joined.select("claim_id", *cols, "direction", "evidence_count", "claim_text", F.array_compact(F.array(flag("subject"), flag("object"))).alias("quality_flags"))
+
+
+def search_entities(queries: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """The k entities most alike each query by name (``query_id``, ``query``): Jaccard of the parts, at least 0.75 if one name contains the other; ties by name.
+
+    Names are compared only if they share a part or one contains the other; with the others the similarity is 0.
+    """
+    parts = lambda c: F.array_distinct(F.split(F.lower(c), "_"))
+    q = queries.select("query_id", clean_format(F.lower(strip(F.coalesce("query", F.lit(""))))).alias("query")).where("query <> ''")
+    n = names.select("entity_type", "name").where("name <> ''").distinct()
+    asked = q.select(F.lit("q").alias("entity_type"), F.col("query").alias("name")).distinct()
+    words_q = asked.select(F.col("name").alias("query"), F.explode(parts(F.col("name"))).alias("part"))
+    words_n = n.select("entity_type", "name", F.explode(parts(F.col("name"))).alias("part"))
+    pairs = words_q.join(words_n, "part").select("query", "entity_type", "name")
+    both = asked.unionByName(n.select(F.lit("q").alias("entity_type"), "name")).distinct()
+    held = contained_names(both).select(F.explode(F.array(F.struct(F.col("entity_a").alias("query"), F.col("entity_b").alias("name")), F.struct(F.col("entity_b").alias("query"), F.col("entity_a").alias("name")))).alias("p")).select("p.query", "p.name")
+    held = held.join(asked.select(F.col("name").alias("query")), "query", "left_semi").join(n, "name").select("query", "entity_type", "name")
+    scored = pairs.unionByName(held).distinct().withColumn("score", F.round(name_similarity(F.col("query"), F.col("name")), 6)).where("score > 0")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "name", "entity_type")
+    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return q.join(top, "query").select("query_id", "entity_type", "name", "score", "rank")
+
+
+def entity_info(merged: DataFrame, names: DataFrame, asked: DataFrame) -> DataFrame:
+    """For asked entities (``entity_type``, ``name``) what is known: aliases (of ``names``: entity_type, name, alias), claims as subject and object, evidence, and how many claims of each direction."""
+    ends = neighbours(merged.select("*")).join(merged.select("claim_id", "evidence_count"), "claim_id")
+    d = lambda x: F.count_if(F.col("direction") == x).alias(f"n_{x}")
+    known = ends.groupBy("entity_type", F.col("entity").alias("name")).agg(F.count_if(F.col("role") == "as_subject").alias("as_subject"), F.count_if(F.col("role") == "as_object").alias("as_object"), F.sum("evidence_count").alias("evidence"), d("positive"), d("negative"), d("neutral"))
+    alias = names.where("alias <> name").groupBy("entity_type", "name").agg(F.array_join(F.array_sort(F.collect_set("alias")), ";").alias("aliases"))
+    return asked.select("entity_type", "name").distinct().join(known, ["entity_type", "name"], "left").join(alias, ["entity_type", "name"], "left").withColumn("found", F.col("evidence").isNotNull())
+
+
+def article_claims(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """Claims of every article with their texts, a row each."""
+    return rows.select("pmid", "claim_id").where("pmid <> ''").distinct().join(merged.select("claim_id", "claim_text"), "claim_id").select("pmid", "claim_id", "claim_text")
+
+
+def top_entities(merged: DataFrame, n: int = 10) -> DataFrame:
+    """The n subjects of each type with most claims; ties by name."""
+    best = Window.partitionBy("subject_type").orderBy(F.desc("n_claims"), "subject")
+    each = merged.groupBy("subject_type", "subject").agg(F.count("*").alias("n_claims"), F.sum("evidence_count").alias("evidence"))
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
+def evidence_articles(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """From retrieved claims (``query_id``, ``claim_id``) to the articles their evidence comes from, a row each."""
+    return hits.select("query_id", "claim_id").distinct().join(rows.select("claim_id", "pmid").where("pmid <> ''").distinct(), "claim_id").select("query_id", "pmid").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimloom import lexicons as L
 from claimloom.functions import text
@@ -21,6 +22,14 @@ def summary(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return one.select(F.expr(f"stack({len(names)}, " + ", ".join(f"'{n}', cast({n} as bigint)" for n in names) + ") as (measure, n)"))
 
 
+def validation(rows: DataFrame, most: int = 5) -> DataFrame:
+    """For every article its claims, those kept, and the first ``most`` of what was rejected, as reason and subject, each once."""
+    n = rows.groupBy("pmid").agg(F.count("*").alias("original"), F.count_if(F.col("reject_reason").isNull()).alias("kept"))
+    bad = rows.where("reject_reason is not null").select("pmid", F.concat_ws(":", "reject_reason", "subject").alias("x")).distinct()
+    first = bad.withColumn("_r", F.row_number().over(Window.partitionBy("pmid").orderBy("x"))).where(F.col("_r") <= most).groupBy("pmid").agg(F.array_sort(F.collect_list("x")).alias("invalid"))
+    return n.join(first, "pmid", "left").withColumn("invalid", F.coalesce("invalid", F.array().cast("array<string>")))
+
+
 def recommendation(measures: dict[str, int]) -> list[str]:
     """Reasons to review a run; none: it looks clean."""
     out = []
@@ -81,7 +90,5 @@ def selected(candidates: DataFrame, limit: int) -> DataFrame:
     number = F.regexp_extract("issue_id", r"(\d+)", 1).cast("int")
     ranked = live.withColumns({"_s": F.coalesce(rank("severity", L.SEVERITY_PRIORITY), F.lit(3)), "_a": rank("action", L.ACTION_PRIORITY), "_n": number})
     once = ranked.groupBy("review_id", "issue_id", "entity", "action").agg(F.min(F.struct("_s", "_a", "_n", "pos", "severity")).alias("x"))
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("review_id").orderBy("x._s", "x._a", "x._n", "entity")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("review_id", "rank", "issue_id", "entity", "action", F.col("x.severity").alias("severity"))

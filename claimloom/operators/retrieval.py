@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions import text
+from claimloom.operators.graph import contained_in
+from claimloom.session import bounded, written
 
 CUTS = (1, 3, 5, 10, 20)
 
@@ -21,73 +23,99 @@ def ranked(scores: DataFrame, k: int, *, query: str = "query_id", item: str = "i
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def lexical_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """Overlap of word bags over the product of their norms, plus 0.25 for each of the item's phrases (``phrases``, an array) that the query contains.
+def _bags(df: DataFrame, key: str, c: str) -> DataFrame:
+    return df.select(key, F.explode(text.bag(F.col(c))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
-    ``queries``: query_id, query; ``items``: item_id, text, phrases. Queries and items meet on their words, so only pairs that
-    share one are scored.
+
+def lexical_top(queries: DataFrame, items: DataFrame, k: int, *, common: float = 0.1) -> DataFrame:
+    """The k best items of each query, exactly: ``query_id``, ``item_id``, ``score``, ``rank``.
+
+    The score is the overlap of word bags over the product of their norms, plus 0.25 for each of the item's phrases (``phrases``,
+    an array) that the query contains; items that share no word have none. ``queries``: query_id, query; ``items``: item_id, text,
+    phrases.
+
+    Words in more than the share ``common`` of the items bring no pair together. Queries and items meet on other words and on
+    contained phrases; what the common words add to such a pair is taken from short arrays (there are at most average length /
+    ``common`` of these words). An item that shares nothing but common words can't have more than their part over the smallest
+    norm; queries whose kth score is not above that bound, which are few, are scored against all items that share any word.
     """
-    def bags(df: DataFrame, key: str, c: str) -> DataFrame:
-        return df.select(key, F.explode(text.bag(F.col(c))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-
-    q, i = bags(queries, "query_id", "query"), bags(items, "item_id", "text")
-    qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("q_norm"))
-    inorm = i.groupBy("item_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("i_norm"))
-    shared = q.withColumnRenamed("n", "qn").join(i, "word").groupBy("query_id", "item_id").agg(F.sum(F.least("qn", "n")).alias("overlap"))
-    scored = shared.join(qn, "query_id").join(inorm, "item_id").join(queries.select("query_id", F.lower("query").alias("query")), "query_id").join(items.select("item_id", "phrases"), "item_id")
+    q, i = _bags(queries, "query_id", "query"), written(_bags(items, "item_id", "text"), "item-words")
+    n_items = items.count()
+    df = i.groupBy("word").agg(F.count("*").alias("df"), F.max("n").alias("most"))
+    frequent = bounded(df.where(F.col("df") > common * n_items).orderBy("word"), 100_000, "common words")
+    words = [r["word"] for r in frequent]
+    known = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    info = written(_with_common(i, "item_id", known).join(items.select("item_id", "phrases"), "item_id"), "item-norms")
+    asked = written(_with_common(q, "query_id", known).join(queries.select("query_id", F.lower("query").alias("query")), "query_id"), "query-norms")
+    rare = lambda d: d.where(~F.array_contains(known, F.col("word"))) if words else d
+    by_word = rare(q).withColumnRenamed("n", "qn").join(rare(i), "word").groupBy("query_id", "item_id").agg(F.sum(F.least("qn", "n")).alias("o"))
+    phrase = items.select("item_id", F.explode("phrases").alias("part")).where("part <> ''").distinct()
+    inside = contained_in(phrase.select("part"), asked.select(F.col("query_id").alias("whole_id"), F.col("query").alias("whole")))
+    by_phrase = inside.withColumnRenamed("whole_id", "query_id").join(phrase, "part").select("query_id", "item_id", F.lit(0).cast("bigint").alias("o"))
+    pairs = by_word.unionByName(by_phrase).groupBy("query_id", "item_id").agg(F.sum("o").alias("o"))
+    first = written(ranked(_scored(pairs, asked, info), k), "lexical-candidates")
+    low = info.agg(F.min("norm")).first()[0] or 1.0
+    most = F.array(*[F.lit(r["most"]) for r in frequent]) if words else F.array().cast("array<bigint>")
+    bound = _shared(F.col("common"), most) / (F.col("norm") * low)
+    kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    open_ = asked.join(kth, "query_id", "left").where(bound > 0).where(F.coalesce("kth", F.lit(-1.0)) <= bound + 2e-6).select("query_id")
+    open_ = written(open_, "open-queries")
+    if open_.isEmpty():
+        return first
+    rest = q.join(open_, "query_id", "left_semi").select("query_id", "word").join(i.select("item_id", "word"), "word").select("query_id", "item_id").distinct()
+    again = rest.join(pairs, ["query_id", "item_id"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    return first.join(open_, "query_id", "left_anti").unionByName(ranked(_scored(again, asked, info), k))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda x, y: x + y)
+
+
+def _with_common(bags: DataFrame, key: str, known: Column) -> DataFrame:
+    """By key the norm of its bag, and how often it has each common word."""
+    held = F.when(F.array_contains(known, F.col("word")), F.struct("word", "n"))
+    g = bags.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.map_from_entries(F.collect_list(held)).alias("_m"))
+    return g.select(key, "norm", F.transform(known, lambda w: F.coalesce(F.element_at("_m", w), F.lit(0).cast("bigint"))).alias("common"))
+
+
+def _scored(pairs: DataFrame, asked: DataFrame, info: DataFrame) -> DataFrame:
+    j = pairs.join(info.select("item_id", F.col("norm").alias("i_norm"), F.col("common").alias("ic"), "phrases"), "item_id").join(asked.select("query_id", F.col("norm").alias("q_norm"), F.col("common").alias("qc"), "query"), "query_id")
     bonus = F.size(F.filter("phrases", lambda p: (p != "") & F.contains(F.col("query"), p))) * 0.25
-    return scored.select("query_id", "item_id", F.round(F.col("overlap") / (F.col("q_norm") * F.col("i_norm")) + bonus, 6).alias("score"))
+    both = F.col("o") + _shared(F.col("ic"), F.col("qc"))
+    return j.withColumn("_b", both).where("_b > 0").select("query_id", "item_id", F.round(F.col("_b") / (F.col("q_norm") * F.col("i_norm")) + bonus, 6).alias("score"))
 
 
-def vector_search(queries: DataFrame, items: DataFrame, k: int, *, dim: int, block: int = 4096) -> DataFrame:
+def vector_search(queries: DataFrame, items: DataFrame, k: int, *, dim: int, block: int = 4096, rows: int = 65_536) -> DataFrame:
     """The k items of highest cosine for each query, exactly: ``query_id``, ``item_id``, ``score``, ``rank``.
 
-    Queries are sent to the items in blocks of ``block`` vectors, whatever their number; every task keeps its k best for each
-    query, so only those are shuffled. Vectors that are null, of another length, zero or not finite take no part.
+    Queries and items are cut into blocks by a hash of their id, so many that a block holds about ``block`` queries or ``rows``
+    items, and each block of queries meets each block of items in one task: a query is sent to every block of items, an item to
+    every block of queries. Nothing passes the driver. A task keeps its k best for each query. Vectors that are null, of another
+    length, zero or not finite take no part.
     """
     fine = lambda c: (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
-    q = queries.where(fine(F.col("vector"))).select("query_id", "vector")
-    it = items.where(fine(F.col("vector"))).select("item_id", "vector")
-    spark = queries.sparkSession
-    out = None
-
-    def unit(col: pa.Array) -> np.ndarray:
-        x = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("f8")
-        return x / np.sqrt((x * x).sum(1, keepdims=True))
-
-    def searcher(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, x = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                items_ids, y = b.column("item_id").to_numpy(), unit(b.column("vector"))
-                sim = np.round(x @ y.T, 9)
-                take = min(k, len(items_ids))
-                order = np.lexsort((np.broadcast_to(items_ids, sim.shape), -sim), axis=1)[:, :take]
-                rows = np.repeat(np.arange(len(ids)), take)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(items_ids[order.ravel()]), pa.array(np.take_along_axis(sim, order, 1).ravel())], names=["query_id", "item_id", "score"])
-
-        return run
-
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rows = []
-        for r in q.toLocalIterator(prefetchPartitions=True):
-            rows.append(r)
-            if len(rows) == block:
-                yield rows
-                rows = []
-        if rows:
-            yield rows
-
-    for rows in blocks():
-        x = np.array([r["vector"] for r in rows], "f8")
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], "i8"), x / np.sqrt((x * x).sum(1, keepdims=True))))
-        part = it.mapInArrow(searcher(shared), "query_id bigint, item_id bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id bigint, item_id bigint, score double")
-    return ranked(out, k)
+    side = lambda df, key: df.where(fine(F.col("vector"))).select(F.col(key).cast("bigint").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
+    q, it = side(queries, "query_id"), side(items, "item_id")
+    nq, ni = max(1, -(-q.count() // block)), max(1, -(-it.count() // rows))
+    cell = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = q.select(cell(nq).alias("qb"), every(ni).alias("ib"), "id", "vector", F.lit(True).alias("asks")).unionByName(it.select(every(nq).alias("qb"), cell(ni).alias("ib"), "id", "vector", F.lit(False).alias("asks")))
+
+    def search(t: pa.Table) -> pa.Table:
+        asks, ids = t.column("asks").to_numpy(), t.column("id").to_numpy()
+        x = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("f8")
+        x = x / np.sqrt((x * x).sum(1, keepdims=True))
+        qid, iid, a, b = ids[asks], ids[~asks], x[asks], x[~asks]
+        take, out = min(k, len(iid)), []
+        step = max(1, 8_000_000 // max(1, len(iid)))
+        for s in range(0, len(qid) if take else 0, step):
+            sim = np.round(a[s : s + step] @ b.T, 9)
+            order = np.lexsort((np.broadcast_to(iid, sim.shape), -sim), axis=1)[:, :take]
+            out.append((np.repeat(qid[s : s + step], take), iid[order.ravel()], np.take_along_axis(sim, order, 1).ravel()))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "item_id", "score"), cols, strict=True)))
+
+    return ranked(both.groupBy("qb", "ib").applyInArrow(search, "query_id bigint, item_id bigint, score double"), k)
 
 
 def fused(scores: DataFrame, k: int) -> DataFrame:

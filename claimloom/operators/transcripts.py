@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import text
 
 
+def script_name(command: Column) -> Column:
+    """The first Python script a shell command names, without its folder; ``unknown`` where there is none."""
+    return F.coalesce(F.nullif(F.regexp_extract(command, r"""(?:^|[\s'"/])([^\s'"/]+\.py)(?:['"]?)(?:\s|$)""", 1), F.lit("")), F.lit("unknown"))
+
+
+def command_query(command: Column) -> Column:
+    """What follows the script, quoted or not, unless it is an option."""
+    quoted, bare = F.regexp_extract(command, r"""\.py['"]?\s+"([^"]*)\"""", 1), F.regexp_extract(command, r"""\.py['"]?\s+([^\s'"-]\S*)""", 1)
+    return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit("")), F.lit(""))
+
+
 def call_statistics(calls: DataFrame) -> DataFrame:
     """For each item its calls, distinct commands, repeats of a command, and the command called most. ``calls``: item_id, ordinal, command."""
     each = calls.groupBy("item_id", "command").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))

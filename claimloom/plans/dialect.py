@@ -82,13 +82,12 @@ def processed() -> str:
     return f"""
     p0 as (select claim_row_id as ordinal, {strip('pmid')} as pmid, {name('subject_name')} as subject, {name('object_name')} as object, {subject_type()} as stype,
              case when {norm('object_type')} = '' then 'outcome' else {norm('object_type')} end as otype, direction as given, {effect('effect_direction')} as eff,
-             {health('health_interpretation')} as hi, effect_size, p_value, study_type, evidence_snippet, dose_info from extracted_claims),
-    p1 as (select *, case when hi = 'unclear' and object <> '' then {inferred('eff', 'object')} else hi end as meant from p0),
-    p2 as (select *, case when eff = 'no_significant_effect' or hi = 'neutral' then 'neutral' when meant = 'beneficial' then 'positive' when meant = 'harmful' then 'negative'
-             else {mapped(norm('given'), L.DIRECTION_SYNONYMS, quoted(''))} end as direction from p1),
+             {health('health_interpretation')} as said, effect_size, p_value, study_type, coalesce(evidence_snippet, '') as evidence_snippet, dose_info, coalesce(confidence, 'medium') as stated from extracted_claims),
+    p1 as (select *, case when eff = 'no_significant_effect' then 'neutral' when said = 'unclear' then {inferred('eff', 'object')} else said end as hi from p0),
+    p2 as (select *, case hi when 'neutral' then 'neutral' when 'beneficial' then 'positive' when 'harmful' then 'negative' else {mapped(norm('given'), L.DIRECTION_SYNONYMS, quoted(''))} end as direction from p1),
     p as (select *, case when stype not in ('food', 'strain') then 'subject type' when subject = '' or object = '' then 'no name' when not ({scope}) then 'scope'
-             when stype = 'food' and {bad_food('subject')} then 'subject' when direction = '' then 'direction'
-             when {any_of("lower(coalesce(evidence_snippet, ''))", L.NON_RESULT_PHRASES)} then 'no result' end as reason,
+             when stype = 'food' and {bad_food('subject')} then 'subject' when otype = 'food' and {bad_food('object')} then 'object' when direction = '' then 'direction'
+             when eff = 'unclear' and hi = 'unclear' and {any_of("lower(evidence_snippet)", L.NON_RESULT_PHRASES)} then 'no result' end as reason,
              substr(md5(lower(subject) || '|' || lower(object) || '|' || direction), 1, 12) as claim_id from p2),
     a as (select * from p where reason is null)"""
 
@@ -100,7 +99,7 @@ def merged(source: str = "a", out: str = "m") -> str:
         "+ case when contains(lower(coalesce(study_type, '')), 'rct') or contains(lower(coalesce(study_type, '')), 'meta') then 0.2::double when contains(lower(coalesce(study_type, '')), 'review') then 0.1::double else 0 end, 1.0::double)"
     )
     base = "avg(0.5::double + case when coalesce(effect_size, '') <> '' then 0.1::double else 0 end + case when coalesce(p_value, '') <> '' then 0.1::double else 0 end)"
-    many = f"least({base} + least(count(*) * 0.1::double, 0.3::double) + least(count(distinct lower(nullif(study_type, ''))) * 0.05::double, 0.2::double), 1.0::double)"
+    many = f"least({base} + least(count(*) * 0.1::double, 0.3::double) + least(count(distinct lower(coalesce(study_type, ''))) * 0.05::double, 0.2::double), 1.0::double)"
     return f"""
     {out} as (select claim_id, arg_min(subject, ordinal) as subject, arg_min(stype, ordinal) as subject_type, arg_min(object, ordinal) as object, arg_min(otype, ordinal) as object_type,
              arg_min(direction, ordinal) as direction, arg_min(eff, ordinal) as effect_direction, arg_min(hi, ordinal) as health_interpretation, arg_min(pmid, ordinal) as first_seen,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimloom import lexicons as L
 from claimloom.functions import scoring, text, vectors
-from claimloom.operators import audit, benchmarks, claims, corpus, entities, evidence, graph, quality, retrieval, transcripts
+from claimloom.operators import audit, benchmarks, claims, corpus, entities, evidence, graph, quality, retrieval, summaries, transcripts
 from claimloom.plans import dialect as D
 from claimloom.streaming import incremental
 
@@ -52,13 +53,20 @@ def claims_reject_reasons(spark, sf):
 
 @query(D.with_merged("select *, subject || ' has ' || direction || ' effect on ' || object as claim_text from m"))
 def claims_merged(spark, sf):
-    return _merged(spark, sf).drop("evidence")
+    return _merged(spark, sf).drop("dose_info")
 
 
-@query(D.with_merged("select m.claim_id, a.ordinal, row_number() over (partition by m.claim_id order by a.ordinal) as position, a.pmid, a.study_type, a.effect_size, a.p_value from m join a using (claim_id)"))
+@query(
+    f"with {D.processed()} select claim_id, ordinal, pmid, study_type, effect_size, p_value, evidence_snippet, eff as effect_direction, hi as health_interpretation, stated as confidence, concat_ws('_', pmid, ordinal) as key from a"
+)
 def claims_evidence(spark, sf):
-    e = _merged(spark, sf).select("claim_id", F.posexplode("evidence").alias("position", "e"))
-    return e.select("claim_id", "e.ordinal", (F.col("position") + 1).alias("position"), "e.pmid", "e.study_type", "e.effect_size", "e.p_value")
+    return claims.evidence(claims.accepted(_rows(spark, sf))).drop("confidence_interval", "key_finding", "population")
+
+
+@query(f"with {D.processed()} select claim_id, arg_min(nullif(coalesce(dose_info.value, ''), ''), ordinal) filter (where ordinal = first) as dose, count(*) as n from (select *, min(ordinal) over (partition by claim_id) as first from a) group by claim_id")
+def claims_doses(spark, sf):
+    """The dose a claim has from its first record."""
+    return _merged(spark, sf).select("claim_id", F.col("dose_info.value").alias("dose"), F.col("evidence_count").alias("n"))
 
 
 @query(f"with {D.processed()} select object as outcome, count(*) as n, min(ordinal) as first from a group by 1 order by n desc, first limit 10")
@@ -199,10 +207,10 @@ def graph_neighbours(spark, sf):
     return graph.neighbours(_merged(spark, sf))
 
 
-@query(D.with_merged("select claim_id, subject, subject_type, object, object_type, direction, evidence_count, true as found from m where direction = 'negative' union all select 'ffffffffffff', null, null, null, null, null, null, false"))
+@query(D.with_merged("select claim_id, subject, subject_type, object, object_type, direction, evidence_count, true as found from m union all select 'ffffffffffff', null, null, null, null, null, null, false"))
 def graph_claim_details(spark, sf):
     m = _merged(spark, sf)
-    asked = m.where("direction = 'negative'").select("claim_id").unionByName(spark.createDataFrame([("ffffffffffff",)], "claim_id string"))
+    asked = m.select("claim_id").unionByName(spark.createDataFrame([("ffffffffffff",)], "claim_id string"))
     return graph.details(m, asked)
 
 
@@ -230,20 +238,102 @@ def graph_conflicts(spark, sf):
     return graph.conflicts(_merged(spark, sf))
 
 
-_EDITS = (("merge", "food", "yoghurt", "yogurt"), ("rename", "food", "kephir", "kefir"), ("retype", "food", "koumiss", "strain"), ("set_name", "outcome", "tc", "total_cholesterol"), ("mark_out_of_scope", "food", "soy_sauce", ""), ("delete_orphan", "food", "nothing_at_all", ""))
+_EDITS = (
+    ("merge", "food", "yoghurt", "yogurt"), ("merge", "food", "no_such_food", "no_such_target"), ("rename", "food", "kephir", "kefir_grain_drink"), ("rename", "food", "kimchi", "yogurt"), ("retype", "food", "koumiss", "strain"), ("set_name", "outcome", "tc", "Total cholesterol"),
+    ("set_name", "food", "kefir", "Kefir"), ("mark_out_of_scope", "food", "soy_sauce", "domain_drift"), ("delete_orphan", "food", "kefir", ""), ("delete_orphan", "food", "nothing_at_all", ""), ("paint", "food", "kefir", "blue"),
+)
+_NAMES_SQL = f"nm as (select distinct {D.norm('entity_type')} as t, {D.name('name')} as n from extracted_entities where {D.name('name')} <> '')"
 
 
-def _edited_sql() -> str:
+def _edits_cte() -> str:
+    """Entities ``k``, those without claims ``orp``, edits ``e0`` with their outcome ``er``, and what entities become ``e``."""
     values = ", ".join("(" + ", ".join(D.quoted(x) for x in e) + ")" for e in _EDITS)
-    e = f"e0(action, t, n, target) as (values {values}), e as (select t, n, min(target) filter (where action in ('merge', 'rename', 'set_name')) as nn, min(target) filter (where action = 'retype') as nt, bool_or(action = 'mark_out_of_scope') as o from e0 group by 1, 2)"
-    flags = "concat_ws(';', case when s.o then 'entity_out_of_scope:' || subject_type || ':' || subject end, case when b.o then 'entity_out_of_scope:' || object_type || ':' || object end)"
-    return f"with {D.processed()}, {D.merged()}, {e} select claim_id, coalesce(s.nt, subject_type) as subject_type, coalesce(s.nn, subject) as subject, coalesce(b.nt, object_type) as object_type, coalesce(b.nn, object) as object, {flags} as flags from m left join e s on s.t = subject_type and s.n = subject left join e b on b.t = object_type and b.n = object"
+    return f"""{D.processed()}, {D.merged()}, {_NAMES_SQL}, en as (select t, n, count(*) as c from (select subject_type as t, subject as n from m union all select object_type, object from m) group by 1, 2),
+        orp as (select t, n from nm where not exists (select 1 from en where en.t = nm.t and lower(en.n) = lower(nm.n))), k as (select t, n, max(c) as c from (select * from en union all select t, n, 0 from orp) group by 1, 2),
+        e0(action, t, n, target) as (select * from (values {values}) union all select 'delete_orphan', t, min(n), '' from orp group by t),
+        er as (select e0.*, case when action = 'merge' then case when k.c is null and w.c is null then 'neither exists' end when action not in ('rename', 'retype', 'set_name', 'mark_out_of_scope', 'delete', 'delete_orphan') then 'unknown action' when k.c is null then 'no such entity'
+          when action = 'rename' and w.c is not null and e0.n <> e0.target then 'new name exists' when starts_with(action, 'delete') and k.c > 0 then 'has claims' end as reason from e0 left join k on k.t = e0.t and k.n = e0.n left join k w on w.t = e0.t and w.n = e0.target),
+        e as (select t, n, min(target) filter (where action in ('merge', 'rename')) as nn, min(target) filter (where action = 'retype') as nt, min(target) filter (where action = 'set_name') as dn, bool_or(action = 'mark_out_of_scope') as o, bool_or(starts_with(action, 'delete')) as gone from er where reason is null group by 1, 2)"""
 
 
-@query(_edited_sql())
-def graph_edited(spark, sf):
+def _edit_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    m = _merged(spark, sf)
+    alone = graph.orphans(m, _names(spark, sf))
     edits = spark.createDataFrame(list(_EDITS), "action string, entity_type string, name string, target string")
-    return graph.edited(_merged(spark, sf), edits).select("claim_id", "subject_type", "subject", "object_type", "object", F.array_join("quality_flags", ";").alias("flags"))
+    return m, edits.unionByName(alone.groupBy("entity_type").agg(F.min("name").alias("name")).select(F.lit("delete_orphan").alias("action"), "entity_type", "name", F.lit("").alias("target"))), alone
+
+
+@query(
+    f"with {_edits_cte()} select claim_id, coalesce(s.nt, subject_type) || '_' || coalesce(s.nn, subject) as subject_id, coalesce(s.nt, subject_type) as subject_type, coalesce(s.dn, s.nn, subject) as subject, coalesce(b.nt, object_type) || '_' || coalesce(b.nn, object) as object_id, "
+    "coalesce(b.nt, object_type) as object_type, coalesce(b.dn, b.nn, object) as object, concat_ws(';', case when s.o then 'entity_out_of_scope:' || subject_type || ':' || subject end, case when b.o then 'entity_out_of_scope:' || object_type || ':' || object end) as flags "
+    "from m left join e s on s.t = subject_type and s.n = subject left join e b on b.t = object_type and b.n = object"
+)
+def graph_edited(spark, sf):
+    return graph.edited(*_edit_inputs(spark, sf)).drop("direction", "evidence_count", "claim_text").withColumn("flags", F.array_join("quality_flags", ";")).drop("quality_flags")
+
+
+@query(
+    f"with {_edits_cte()} select coalesce(nt, k.t) || '_' || coalesce(nn, k.n) as node_id, coalesce(nt, k.t) as entity_type, coalesce(nn, k.n) as name, min(dn) as display_name, min(case when o then 'out_of_scope' end) as quality_status "
+    "from k left join e on e.t = k.t and e.n = k.n where not coalesce(gone, false) group by 1, 2, 3"
+)
+def graph_edited_nodes(spark, sf):
+    return graph.edited_nodes(*_edit_inputs(spark, sf))
+
+
+@query(f"with {_edits_cte()} select distinct action, t as entity_type, n as name, target, reason is null as success, reason from er")
+def graph_edit_results(spark, sf):
+    return graph.edit_results(*_edit_inputs(spark, sf))
+
+
+@query(D.with_merged(f", {_NAMES_SQL} select t as entity_type, n as name from nm where exists (select 1 from m where (subject_type = t and lower(subject) = lower(n)) or (object_type = t and lower(object) = lower(n)))"))
+def graph_referenced(spark, sf):
+    return graph.referenced(_merged(spark, sf), _names(spark, sf))
+
+
+@query(D.with_merged(f", {_NAMES_SQL} select t as entity_type, n as name from nm where not exists (select 1 from m where subject_type = t and lower(subject) = lower(n)) and not exists (select 1 from m where object_type = t and lower(object) = lower(n))"))
+def graph_orphans(spark, sf):
+    return graph.orphans(_merged(spark, sf), _names(spark, sf))
+
+
+_ASKED = ("yogurt", "goat milk", "Cholesterol", "kefir", "body weight", "zzzz")
+
+
+@query(
+    D.with_merged(
+        ", q(query_id, query) as (values " + ", ".join(f"({i}, '{x.lower().replace(' ', '_')}')" for i, x in enumerate(_ASKED)) + "), n as (select distinct subject_type as t, subject as n from m union select distinct object_type, object from m), "
+        "w as (select *, list_distinct(string_split(query, '_')) as a, list_distinct(string_split(lower(n), '_')) as b from q, n), x as (select query_id, t, n, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as j, contains(query, lower(n)) or contains(lower(n), query) as c from w), "
+        "s as (select query_id, t as entity_type, n as name, round(case when c then greatest(j, 0.75) else j end, 6) as score from x), r as (select *, row_number() over (partition by query_id order by score desc, name, entity_type) as rank from s where score > 0) select * from r where rank <= 8"
+    )
+)
+def graph_search(spark, sf):
+    q = spark.createDataFrame(list(enumerate(_ASKED)), "query_id int, query string")
+    return graph.search_entities(q, graph.entities(_merged(spark, sf)), 8)
+
+
+@query(
+    D.with_merged(
+        f", al as (select distinct {D.norm('entity_type')} as t, {D.name('name')} as n, {D.name('a')} as x from (select entity_type, name, unnest(aliases) as a from extracted_entities) where a is not null), al2 as (select t, n, string_agg(x, ';' order by x) as aliases from al where x <> '' and x <> n group by 1, 2), "
+        "z as (select subject_type as t, subject as n, 1 as s, direction, evidence_count as v from m union all select object_type, object, 0, direction, evidence_count from m), "
+        "g as (select t, n, count(*) filter (where s = 1) as as_subject, count(*) filter (where s = 0) as as_object, sum(v)::bigint as evidence, count(*) filter (where direction = 'positive') as n_positive, count(*) filter (where direction = 'negative') as n_negative, count(*) filter (where direction = 'neutral') as n_neutral from z group by 1, 2) "
+        f"select e.t as entity_type, e.n as name, as_subject, as_object, evidence, n_positive, n_negative, n_neutral, aliases, evidence is not null as found from (select distinct {D.norm('entity_type')} as t, {D.name('name')} as n from extracted_entities where {D.name('name')} <> '') e left join g on g.t = e.t and g.n = e.n left join al2 on al2.t = e.t and al2.n = e.n"
+    )
+)
+def graph_entity_info(spark, sf):
+    e = _t(spark, sf, "extracted_entities")
+    key = lambda c: text.clean_format(F.lower(text.strip(F.coalesce(c, F.lit("")))))
+    alias = e.select(text.norm(F.col("entity_type")).alias("entity_type"), key(F.col("name")).alias("name"), F.explode("aliases").alias("a")).where("a is not null").select("entity_type", "name", key(F.col("a")).alias("alias")).where("alias <> ''")
+    return graph.entity_info(_merged(spark, sf), alias, _names(spark, sf))
+
+
+@query(D.with_merged("select distinct a.pmid, a.claim_id, m.subject || ' has ' || m.direction || ' effect on ' || m.object as claim_text from a join m using (claim_id) where a.pmid <> ''"))
+def graph_article_claims(spark, sf):
+    rows = claims.accepted(_rows(spark, sf))
+    return graph.article_claims(rows, claims.merged(rows))
+
+
+@query(D.with_merged("select subject_type, subject, count(*) as n_claims, sum(evidence_count)::bigint as evidence, row_number() over (partition by subject_type order by count(*) desc, subject) as rank from m group by 1, 2 qualify rank <= 10"))
+def graph_top(spark, sf):
+    return graph.top_entities(_merged(spark, sf))
 
 
 # quality ---------------------------------------------------------------------------------------------------------------------
@@ -350,6 +440,21 @@ def corpus_resolved(spark, sf):
     return corpus.resolved(_t(spark, sf, "full_text"), _latest(spark, sf))
 
 
+#: A list of journals with a rank indicator. Invented values.
+JOURNALS = (("Annals of Fermented Nutrition", 12.5), ("Gut Ecology", 4.2), ("Journal of Dietary Trials", 2.1), ("Dairy", 0.7), ("Nutritional Claims", 0.2), ("Microbial Cuisine Letters and Reviews", 0.0))
+_WORDS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(journal, 'journal', '', 'g'), 'of', '', 'g'), 'and', '', 'g'), 'the', '', 'g')"
+_JOURNAL_CTE = (
+    "jl(ordinal, title, sjr) as (values " + ", ".join(f"({i}, '{t.lower()}', {v}::double)" for i, (t, v) in enumerate(JOURNALS)) + f"), jn as (select distinct lower({D.strip('journal')}) as journal from articles where {D.strip('journal')} <> ''), "
+    "jx as (select journal, arg_min(title, ordinal) as title from jn join jl on journal = title group by 1), jy as (select journal, arg_min(title, ordinal) as title from jn join jl on contains(journal, title) or contains(title, journal) where journal not in (select journal from jx) group by 1), "
+    f"jz as (select journal, arg_min(title, ordinal) as title from (select journal, {D.strip(_WORDS)} as w from jn where journal not in (select journal from jx) and journal not in (select journal from jy)) q join jl on w <> '' and contains(title, w) group by 1), "
+    "jm as (select jn.journal, coalesce(jx.title, jy.title, jz.title) as title, case when jx.title is not null then 'exact' when jy.title is not null then 'contained' when jz.title is not null then 'words' else 'none' end as how from jn left join jx using (journal) left join jy using (journal) left join jz using (journal))"
+)
+
+
+def _journals(spark) -> DataFrame:
+    return spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(JOURNALS)], "ordinal int, title string, sjr double")
+
+
 INSTITUTIONS = ("Northmere", "Institute of Food Science", "Nordhaven", "University", "MIT")
 FUNDERS = {"government": ("NIH", "Ministry of Science", "Research Council", "National"), "non_profit": ("Foundation", "Society", "Trust"), "industry": ("Inc.", "Ltd.", "Dairy", "Company"), "academic": ("University", "Institute", "College")}
 
@@ -374,18 +479,25 @@ def _paper_sql() -> str:
     trial = _ladder_sql("sample_size", [(1000, 10.0), (500, 9.0), (200, 8.0), (100, 7.0), (50, 5.0), (1, 3.0)], "0.0")
     other = _ladder_sql("sample_size", [(500, 10.0), (200, 8.0), (100, 7.0), (50, 5.0), (1, 3.0)], "0.0")
     grade = "case " + " ".join(f"when total >= {a} then '{b}'" for a, b in [(9.0, "A+"), (8.5, "A"), (8.0, "A-"), (7.5, "B+"), (7.0, "B"), (6.5, "B-"), (6.0, "C+"), (5.5, "C"), (5.0, "C-"), (3.0, "D")]) + " else 'F' end"
-    return f"""with {_LATEST}, b as (select pm as pmid, {types} as ty, coalesce({sizes}, 0) as sample_size, case when len({affil}) > 0 then {affil} else coalesce(author_affiliations, []) end as af,
+    tier = "case when journal_key = '' then 'unknown' when sjr is null then 'unranked' " + " ".join(f"when sjr >= {a} then '{n}'" for a, _, n in ((10, 10, "top"), (5, 9, "excellent"), (3, 8, "high"), (2, 7, "good"), (1, 6, "medium"), (0.5, 5, "fair"))) + " when sjr > 0 then 'low' else 'unranked' end"
+    points = "case journal_tier when 'unknown' then 0 when 'top' then 10 when 'excellent' then 9 when 'high' then 8 when 'good' then 7 when 'medium' then 6 when 'fair' then 5 when 'low' then 4 else 3 end"
+    return f"""with {_LATEST}, {_JOURNAL_CTE}, b as (select pm as pmid, lower({D.strip("coalesce(journal, '')")}) as journal_key, {types} as ty, coalesce({sizes}, 0) as sample_size, case when len({affil}) > 0 then {affil} else coalesce(author_affiliations, []) end as af,
         list_transform(coalesce(grants, []), lambda g: lower(coalesce(g.agency, ''))) as ag from l),
-        c as (select pmid, ({study})::double as study_score, {label} as study_label, sample_size, (case when regexp_matches(ty, 'randomized|meta-analysis|systematic review') then {trial} else {other} end)::double as sample_score,
+        c as (select pmid, journal_key, ({study})::double as study_score, {label} as study_label, sample_size, (case when regexp_matches(ty, 'randomized|meta-analysis|systematic review') then {trial} else {other} end)::double as sample_score,
         (case when len(af) = 0 then 0.0 else {_ladder_sql(hits, [(5, 10.0), (3, 9.0), (2, 8.0), (1, 6.0)], '3.0')} end)::double as institution_score, {kind} as funding from b),
-        d as (select *, (case funding when 'mixed' then 6 when 'industry' then 3 when 'government' then 10 when 'non_profit' then 8 when 'academic' then 7 else 5 end)::double as funding_score from c),
-        e as (select *, round(study_score * 0.25::double + sample_score * 0.2::double + 3.0::double * 0.2::double + institution_score * 0.15::double + funding_score * 0.2::double, 6) as total from d)
+        c2 as (select c.* exclude (journal_key), {tier} as journal_tier from c left join jm on jm.journal = c.journal_key left join jl on jl.title = jm.title),
+        d as (select *, ({points})::double as journal_score, (case funding when 'mixed' then 6 when 'industry' then 3 when 'government' then 10 when 'non_profit' then 8 when 'academic' then 7 else 5 end)::double as funding_score from c2),
+        e as (select *, round(study_score * 0.25::double + sample_score * 0.2::double + journal_score * 0.2::double + institution_score * 0.15::double + funding_score * 0.2::double, 6) as total from d)
         select *, {grade} as grade from e"""
 
 
 @query(_paper_sql())
 def corpus_paper_scores(spark, sf):
-    return corpus.paper_scores(_latest(spark, sf), INSTITUTIONS, FUNDERS)
+    return _papers(spark, sf)
+
+
+def _papers(spark, sf) -> DataFrame:
+    return corpus.paper_scores(_latest(spark, sf), INSTITUTIONS, FUNDERS, _journals(spark))
 
 
 def _rule_cte() -> str:
@@ -427,17 +539,9 @@ def corpus_expansion(spark, sf):
     return corpus.expansion(a, corpus.rule_scores(a, _t(spark, sf, "full_text")))
 
 
-JOURNALS = ("Annals of Fermented Nutrition", "Gut Ecology", "Journal of Dietary Trials", "Dairy", "Nutritional Claims", "Microbial Cuisine Letters and Reviews")
-
-
-@query(
-    "with j(ordinal, title) as (values " + ", ".join(f"({i}, '{t.lower()}')" for i, t in enumerate(JOURNALS)) + f"), n as (select distinct lower({D.strip('journal')}) as journal from articles where {D.strip('journal')} <> ''), "
-    "x as (select journal, arg_min(title, ordinal) as title from n join j on journal = title group by 1), y as (select journal, arg_min(title, ordinal) as title from n join j on contains(journal, title) or contains(title, journal) where journal not in (select journal from x) group by 1) "
-    "select n.journal, coalesce(x.title, y.title) as title, case when x.title is not null then 'exact' when y.title is not null then 'contained' else 'none' end as how from n left join x using (journal) left join y using (journal)"
-)
+@query(f"with {_JOURNAL_CTE} select journal, title, how from jm")
 def corpus_journals(spark, sf):
-    j = spark.createDataFrame(list(enumerate(JOURNALS)), "ordinal int, title string")
-    return corpus.journal_match(_t(spark, sf, "articles"), j)
+    return corpus.journal_match(_t(spark, sf, "articles"), _journals(spark))
 
 
 @query(
@@ -469,10 +573,14 @@ SUBJECTS = (("kefir", "kefir"), ("yogurt", "yogurt"), ("kimchi", "kimchi"), ("ko
 OUTCOMES = {"total_cholesterol": ("total cholesterol",), "fat_mass": ("fat mass",), "body_weight": ("body weight",), "sleep_quality": ("sleep quality",), "hs_crp": ("c-reactive protein", "hscrp"), "insulin_resistance": ("insulin resistance",), "uric_acid": ("uric acid",), "constipation": ("stool consistency", "stool frequency")}
 
 
+_EVERY_OUTCOME = {k: tuple(dict.fromkeys((*L.OUTCOME_ALIASES.get(k, ()), *OUTCOMES.get(k, ())))) for k in L.OUTCOME_ALIASES | OUTCOMES}
+_EVERY_SUBJECT = tuple(dict.fromkeys((*L.RETRY_SUBJECTS, *SUBJECTS)))
+
+
 def _rule_claims_sql() -> str:
     low = "lower(sentence)"
-    subject = "coalesce(" + ", ".join(f"case when contains({low}, '{p}') then '{s}' end" for p, s in SUBJECTS) + ")"
-    met = "list_filter([" + ", ".join(f"case when {D.any_of(low, v)} then {{'k': {i}, 'outcome': '{k}'}} end" for i, (k, v) in enumerate(OUTCOMES.items())) + "], lambda x: x is not null)"
+    subject = "coalesce(" + ", ".join(f"case when contains({low}, '{p}') then '{s}' end" for p, s in _EVERY_SUBJECT) + ")"
+    met = "list_filter([" + ", ".join(f"case when {D.any_of(low, v)} then {{'k': {i}, 'outcome': '{k}'}} end" for i, (k, v) in enumerate(_EVERY_OUTCOME.items())) + "], lambda x: x is not null)"
     eff = f"case when {D.any_of(low, L.NO_EFFECT_MARKERS)} then 'no_significant_effect' when {D.any_of(low, L.DECREASE_MARKERS)} then 'decreased' when {D.any_of(low, L.INCREASE_MARKERS)} then 'increased' else 'changed' end"
     return f"""with {_LATEST}, s as (select pm as pmid, unnest({_SPLIT.format(D.strip('abstract'))}) as sentence, generate_subscripts({_SPLIT.format(D.strip('abstract'))}, 1) - 1 as pos from l where abstract is not null),
         c as (select *, {subject} as subject, {met} as met from s where {D.any_of(low, L.RESULT_MARKERS)} and not {D.any_of(low, L.NON_RESULT_PHRASES)}), u as (select pmid, pos, sentence, subject, unnest(met) as x from c where subject is not null),
@@ -484,17 +592,6 @@ def _rule_claims_sql() -> str:
 
 @query(_rule_claims_sql())
 def text_rule_claims(spark, sf):
-    s = evidence.result_sentences(_latest(spark, sf))
-    return evidence.rule_claims(s, OUTCOMES, SUBJECTS).select("pmid", "subject", "outcome", "pos", "effect_direction", "health_interpretation", "direction", "p_value", "claim_ordinal")
-
-
-_EVERY_OUTCOME = {k: tuple(dict.fromkeys((*L.OUTCOME_ALIASES.get(k, ()), *OUTCOMES.get(k, ())))) for k in L.OUTCOME_ALIASES | OUTCOMES}
-_EVERY_SUBJECT = tuple(dict.fromkeys((*L.RETRY_SUBJECTS, *SUBJECTS)))
-
-
-@query()
-def text_rule_claims_all(spark, sf):
-    """All alias groups and subjects; text_rule_claims is bound by its SQL to the ones picked."""
     s = evidence.result_sentences(_latest(spark, sf))
     return evidence.rule_claims(s, _EVERY_OUTCOME, _EVERY_SUBJECT).select("pmid", "subject", "outcome", "pos", "effect_direction", "health_interpretation", "direction", "p_value", "claim_ordinal")
 
@@ -605,12 +702,12 @@ def _lexical(spark, sf) -> DataFrame:
     q = _t(spark, sf, "extracted_claims").where("claim_row_id % 50 = 0 and length(coalesce(evidence_snippet, '')) > 0").select(F.col("claim_row_id").alias("query_id"), F.col("evidence_snippet").alias("query"))
     spaced = lambda c: F.replace(F.col(c), F.lit("_"), F.lit(" "))
     items = _merged(spark, sf).select(F.col("claim_id").alias("item_id"), spaced("claim_text").alias("text"), F.array(spaced("subject"), spaced("object")).alias("phrases"))
-    return retrieval.lexical_scores(q, items)
+    return retrieval.lexical_top(q, items, 10)
 
 
 @query(D.with_merged(f", {_LEXICAL} select query_id, item_id, score, rank from rk where rank <= 10"))
 def retrieval_lexical(spark, sf):
-    return retrieval.ranked(_lexical(spark, sf), 10)
+    return _lexical(spark, sf)
 
 
 @query(
@@ -693,15 +790,6 @@ def audit_sample(spark, sf):
 # benchmarks ------------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    D.with_merged(
-        ", f as (select *, row_number() over (partition by subject order by evidence_count desc, confidence desc, subject, object, claim_id) as k from m) select row_number() over (order by evidence_count desc, confidence desc, subject, object, claim_id) as seed_rank, claim_id, subject, object, evidence_count from f where k = 1 order by 1 limit 35"
-    )
-)
-def benchmark_seeds(spark, sf):
-    return benchmarks.seeds(_merged(spark, sf), 35)
-
-
 @query(
     D.with_merged(
         ", f as (select *, row_number() over (partition by object, subject order by evidence_count desc, confidence desc, subject, claim_id) as k from m), n as (select object, count(distinct subject) as n_subjects from m group by 1 having n_subjects >= 2), "
@@ -740,27 +828,31 @@ def _jaccard(a: str, b: str) -> str:
     return f"case when len({a}) = 0 or len({b}) = 0 then 0 else len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) end"
 
 
-@query(
-    f"with {D.processed()}, {_GOLD}, old as (select item_id, pmid from g), held as (select distinct pmid from a where ordinal % 3 <> 0), rr as (select distinct pmid, claim_id, subject as s, object as o from a where ordinal % 3 <> 0), "
-    f"j as (select item_id, claim_id, round(({_jaccard(_set('gs'), _set('s'))} + {_jaccard(_set('go'), _set('o'))}) / 2, 6) as score from g join rr using (pmid)), b as (select item_id, max(score) as score from j group by 1), "
-    "c as (select item_id, round(avg((held.pmid is not null)::int), 6) as coverage from old left join held using (pmid) group by 1) select item_id, coverage, coalesce(score, 0) as anchor_score, "
-    "case when coverage = 0 then 'missing' when coalesce(score, 0) >= 0.8 then 'anchored' when coverage = 1 then 'covered' else 'partial' end as category from c left join b using (item_id)"
+_COMPATIBLE = (
+    f"{D.processed()}, {_GOLD}, gp as (select distinct item_id, pmid from g), rt as (select item_id, a.pmid, row_number() over (partition by item_id order by min(ordinal), a.pmid) as rank from g join a on a.object = g.go group by item_id, a.pmid), "
+    f"j as (select item_id, claim_id, {_jaccard(_set('gs'), _set('s'))} as ss, {_jaccard(_set('go'), _set('o'))} as os from g join r using (pmid)), b as (select * from (select *, round((ss + os) / 2, 6) as score from j) qualify row_number() over (partition by item_id order by score desc, claim_id) = 1), "
+    "hp as (select distinct pmid from a), nn as (select gp.item_id, count(*) as n, count(hp.pmid) as held, count(*) filter (where rank <= 10) as n10, count(*) filter (where rank <= 20) as n20 from gp left join hp using (pmid) left join rt on rt.item_id = gp.item_id and rt.pmid = gp.pmid group by 1), "
+    "co as (select nn.item_id, round(held / n, 4) as coverage, round(n10 / n, 4) as recall_10, round(n20 / n, 4) as recall_20, coalesce(score, 0) as anchor_score, case when held = 0 then 'gold_pmids_absent_from_new_graph' when n10 = n then 'all_gold_pmids_retrieved_top10' when n10 > 0 then 'partial_gold_pmids_retrieved_top10' when n20 > 0 then 'gold_pmids_rank_11_20' "
+    "when round(coalesce(ss, 0), 9) >= 0.8 and round(coalesce(os, 0), 9) >= 0.8 then 'anchor_claim_present_but_not_retrieved_top20' when round(coalesce(ss, 0), 9) >= 0.8 or round(coalesce(os, 0), 9) >= 0.8 then 'gold_pmids_present_but_anchor_changed' else 'gold_pmids_present_but_no_close_anchor' end as category from nn left join b using (item_id))"
 )
-def benchmark_compatibility(spark, sf):
-    rows = claims.accepted(_rows(spark, sf)).where("ordinal % 3 <> 0")
-    return benchmarks.compatibility(_gold(spark, sf), rows)
 
 
-@query()
-def benchmark_compatibility_all(spark, sf):
-    """Against the whole claims table; benchmark_compatibility is bound by its SQL to two thirds of it."""
-    return benchmarks.compatibility(_gold(spark, sf), claims.accepted(_rows(spark, sf)))
+def _compatible(spark, sf) -> DataFrame:
+    rows, gold = claims.accepted(_rows(spark, sf)), _gold(spark, sf)
+    hits = gold.select("item_id", "object").distinct().join(rows.select("object", "pmid", "ordinal"), "object").groupBy("item_id", "pmid").agg(F.min("ordinal").alias("o"))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("o", "pmid"))).where("rank <= 20")
+    return benchmarks.compatibility(gold, rows, ranked)
 
 
-@query()
-def benchmark_diversified(spark, sf):
-    """All claims, of which benchmark_seeds has the first 35."""
-    return benchmarks.diversified(_merged(spark, sf))
+@query(f"with {_COMPATIBLE} select * from co")
+def benchmark_compatibility(spark, sf):
+    return _compatible(spark, sf)
+
+
+@query(f"with {_COMPATIBLE}, t as (select *, case item_id // 50 % 3 when 0 then 'description' when 1 then 'reason' else 'comparison' end as question_type from co) select coalesce(question_type, 'all') as question_type, category, count(*) as n, round(avg(coverage), 4) as avg_coverage, round(avg(recall_10), 4) as avg_recall_10, round(avg(recall_20), 4) as avg_recall_20 from t group by cube (question_type, category)")
+def benchmark_compatibility_summary(spark, sf):
+    kind = F.element_at(F.array(F.lit("description"), F.lit("reason"), F.lit("comparison")), (F.floor(F.col("item_id") / 50) % 3 + 1).cast("int"))
+    return summaries.compatibility(_compatible(spark, sf).withColumn("question_type", kind))
 
 
 # transcripts -----------------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.plans import evidence, problems
+from claimloom.plans import evidence, problems, sources, summaries
 from claimloom.session import ship
 
 
@@ -23,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(evidence.SQL)
+    return dict(sources.E.SQL | summaries.E.SQL)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

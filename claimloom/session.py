@@ -18,10 +18,12 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``. A temporary one where that is unset and everything runs on one machine; on a cluster that is an error, as no other machine could read it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="claimloom-")

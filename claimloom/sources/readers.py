@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimloom import schemas
 
@@ -30,8 +31,9 @@ def json_lines(spark: SparkSession, path: str, schema: str, *, key: str | None =
 
 
 def delimited(spark: SparkSession, path: str, schema: str, *, sep: str = ",") -> DataFrame:
-    """Delimited text with a header, quotes and line breaks in quotes; all columns are text."""
-    return spark.read.options(header=True, multiLine=True, escape='"', sep=sep, emptyValue="", nullValue="\x00").schema(schema).csv(path)
+    """Columns of delimited text with a header, quotes and line breaks in quotes, by their names and as text; a column the file lacks is null."""
+    raw = spark.read.options(header=True, multiLine=True, escape='"', sep=sep, emptyValue="", nullValue="\x00").csv(path)
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
 
 
 def journals(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -26,12 +27,27 @@ def delimited(df: DataFrame, path: str, *, sep: str = ",") -> None:
 
 
 def training_lines(articles: DataFrame, labels: DataFrame, path: str, *, key: str = "pmid") -> None:
-    """Text and label of every labelled article as JSON lines."""
+    """Text of every article, with its label if it has one, as JSON lines."""
     text = F.trim(F.concat_ws("\n\n", F.nullif(F.trim("title"), F.lit("")), F.nullif(F.trim("abstract"), F.lit(""))))
-    rows = articles.select(key, text.alias("text")).join(labels, key).where("text <> ''")
+    rows = articles.select(key, text.alias("text")).where("text <> ''").join(labels, key, "left")
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
 
 
+def payload(df: DataFrame, path: str, name: str = "items", *, most: int = 100_000, **about: object) -> None:
+    """One JSON document of at most ``most`` rows under ``name``, with what else is to be said about them beside it. More rows are an error; they belong into JSON lines."""
+    items = [json.loads(r[0]) for r in bounded(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})), most, "rows of a document")]
+    text = json.dumps({**about, name: items}, ensure_ascii=False, default=str)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The node-link form as JSON lines: ``nodes`` with id and attributes, ``links`` with source and target."""
+    n = nodes.withColumnRenamed("node_id", "id")
+    e = edges.withColumnsRenamed({"src": "source", "dst": "target"})
+    for df, part in ((n, "nodes"), (e, "links")):
+        df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(f"{path}/{part}")
+
+
 def graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges as parquet."""
     nodes.write.parquet(f"{path}/nodes")

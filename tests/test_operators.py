@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.operators import audit, benchmarks, claims, corpus, entities, evidence, graph, quality, retrieval, transcripts
+from claimloom.operators import audit, benchmarks, claims, corpus, entities, evidence, graph, quality, retrieval, summaries, transcripts
 from claimloom.sources import readers, writers
 from claimloom.streaming import incremental
 
@@ -46,12 +46,13 @@ def test_merging_takes_header_from_the_first_record(table):
     assert p["subject"] == "kefir" and p["object"] == "body_weight"
     assert p["confidence"] == pytest.approx(min((0.7 + 0.5) / 2 + 0.2 + 0.1, 1.0))
     assert rows["negative"]["confidence"] == pytest.approx(0.5)
-    assert [e["pmid"] for e in p["evidence"]] == ["10", "11"]
+    listed = [r["pmid"] for r in claims.evidence(claims.accepted(claims.processed(table))).where(F.col("claim_id") == p["claim_id"]).orderBy("ordinal").collect()]
+    assert listed == ["10", "11"]
 
 
 def test_merging_does_not_depend_on_partitioning(table):
-    a = sorted(map(str, claims.from_raw(table.repartition(7)).drop("evidence").collect()))
-    b = sorted(map(str, claims.from_raw(table.orderBy(F.desc("claim_row_id")).coalesce(1)).drop("evidence").collect()))
+    a = sorted(map(str, claims.from_raw(table.repartition(7)).collect()))
+    b = sorted(map(str, claims.from_raw(table.orderBy(F.desc("claim_row_id")).coalesce(1)).collect()))
     assert a == b
 
 
@@ -158,7 +159,7 @@ def test_retrieval_metrics(spark):
 def test_lexical_scores(spark):
     q = spark.createDataFrame([(1, "Does kefir lower body weight?")], "query_id bigint, query string")
     i = spark.createDataFrame([("a", "kefir has positive effect on body weight", ["kefir", "body weight"]), ("b", "tea has effect on sleep", ["tea"])], "item_id string, text string, phrases array<string>")
-    got = {r["item_id"]: r["score"] for r in retrieval.lexical_scores(q, i).collect()}
+    got = {r["item_id"]: r["score"] for r in retrieval.lexical_top(q, i, 5, common=0.9).collect()}
     assert got == {"a": pytest.approx(3 / (5**0.5 * 7**0.5) + 0.5, abs=1e-6)}
 
 
@@ -231,8 +232,22 @@ def test_streamed_merge_equals_batch(spark, table, tmp_path):
     table.repartition(3).write.parquet(str(tmp_path / "claims"))
     again = table.where("claim_row_id = 1")
     again.write.mode("append").parquet(str(tmp_path / "claims"))
-    a = sorted(map(str, incremental.merge_directory(spark, str(tmp_path / "claims"), "t").drop("evidence").collect()))
-    assert a == sorted(map(str, claims.from_raw(table).drop("evidence").collect()))
+    a = sorted(map(str, incremental.merge_directory(spark, str(tmp_path / "claims"), "t").collect()))
+    assert a == sorted(map(str, claims.from_raw(table).collect()))
+
+
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_check_points_in_blocks_equal_one_sequence(spark, block):
+    import random
+
+    random.seed(block)
+    steps = [(f"run{r}", i, random.choice([0, 1, 9, 30]), random.choice([0, 0, 0, 1])) for r in range(3) for i in range((120, 1, 33)[r])]
+    got = {(r["run_id"], r["ordinal"]): r["stop"] for r in incremental.check_points(spark.createDataFrame(steps, "run_id string, ordinal bigint, new_entities int, warnings int").repartition(4), block=block).collect()}
+    want = {}
+    for run in {s[0] for s in steps}:
+        mine = [s for s in steps if s[0] == run]
+        want |= {(run, s[1]): x for s, x in zip(mine, incremental.stops([(1, s[2], s[3]) for s in mine]), strict=True)}
+    assert got == want
 
 
 def test_check_points():
@@ -291,3 +306,113 @@ def test_rule_claims_query_has_all_outcome_groups():
 
     assert all(set(v) <= set(plans._EVERY_OUTCOME[k]) for d in (lexicons.OUTCOME_ALIASES, plans.OUTCOMES) for k, v in d.items())
     assert set(lexicons.RETRY_SUBJECTS) | set(plans.SUBJECTS) == set(plans._EVERY_SUBJECT)
+
+
+def test_claims_follow_the_rules_of_rejection_and_health(spark):
+    base = ("10", "food", "kefir", "outcome")
+    rows = [
+        (1, *base, "cholesterol", "positive", "no significant effect", "beneficial", None, None, "RCT", "We aimed to study kefir."),
+        (2, *base, "cholesterol", "positive", "decreased", "unclear", None, None, "RCT", "We aimed to study kefir."),
+        (3, *base, "some thing", "positive", "unclear", "unclear", None, None, "RCT", "This study aimed to test kefir."),
+        (4, *base, "some thing", "positive", "unclear", "unclear", None, None, "RCT", "It was so."),
+        (5, "10", "food", "kefir", "food", "placebo", "positive", "unclear", "unclear", None, None, "RCT", "It was so."),
+    ]
+    got = {r["ordinal"]: r for r in claims.processed(spark.createDataFrame(rows, CLAIM)).collect()}
+    assert (got[1]["health_interpretation"], got[1]["direction"], got[1]["reject_reason"]) == ("neutral", "neutral", None)
+    assert (got[2]["health_interpretation"], got[2]["direction"], got[2]["reject_reason"]) == ("beneficial", "positive", None)
+    assert got[3]["reject_reason"] == "no result" and got[4]["reject_reason"] is None and got[5]["reject_reason"] == "object"
+
+
+def test_a_blank_study_type_counts_as_a_kind(spark):
+    t = claim_table(spark, [(1, "1", "kefir", "body weight", "positive", None, None, "RCT"), (2, "2", "kefir", "body weight", "positive", None, None, None)])
+    assert claims.from_raw(t).first()["confidence"] == pytest.approx(0.5 + 0.2 + 0.1)
+
+
+def test_counts_of_batches_add_up(table):
+    rows = claims.accepted(claims.processed(table))
+    parts = claims.counted(rows.where("ordinal % 2 = 0")).unionByName(claims.counted(rows.where("ordinal % 2 = 1")))
+    assert sorted(map(str, claims.finished(claims.united(parts)).collect())) == sorted(map(str, claims.merged(rows).collect()))
+
+
+def test_graph_edits_keep_to_their_contract(spark):
+    t = claim_table(spark, [(1, "1", "kefir", "body weight", "positive", None, None, "RCT"), (2, "2", "yogurt", "body weight", "positive", None, None, None), (3, "3", "kimchi", "sleep quality", "positive", None, None, None)])
+    m = claims.from_raw(t)
+    alone = spark.createDataFrame([("food", "placeholder")], "entity_type string, name string")
+    edits = [
+        ("set_name", "food", "kefir", "Milk kefir"), ("merge", "food", "nobody", "yogurt"), ("merge", "food", "nobody", "nothing"), ("rename", "food", "kimchi", "yogurt"), ("retype", "outcome", "sleep_quality", "symptom"),
+        ("delete_orphan", "food", "placeholder", ""), ("delete_orphan", "food", "yogurt", ""), ("mark_out_of_scope", "food", "yogurt", "drift"), ("retype", "food", "absent", "strain"), ("paint", "food", "kefir", "blue"),
+    ]
+    e = spark.createDataFrame(edits, "action string, entity_type string, name string, target string")
+    why = {(r["action"], r["name"], r["target"]): r["reason"] for r in graph.edit_results(m, e, alone).collect()}
+    assert why == {
+        ("set_name", "kefir", "Milk kefir"): None, ("merge", "nobody", "yogurt"): None, ("merge", "nobody", "nothing"): "neither exists", ("rename", "kimchi", "yogurt"): "new name exists", ("retype", "sleep_quality", "symptom"): None,
+        ("delete_orphan", "placeholder", ""): None, ("delete_orphan", "yogurt", ""): "has claims", ("mark_out_of_scope", "yogurt", "drift"): None, ("retype", "absent", "strain"): "no such entity", ("paint", "kefir", "blue"): "unknown action",
+    }
+    nodes = {r["node_id"]: (r["display_name"], r["quality_status"]) for r in graph.edited_nodes(m, e, alone).collect()}
+    assert nodes == {"food_kefir": ("Milk kefir", None), "food_yogurt": (None, "out_of_scope"), "food_kimchi": (None, None), "outcome_body_weight": (None, None), "symptom_sleep_quality": (None, None)}
+    got = {r["subject_id"]: r for r in graph.edited(m, e, alone).collect()}
+    assert got["food_kefir"]["subject"] == "Milk kefir" and got["food_kimchi"]["object_id"] == "symptom_sleep_quality"
+    assert got["food_yogurt"]["quality_flags"] == ["entity_out_of_scope:food:yogurt"]
+
+
+def test_lexical_search_equals_all_pairs(spark):
+    import random
+
+    random.seed(4)
+    vocabulary = ["has", "effect", "on", "kefir", "milk", "tea", "sleep", "weight", "liver", "oat", "rice", "miso"]
+    items = [(f"i{n}", f"{a} has effect on {b}", [a, b, "oat"]) for n in range(60) for a, b in [random.sample(vocabulary[3:], 2)]]
+    queries = [(n, " ".join(random.choices(vocabulary, k=random.randint(1, 6)))) for n in range(25)] + [(99, "has goat effect"), (98, "zzz")]
+    from collections import Counter
+
+    want = {}
+    for q, t in queries:
+        a, scored = Counter(t.split()), []
+        for i, x, ps in items:
+            b = Counter(x.split())
+            o = sum((a & b).values())
+            if o:
+                scored.append((-round(o / (sum(v * v for v in a.values()) ** 0.5 * sum(v * v for v in b.values()) ** 0.5) + 0.25 * sum(p in t for p in ps), 6), i))
+        want[q] = sorted(scored)[:5]
+    df, qs = spark.createDataFrame(items, "item_id string, text string, phrases array<string>"), spark.createDataFrame(queries, "query_id bigint, query string")
+    for common in (0.05, 0.3, 1.0):
+        got = {}
+        for r in retrieval.lexical_top(qs, df, 5, common=common).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["item_id"]))
+        assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items() if x}
+
+
+def test_vector_search_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(90, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8)], "item_id bigint, vector array<double>")
+    q = df.select(F.col("item_id").alias("query_id"), "vector")
+    a, b = (sorted(map(tuple, retrieval.vector_search(q, df, 3, dim=8, block=bl, rows=ro).collect())) for bl, ro in ((4096, 65536), (20, 13)))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) == 270
+
+
+def test_greedy_merging_in_rounds_equals_one_pass(spark):
+    import random
+
+    random.seed(6)
+    keys = [f"n{i:02}" for i in range(40)]
+    first = {k: i for i, k in enumerate(random.sample(keys, len(keys)))}
+    sim = {(a, b): round(random.uniform(0.9, 1.0), 2) for a in keys for b in keys if a < b and random.random() < 0.15}
+    near = lambda a, b: sim.get((min(a, b), max(a, b)), 0)
+    want = {}
+    for k in sorted(keys, key=first.get):
+        best = min(((-near(k, o), first[o], o) for o in want if want[o] == o and near(k, o) >= 0.92), default=None)
+        want[k] = best[2] if best else k
+    names = spark.createDataFrame([("food", k, first[k]) for k in keys], "entity_type string, key string, first_id bigint")
+    pairs = spark.createDataFrame([("food", a, b, s) for (a, b), s in sim.items()], "entity_type string, entity_a string, entity_b string, similarity double")
+    assert {r["key"]: r["canonical"] for r in entities.merged_greedily(names, pairs).collect()} == want
+
+
+def test_quotas_round_half_to_even():
+    assert summaries.quotas(50, benchmarks.TYPE_SHARES, "comparison") == {"description": 17, "evidence_lookup": 10, "reason": 10, "comparison": 13}
+    assert sum(summaries.quotas(37, benchmarks.TYPE_SHARES, "comparison").values()) == 37
+
+
+def test_summaries_of_nothing(spark):
+    empty = spark.createDataFrame([], "relevance string, confidence double")
+    assert summaries.relevance(empty).first()["total"] == 0

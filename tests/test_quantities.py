@@ -88,3 +88,11 @@ def test_operator_on_small_tables(spark):
     got = sorted(tuple(r) for r in Q.found(claims, outcomes, measures, constants).collect())
     assert got == [(1, "dose", "mg/day", 5_000_000), (1, "duration", "day", 14_000), (1, "effect_size", "mmol/L", 1000), (2, "effect_size", "mmol/L", 500), (2, "effect_size", "mmol/L", 500)]
     assert Q.found(claims.limit(0), outcomes.limit(0), measures.limit(0), constants.limit(0)).count() == 0
+
+
+def test_unit_texts_of_any_length():
+    """The old bound was 60 characters."""
+    g = Grammar()
+    long = "milligrams" + " " * 200 + "per" + " " * 200 + "day"
+    assert g.read(long, None) == g.read("milligrams per day", None) is not None
+    assert g.read("mg " * 50_000, None) is None and g.read("x" * 100_000, None) is None
