@@ -90,7 +90,7 @@ def quality_levels(spark, sf):
 
 @query(
     f"with {D.processed()}, x as (select pmid, count(*) as original, count(*) filter (where reason is null) as kept, list_sort(list(distinct coalesce(reason, '') || ':' || subject) filter (where reason is not null))[1:5] as invalid from p group by pmid) "
-    "select pmid, original, kept, array_to_string(invalid, ';') as invalid from x"
+    "select pmid, original, kept, coalesce(array_to_string(invalid, ';'), '') as invalid from x"
 )
 def quality_validation(spark, sf):
     return quality.validation(E._rows(spark, sf)).withColumn("invalid", F.array_join("invalid", ";"))
@@ -258,9 +258,9 @@ def evaluation_bands(spark, sf):
 # benchmark items -------------------------------------------------------------------------------------------------------------
 
 _ORDER = "evidence_count desc, confidence desc, subject, object, claim_id"
-_DIVERSIFIED = f"""po as (select *, row_number() over (order by {_ORDER}) as pos from m), f1 as (select *, row_number() over (partition by subject order by pos) as k from po), p1 as (select claim_id, subject, object, pos from f1 where k = 1 order by pos limit 35), cut as (select case when count(*) = 35 then max(pos) end as c from p1),
-    lt as (select po.claim_id, row_number() over (partition by po.subject, po.object order by pos) as k from po, cut where pos > c and not exists (select 1 from p1 where p1.subject = po.subject and p1.object = po.object)),
-    dv as (select case when p1.claim_id is not null then 1 when lt.k = 1 then 2 else 3 end as part, po.claim_id, po.subject, po.object, po.direction, po.evidence_count, po.confidence, po.pos from po left join p1 using (claim_id) left join lt on lt.claim_id = po.claim_id)"""
+_DIVERSIFIED = f"""po as (select *, row_number() over (order by {_ORDER}) as pos from m), f1 as (select *, row_number() over (partition by subject order by pos) as k from po), ps as (select claim_id, subject, object, pos from f1 where k = 1 order by pos limit 35), cut as (select case when count(*) = 35 then max(pos) end as c from ps),
+    lt as (select po.claim_id, row_number() over (partition by po.subject, po.object order by pos) as k from po, cut where pos > c and not exists (select 1 from ps where ps.subject = po.subject and ps.object = po.object)),
+    dv as (select case when ps.claim_id is not null then 1 when lt.k = 1 then 2 else 3 end as part, po.claim_id, po.subject, po.object, po.direction, po.evidence_count, po.confidence, po.pos from po left join ps using (claim_id) left join lt on lt.claim_id = po.claim_id)"""
 
 
 @query(D.with_merged(f", {_DIVERSIFIED} select part, claim_id, subject, object, evidence_count, confidence from dv"))

@@ -23,7 +23,7 @@ def unfinished(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def delimited(df: DataFrame, path: str, *, sep: str = ",") -> None:
     """Delimited text with a header; arrays of text become values joined by semicolons."""
     cols = [F.concat_ws(";", c).alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes]
-    df.select(*cols).write.options(header=True, sep=sep, escape='"', emptyValue="").csv(path)
+    df.select(*cols).write.options(header=True, sep=sep, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def training_lines(articles: DataFrame, labels: DataFrame, path: str, *, key: str = "pmid") -> None:

@@ -140,5 +140,5 @@ def closed_windows(spark: SparkSession, source: str, where: str = "true", *, fil
 
 def windowed_events(events: DataFrame, *, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by type and window, on a stream or a table; on a stream events later than ``late`` are dropped."""
-    df = events.withWatermark("ts", late) if events.isStreaming else events
+    df = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return df.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
