@@ -133,6 +133,12 @@ def direction_phrase(direction: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in L.DIRECTION_PHRASES.items() for x in kv])[direction], F.concat(F.lit("a "), direction, F.lit(" reported effect")))
 
 
+def prompt_parts(c: Column, mark: str = "---") -> Column:
+    """What stands before and after the first mark of a prompt; without one all of it is the second part."""
+    parts = F.split(c, mark, 2)
+    return F.struct(F.when(F.size(parts) > 1, strip(parts[0])).otherwise("").alias("system"), strip(F.when(F.size(parts) > 1, parts[1]).otherwise(parts[0])).alias("user"))
+
+
 def score_band(score: Column, width: int = 5) -> Column:
     """The band of a score, such as 85-89; negative scores floor downwards."""
     low = (F.floor(score / width) * width).cast("int")

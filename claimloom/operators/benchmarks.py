@@ -62,6 +62,17 @@ def items(merged: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     return out.select("n", kind.alias("question_type"), "claim_id", "subject", "object", "pmids", answer.alias("expected_answer"))
 
 
+def no_answer(merged: DataFrame, n: int, *, side: int = 30) -> DataFrame:
+    """n questions the graph has no answer to: pairs of the ``side`` subjects and outcomes with most evidence that no claim connects, by their evidence. At most ``side`` squared pairs are looked at."""
+    top = lambda c: bounded(merged.groupBy(c).agg(F.sum("evidence_count").alias("e")).orderBy(F.desc("e"), c).limit(side), side, f"top {c}s")
+    merged = written(merged.select("subject", "object", "evidence_count"), "claims-asked")
+    subjects, objects = top("subject"), top("object")
+    grid = [(s["subject"], o["object"], s["e"] * o["e"]) for s in subjects for o in objects]
+    pairs = merged.sparkSession.createDataFrame(grid, "subject string, object string, weight bigint")
+    free = pairs.join(merged.select("subject", "object"), ["subject", "object"], "left_anti")
+    return free.orderBy(F.desc("weight"), "subject", "object").limit(n).select("subject", "object", F.lit("no_answer").alias("expected_answer_type"))
+
+
 def comparisons(merged: DataFrame, *, take: int = 3) -> DataFrame:
     """Outcomes with at least two subjects and their strongest claims, one a subject."""
     order = [F.desc("evidence_count"), F.desc("confidence"), "subject", "claim_id"]

@@ -127,6 +127,18 @@ def canonical_names(rows: DataFrame, entities: DataFrame) -> DataFrame:
     return rows
 
 
+def with_snippets(evidence: DataFrame, best: DataFrame) -> DataFrame:
+    """Evidence whose empty snippets are filled with the best sentence found for the record (``ordinal``, ``snippet``); ``backfilled`` says where."""
+    j = evidence.join(best.select("ordinal", "snippet"), "ordinal", "left")
+    fill = (F.length(F.trim(F.coalesce("evidence_snippet", F.lit("")))) == 0) & (F.length(F.coalesce("snippet", F.lit(""))) > 0)
+    return j.withColumns({"backfilled": fill, "evidence_snippet": F.when(fill, F.col("snippet")).otherwise(F.col("evidence_snippet"))}).drop("snippet")
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """n rows in the order of a hash of their key: a random sample that is the same for every partitioning."""
+    return rows.orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string"))), key).limit(n)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key: what reading keyed records one after the other would keep."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns if c not in keys]), F.struct(*order)).alias("_r")).select(*keys, "_r.*")

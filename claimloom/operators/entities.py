@@ -26,6 +26,20 @@ def alias_lookup(entities: DataFrame) -> DataFrame:
     return rows.groupBy("entity_type", "alias").agg(F.min("entity_id").alias("entity_id"), F.count("*").alias("n"))
 
 
+def matched(names: DataFrame, index: DataFrame) -> DataFrame:
+    """Names (``entity_type``, ``name``) with the entity of their type that has them as name or alias, regardless of case and spacing; null where none has. ``index`` is ``alias_lookup``."""
+    key = text.clean_format(F.lower(text.strip(F.col("name"))))
+    return names.withColumn("alias", key).join(index.select("entity_type", "alias", "entity_id"), ["entity_type", "alias"], "left").select("entity_type", "name", "entity_id")
+
+
+def normalised(entities: DataFrame) -> DataFrame:
+    """Entities under their normalised names by type, foods that can't be foods left out and counted: ``entity_id``, ``entity_type``, ``canonical``, ``skipped``."""
+    kind = text.norm(F.col("entity_type"))
+    name = F.when(kind == "food", text.food_name(F.col("name"))).when(kind == "strain", text.strain_name(F.col("name"))).otherwise(text.clean_format(F.lower(text.strip(F.col("name")))))
+    rows = entities.where("name is not null and name <> ''").select("entity_id", kind.alias("entity_type"), name.alias("canonical"))
+    return rows.withColumn("skipped", (F.col("entity_type") == "food") & ~text.food_is_valid(F.col("canonical")))
+
+
 def merged_greedily(names: DataFrame, pairs: DataFrame, *, least: float = 0.92, types: tuple[str, ...] = ("food", "outcome")) -> DataFrame:
     """Canonical names as one pass in order of first sight gives them.
 

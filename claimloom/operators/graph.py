@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from claimloom.functions.text import clean_format, name_words, node_id, strip
 from claimloom.functions.vectors import name_similarity
+from claimloom.session import written
 
 
 def entities(merged: DataFrame) -> DataFrame:
@@ -174,6 +175,7 @@ def edit_results(merged: DataFrame, edits: DataFrame, others: DataFrame | None =
     """
     known = _known(merged, others)
     e = edits.select("action", "entity_type", "name", "target").distinct()
+    known = written(known, "graph-entities")
     own = known.select("entity_type", "name", "n_claims")
     new = known.select("entity_type", F.col("name").alias("target"), F.lit(True).alias("taken"))
     j = e.join(own, ["entity_type", "name"], "left").join(new, ["entity_type", "target"], "left")
@@ -225,6 +227,13 @@ def edited(merged: DataFrame, edits: DataFrame, others: DataFrame | None = None)
     return joined.select("claim_id", *cols, "direction", "evidence_count", "claim_text", F.array_compact(F.array(flag("subject"), flag("object"))).alias("quality_flags"))
 
 
+def legacy_edges(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges from subject to object by bare name, whatever the type, for claims of which both are among the nodes (``names``: name)."""
+    known = names.select("name").distinct()
+    pairs = rows.select("subject", "object", "direction").distinct()
+    return pairs.join(known.withColumnRenamed("name", "subject"), "subject", "left_semi").join(known.withColumnRenamed("name", "object"), "object", "left_semi").select(F.col("subject").alias("src"), F.col("object").alias("dst"), "direction")
+
+
 def search_entities(queries: DataFrame, names: DataFrame, k: int) -> DataFrame:
     """The k entities most alike each query by name (``query_id``, ``query``): Jaccard of the parts, at least 0.75 if one name contains the other; ties by name.
 

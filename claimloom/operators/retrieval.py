@@ -39,6 +39,7 @@ def lexical_top(queries: DataFrame, items: DataFrame, k: int, *, common: float =
     ``common`` of these words). An item that shares nothing but common words can't have more than their part over the smallest
     norm; queries whose kth score is not above that bound, which are few, are scored against all items that share any word.
     """
+    queries, items = written(queries.select("query_id", "query"), "lexical-queries"), written(items.select("item_id", "text", "phrases"), "lexical-items")
     q, i = _bags(queries, "query_id", "query"), written(_bags(items, "item_id", "text"), "item-words")
     n_items = items.count()
     df = i.groupBy("word").agg(F.count("*").alias("df"), F.max("n").alias("most"))

@@ -191,6 +191,11 @@ def crossed(rows: DataFrame, row: str, column: str, values: Sequence[str]) -> Da
     return rows.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(v) for v in values])
 
 
+def rated(rows: DataFrame, kind: str, rating: str) -> DataFrame:
+    """Ratings by what was expected beforehand: their number, mean, and the share of 4 and more."""
+    return rows.groupBy(kind).agg(F.count(rating).alias("n"), F.round(F.avg(rating), 4).alias("mean"), F.round(F.avg((F.col(rating) >= 4).cast("int")), 4).alias("share_high"))
+
+
 def checked(rows: DataFrame, annotations: DataFrame, *, key: str, labels: Sequence[str], column: str) -> DataFrame:
     """What keeps annotations from being joined: ``problem`` and ``n`` of rows without one, of keys annotated more than once, and of labels that are none. No row: they fit."""
     twice = annotations.groupBy(key).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate").alias("problem"), "n")

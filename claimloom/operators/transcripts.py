@@ -19,6 +19,24 @@ def command_query(command: Column) -> Column:
     return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit("")), F.lit(""))
 
 
+def needs_retry(success: Column, parsed: Column, calls: Column) -> Column:
+    """A run that failed, gave no JSON or called no tool is to be repeated."""
+    return ~(F.coalesce(success, F.lit(False)) & F.coalesce(parsed, F.lit(False)) & (F.coalesce(calls, F.lit(0)) > 0))
+
+
+def is_no_answer(expected: Column, kind: Column) -> Column:
+    """An item that has no answer, by what is expected or by its type."""
+    return F.coalesce((expected == "no_answer") | kind.isin("no_answer", "out_of_graph"), F.lit(False))
+
+
+def folded(events: DataFrame) -> DataFrame:
+    """Events of runs (item_id, ordinal, kind, text, name) as one row a run: its texts in order, its number of tool calls and the tools in order of first use. A run is one transcript."""
+    said = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("ordinal", "text"))))
+    tools = events.where("kind = 'tool'").groupBy("item_id", "name").agg(F.count("*").alias("n"), F.min("ordinal").alias("first")).groupBy("item_id").agg(F.sum("n").alias("n_calls"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]), ";").alias("tools"))
+    out = events.groupBy("item_id").agg(F.array_join(F.transform(said, lambda x: x["text"]), "").alias("response"))
+    return out.join(tools, "item_id", "left").withColumns({"n_calls": F.coalesce("n_calls", F.lit(0)), "tools": F.coalesce("tools", F.lit(""))})
+
+
 def call_statistics(calls: DataFrame) -> DataFrame:
     """For each item its calls, distinct commands, repeats of a command, and the command called most. ``calls``: item_id, ordinal, command."""
     each = calls.groupBy("item_id", "command").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))

@@ -10,6 +10,7 @@ from claimloom import lexicons as L
 from claimloom.functions import scoring, text, vectors
 from claimloom.operators import audit, benchmarks, claims, corpus, entities, evidence, graph, quality, retrieval, summaries, transcripts
 from claimloom.plans import dialect as D
+from claimloom.session import written
 from claimloom.streaming import incremental
 
 QUERIES: dict = {}
@@ -257,7 +258,7 @@ def _edits_cte() -> str:
 
 
 def _edit_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m = _merged(spark, sf)
+    m = written(_merged(spark, sf), "merged-claims")
     alone = graph.orphans(m, _names(spark, sf))
     edits = spark.createDataFrame(list(_EDITS), "action string, entity_type string, name string, target string")
     return m, edits.unionByName(alone.groupBy("entity_type").agg(F.min("name").alias("name")).select(F.lit("delete_orphan").alias("action"), "entity_type", "name", F.lit("").alias("target"))), alone
@@ -596,7 +597,25 @@ def text_rule_claims(spark, sf):
     return evidence.rule_claims(s, _EVERY_OUTCOME, _EVERY_SUBJECT).select("pmid", "subject", "outcome", "pos", "effect_direction", "health_interpretation", "direction", "p_value", "claim_ordinal")
 
 
-@query()
+def _backfilled_sql() -> str:
+    from claimloom.operators.evidence import BROAD_SUBJECTS, DIRECTION_WORDS, METHOD_PHRASE
+
+    flat = D.strip("regexp_replace(coalesce(abstract, ''), '[\\s\\x{a0}]+', ' ', 'g')")
+    listed = lambda x: "[" + ", ".join(D.quoted(y) for y in x) + "]"
+    words = lambda c: f"list_distinct(list_filter(regexp_extract_all(translate(lower(coalesce({c}, '')), '_-/', '   '), '[a-z][a-z0-9]+'), lambda t: length(t) >= 3 and t not in ({', '.join(D.quoted(y) for y in L.STOPWORDS)})))"
+    both = lambda x, y: f"len(list_intersect({x}, {y}))"
+    toward = "case direction " + " ".join(f"when '{k}' then {both('w', listed(v))}" for k, v in DIRECTION_WORDS.items()) + " else 0 end"
+    literal = " + ".join(f"case when length(coalesce({c}, '')) > 0 and contains(lower(sentence), lower({c})) then 4.0 else 0.0 end" for c in ("p_value", "effect_size"))
+    return f"""{D.processed()}, {_LATEST}, sn as (select pm, list_filter(string_split(regexp_replace({flat}, '([.!?])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: length(trim(x)) >= 25) as ss from l),
+        cu as (select pm, unnest(ss) as sentence, generate_subscripts(ss, 1) - 1 as pos from sn), w1 as (select pm, pos, sentence, {words('sentence')} as w from cu),
+        pa as (select ordinal, pos, sentence, w, direction, p_value, effect_size, {words('subject')} as sw, {words('object')} as ow, {words("subject || ' has ' || direction || ' effect on ' || object")} as cw from a join w1 on w1.pm = a.pmid),
+        q as (select *, {both('w', listed(L.METHOD_CUES))} as method, {both('w', listed(L.RESULT_CUES))} as result from pa),
+        sc as (select ordinal, pos, sentence, ({both('w', 'sw')} * 4.0 + {both('w', 'ow')} * 5.0 + {both('w', 'cw')} + least({toward}, 2) * 0.5 + case when regexp_matches(lower(sentence), {D.quoted(METHOD_PHRASE)}) then -25.0 when method > 0 and result = 0 then -12.0 when method > 0 then -4.0 else 0.0 end
+          + least(result, 3) + {literal} + case when len(sw) > 0 and {both('w', 'sw')} = 0 and {both('w', listed(BROAD_SUBJECTS))} > 0 then 1.0 else 0.0 end)::double as score from q),
+        bf as (select ordinal, case when score >= 8 then sentence else '' end as snippet, score from (select *, row_number() over (partition by ordinal order by score desc, pos) as k from sc) where k = 1)"""
+
+
+@query(f"with {_backfilled_sql()} select ordinal, snippet, score from bf")
 def text_backfilled(spark, sf):
     return evidence.backfilled(claims.accepted(_rows(spark, sf)), _latest(spark, sf))
 
@@ -904,7 +923,11 @@ def stream_windows(spark, sf):
     return incremental.windowed_events(_t(spark, sf, "events").where("ts is not null")).withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query(
+    f"with recursive {D.processed()}, st as (select pmid, min(ordinal) as ordinal, count(distinct subject) as e, count(*) filter (where reason is not null) as w from p group by pmid), sq as materialized (select *, row_number() over (order by ordinal) as i, count(*) over () as n from st), "
+    "go(i, ordinal, a, e, w, stop) as (select i, ordinal, 1, e, w, 1 >= 25 or e >= 80 or w >= 3 or i = n from sq where i = 1 union all select s.i, s.ordinal, case when g.stop then 1 else g.a + 1 end, case when g.stop then s.e else g.e + s.e end, case when g.stop then s.w else g.w + s.w end, "
+    "s.i = s.n or case when g.stop then 1 else g.a + 1 end >= 25 or case when g.stop then s.e else g.e + s.e end >= 80 or case when g.stop then s.w else g.w + s.w end >= 3 from go g join sq s on s.i = g.i + 1) select 'run' as run_id, ordinal, stop from go"
+)
 def run_check_points(spark, sf):
     rows = _rows(spark, sf)
     step = rows.groupBy("pmid").agg(F.min("ordinal").alias("ordinal"), F.countDistinct("subject").alias("new_entities"), F.count_if(F.col("reject_reason").isNotNull()).alias("warnings"))

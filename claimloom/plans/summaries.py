@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from claimloom import lexicons as L
 from claimloom.functions import text
-from claimloom.operators import benchmarks, claims, corpus, graph, quality, summaries, transcripts
+from claimloom.operators import benchmarks, claims, corpus, entities, evidence, graph, quality, summaries, transcripts
 from claimloom.plans import dialect as D
 from claimloom.plans import evidence as E
 from claimloom.plans.evidence import _t, query
@@ -316,3 +316,90 @@ def transcripts_commands(spark, sf):
 )
 def names_aliases(spark, sf):
     return _t(spark, sf, "extracted_entities").where("name is not null").select("name").distinct().select("name", F.array_join(text.aliases_of(F.col("name")), ";").alias("aliases"))
+
+
+@query(f"with u as (select * from (values (0)) v(x)), {_ANSWERED} select item_id, not (coalesce(success, false) and coalesce(json_parse_success, false) and tool_call_count > 0) as needs_retry, expected_answer_type = 'no_answer' or question_type in ('no_answer', 'out_of_graph') as no_answer from an".replace("u as (select * from (values (0)) v(x)), ", ""))
+def evaluation_retries(spark, sf):
+    a = _answered(spark, sf)
+    return a.select("item_id", transcripts.needs_retry(F.col("success"), F.col("json_parse_success"), F.col("tool_call_count")).alias("needs_retry"), transcripts.is_no_answer(F.col("expected_answer_type"), F.col("question_type")).alias("no_answer"))
+
+
+@query(f"with {_ANSWERED} select question_type, count(*) filter (where abstained) as not_answerable, count(*) filter (where not abstained) as answerable from (select *, not abstained as x from an) group by 1")
+def evaluation_reviewed(spark, sf):
+    """Types of question by whether a reviewer would call them answerable."""
+    a = _answered(spark, sf).withColumn("verdict", F.when(F.col("abstained"), "not_answerable").otherwise("answerable"))
+    return summaries.crossed(a, "question_type", "verdict", ("not_answerable", "answerable"))
+
+
+@query(f"with {_ANSWERED}, x as (select expected_answer_type, item_id % 5 + 1 as rating from an) select expected_answer_type, count(rating) as n, round(avg(rating), 4) as mean, round(avg((rating >= 4)::int), 4) as share_high from x group by 1")
+def evaluation_rated(spark, sf):
+    return summaries.rated(_answered(spark, sf).withColumn("rating", F.col("item_id") % 5 + 1), "expected_answer_type", "rating")
+
+
+@query("select decision_id, round_even((decision_id % 1000) / 8.0, 2)::double as rounded from audit_decisions")
+def vectors_rounded(spark, sf):
+    """Halves go to the even neighbour."""
+    return _t(spark, sf, "audit_decisions").select("decision_id", F.bround((F.col("decision_id") % 1000) / 8.0, 2).alias("rounded"))
+
+
+@query(f"with {E._LATEST} select coalesce(t.name, '') as publication_type, count(*) as n, count(distinct pm) as n_articles from (select pm, unnest(publication_types) as t from l) group by 1")
+def corpus_audit(spark, sf):
+    t = E._latest(spark, sf).select("pmid", F.explode("publication_types").alias("t"))
+    return t.groupBy(F.coalesce("t.name", F.lit("")).alias("publication_type")).agg(F.count("*").alias("n"), F.countDistinct("pmid").alias("n_articles"))
+
+
+@query(D.with_merged("select claim_id, subject, object from m order by md5('30|' || claim_id), claim_id limit 30"))
+def claims_sampled(spark, sf):
+    """A sample, which is what it is for."""
+    return claims.sampled(E._merged(spark, sf), "claim_id", 30, "30").select("claim_id", "subject", "object")
+
+
+@query(f"select 'claims' as src, {D.strip('pmid')} as pmid, subject_name as name from extracted_claims union all select 'entities', {D.strip('pmid')}, name from extracted_entities")
+def items_concatenated(spark, sf):
+    part = lambda name, c: _t(spark, sf, name).select(F.lit(name[10:]).alias("src"), text.strip(F.col("pmid")).alias("pmid"), F.col(c).alias("name"))
+    return part("extracted_claims", "subject_name").unionByName(part("extracted_entities", "name"))
+
+
+@query(f"with {D.processed()}, {E._NAMES_SQL}, k as (select distinct n from nm) select distinct subject as src, object as dst, direction from a where subject in (select n from k) and object in (select n from k)")
+def graph_legacy_edges(spark, sf):
+    return graph.legacy_edges(claims.accepted(E._rows(spark, sf)), E._names(spark, sf))
+
+
+@query(f"with i as ({E.SQL['entities_aliases']}), {D.processed()} select distinct stype as entity_type, subject as name, i.entity_id from a left join i on i.entity_type = a.stype and i.alias = a.subject".replace("with i as", "with i0 as", 1).replace("left join i on i.", "left join i0 i on i."))
+def entities_matched(spark, sf):
+    names = claims.accepted(E._rows(spark, sf)).select(F.col("subject_type").alias("entity_type"), F.col("subject").alias("name")).distinct()
+    return entities.matched(names, entities.alias_lookup(_t(spark, sf, "extracted_entities")))
+
+
+@query(D.with_merged(", s as (select subject, sum(evidence_count) as e from m group by 1 order by e desc, subject limit 30), o as (select object, sum(evidence_count) as e from m group by 1 order by e desc, object limit 30) select s.subject, o.object, 'no_answer' as expected_answer_type from s, o where not exists (select 1 from m where m.subject = s.subject and m.object = o.object) order by s.e * o.e desc, s.subject, o.object limit 40"))
+def benchmark_no_answer(spark, sf):
+    return benchmarks.no_answer(E._merged(spark, sf), 40)
+
+
+_RUNS = "r as (select user_id as item_id, event_id as ordinal, case when event_type in ('view', 'click') then 'text' else 'tool' end as kind, event_type || ' ' || props as t, event_type as name from events where user_id is not null)"
+
+
+@query(f"with {_RUNS}, f as (select item_id, name, count(*) as n, min(ordinal) as f from r where kind = 'tool' group by 1, 2), g as (select item_id, sum(n)::bigint as n_calls, string_agg(name, ';' order by f) as tools from f group by 1) select item_id, md5(coalesce(string_agg(t, '' order by ordinal) filter (where kind = 'text'), '')) as response, coalesce(max(n_calls), 0) as n_calls, coalesce(max(tools), '') as tools from r left join g using (item_id) group by item_id")
+def transcripts_folded(spark, sf):
+    kind = F.when(F.col("event_type").isin("view", "click"), "text").otherwise("tool")
+    e = _t(spark, sf, "events").where("user_id is not null").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("ordinal"), kind.alias("kind"), F.concat("event_type", F.lit(" "), "props").alias("text"), F.col("event_type").alias("name"))
+    return transcripts.folded(e).withColumn("response", F.md5("response"))
+
+
+@query("with x as (select doc_id, text, strpos(text, '---') as p from documents where text is not null) select doc_id, length(case when p > 0 then regexp_replace(substr(text, 1, p - 1), '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g') else '' end) as system, length(regexp_replace(case when p > 0 then substr(text, p + 3) else text end, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g')) as user from x")
+def text_prompts(spark, sf):
+    parts = text.prompt_parts(F.col("text"))
+    return _t(spark, sf, "documents").where("text is not null").select("doc_id", F.length(parts["system"]).alias("system"), F.length(parts["user"]).alias("user"))
+
+
+@query()
+def entities_normalised(spark, sf):
+    """Foods, strains and outcomes under their rules, which names_food and names_strain compare with SQL."""
+    return entities.normalised(_t(spark, sf, "extracted_entities"))
+
+
+@query(f"with {E._backfilled_sql()} select claim_id, a.ordinal, case when length(trim(evidence_snippet)) = 0 and length(coalesce(snippet, '')) > 0 then snippet else evidence_snippet end as evidence_snippet, length(trim(evidence_snippet)) = 0 and length(coalesce(snippet, '')) > 0 as backfilled from a left join bf using (ordinal)")
+def claims_backfilled(spark, sf):
+    """Evidence with the best sentence of the article where the record had none."""
+    rows = claims.accepted(E._rows(spark, sf))
+    return claims.with_snippets(claims.evidence(rows), evidence.backfilled(rows, E._latest(spark, sf))).select("claim_id", "ordinal", "evidence_snippet", "backfilled")

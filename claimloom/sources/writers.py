@@ -40,6 +40,16 @@ def payload(df: DataFrame, path: str, name: str = "items", *, most: int = 100_00
     df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
+def pmid_list(df: DataFrame, path: str, *, key: str = "pmid", most: int = 1_000_000) -> None:
+    """Distinct ids in order, as a JSON document if the path ends in .json, else one a line."""
+    ids = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
+    if path.endswith(".json"):
+        text = json.dumps([r[0] for r in bounded(ids, most, "ids of a document")])
+        df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    else:
+        ids.select(F.col(key).cast("string")).write.text(path)
+
+
 def node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The node-link form as JSON lines: ``nodes`` with id and attributes, ``links`` with source and target."""
     n = nodes.withColumnRenamed("node_id", "id")

@@ -130,9 +130,15 @@ def test_article_resolution(spark):
 
 
 def test_paper_grade(spark):
-    row = [("1", "Trial", "A total of 250 subjects were enrolled", [("Randomized Controlled Trial",)], [("A", ["Harvard Medical School"])], None, [("NIH", "1")])]
-    a = spark.createDataFrame(row, "pmid string, title string, abstract string, publication_types array<struct<name:string>>, authors_full array<struct<name:string,affiliations:array<string>>>, author_affiliations array<string>, grants array<struct<agency:string,grant_id:string>>")
-    r = corpus.paper_scores(a, ("Harvard",), {"government": ("NIH",), "non_profit": (), "industry": (), "academic": ()}).first()
+    row = [("1", "Trial", "A total of 250 subjects were enrolled", [("Randomized Controlled Trial",)], [("A", ["Harvard Medical School"])], None, [("NIH", "1")], "Gut Ecology")]
+    a = spark.createDataFrame(row, "pmid string, title string, abstract string, publication_types array<struct<name:string>>, authors_full array<struct<name:string,affiliations:array<string>>>, author_affiliations array<string>, grants array<struct<agency:string,grant_id:string>>, journal string")
+    funders = {"government": ("NIH",), "non_profit": (), "industry": (), "academic": ()}
+    ranking = spark.createDataFrame([(0, "Gut Ecology", 12.0)], "ordinal int, title string, sjr double")
+    ranked = corpus.paper_scores(a, ("Harvard",), funders, ranking).first()
+    assert (ranked["journal_score"], ranked["journal_tier"]) == (10.0, "top") and ranked["total"] == pytest.approx(7.6 + 7 * 0.2)
+    unnamed = corpus.paper_scores(a.withColumn("journal", F.lit(None).cast("string")), ("Harvard",), funders, ranking).first()
+    assert (unnamed["journal_score"], unnamed["journal_tier"]) == (0.0, "unknown")
+    r = corpus.paper_scores(a, ("Harvard",), funders, ranking.limit(0)).first()  # no list: unranked, 3 points
     assert (r["study_score"], r["sample_score"], r["institution_score"], r["funding_score"], r["grade"]) == (10.0, 8.0, 6.0, 10.0, "B+")
     assert r["total"] == pytest.approx(7.6)
 
@@ -191,7 +197,11 @@ def test_benchmarks(table):
     rows = claims.accepted(claims.processed(table))
     gold = rows.select(F.col("ordinal").alias("item_id"), "pmid", "subject", "object", "direction")
     assert {r["item_id"] for r in benchmarks.repaired_gold(gold, rows).collect()} == {1, 2, 3}
-    assert {r["category"] for r in benchmarks.compatibility(gold, rows).collect()} == {"anchored"}
+    top = gold.select("item_id", "pmid", F.lit(1).alias("rank"))
+    assert {r["category"] for r in benchmarks.compatibility(gold, rows, top).collect()} == {"all_gold_pmids_retrieved_top10"}
+    assert {r["category"] for r in benchmarks.compatibility(gold, rows, top.withColumn("rank", F.lit(15))).collect()} == {"gold_pmids_rank_11_20"}
+    assert {r["category"] for r in benchmarks.compatibility(gold, rows, top.limit(0)).collect()} == {"anchor_claim_present_but_not_retrieved_top20"}
+    assert {r["category"] for r in benchmarks.compatibility(gold, rows.limit(0), top).collect()} == {"gold_pmids_absent_from_new_graph"}
     assert {r["category"] for r in benchmarks.compatibility(gold, rows.limit(0)).collect()} == {"missing"}
 
 
