@@ -202,7 +202,6 @@ def test_benchmarks(table):
     assert {r["category"] for r in benchmarks.compatibility(gold, rows, top.withColumn("rank", F.lit(15))).collect()} == {"gold_pmids_rank_11_20"}
     assert {r["category"] for r in benchmarks.compatibility(gold, rows, top.limit(0)).collect()} == {"anchor_claim_present_but_not_retrieved_top20"}
     assert {r["category"] for r in benchmarks.compatibility(gold, rows.limit(0), top).collect()} == {"gold_pmids_absent_from_new_graph"}
-    assert {r["category"] for r in benchmarks.compatibility(gold, rows.limit(0)).collect()} == {"missing"}
 
 
 def test_transcripts(spark):
