@@ -27,7 +27,7 @@ def _bags(df: DataFrame, key: str, c: str) -> DataFrame:
     return df.select(key, F.explode(text.bag(F.col(c))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
-def lexical_top(queries: DataFrame, items: DataFrame, k: int, *, common: float = 0.1) -> DataFrame:
+def lexical_top(queries: DataFrame, items: DataFrame, k: int, *, common: float = 0.05) -> DataFrame:
     """The k best items of each query, exactly: ``query_id``, ``item_id``, ``score``, ``rank``.
 
     The score is the overlap of word bags over the product of their norms, plus 0.25 for each of the item's phrases (``phrases``,
@@ -63,9 +63,9 @@ def lexical_top(queries: DataFrame, items: DataFrame, k: int, *, common: float =
     open_ = written(open_, "open-queries")
     if open_.isEmpty():
         return first
-    rest = q.join(open_, "query_id", "left_semi").select("query_id", "word").join(i.select("item_id", "word"), "word").select("query_id", "item_id").distinct()
-    again = rest.join(pairs, ["query_id", "item_id"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    return first.join(open_, "query_id", "left_anti").unionByName(ranked(_scored(again, asked, info), k))
+    every = q.join(open_, "query_id", "left_semi").withColumnRenamed("n", "qn").join(i, "word").groupBy("query_id", "item_id").agg(F.sum(F.least("qn", "n")).alias("o"))
+    nothing = asked.withColumn("common", F.transform("common", lambda _: F.lit(0).cast("bigint")))  # common words are in the overlap already
+    return first.join(open_, "query_id", "left_anti").unionByName(ranked(_scored(every, nothing, info), k))
 
 
 def _shared(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from claimloom import lexicons as L
 from claimloom.functions import scoring, text, vectors
 from claimloom.operators import audit, benchmarks, claims, corpus, entities, evidence, graph, quality, retrieval, summaries, transcripts
 from claimloom.plans import dialect as D
-from claimloom.session import written
+from claimloom.session import spread, written
 from claimloom.streaming import incremental
 
 QUERIES: dict = {}
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def _rows(spark, sf) -> DataFrame:
-    return claims.processed(_t(spark, sf, "extracted_claims"))
+    return claims.processed(spread(_t(spark, sf, "extracted_claims")))
 
 
 def _merged(spark, sf) -> DataFrame:
@@ -654,7 +654,7 @@ def _sizes_sql(c: str) -> str:
 def text_patterns(spark, sf):
     t = F.col("text")
     d = text.dose(t)
-    return _t(spark, sf, "documents").where("text is not null").select("doc_id", text.p_value(t).alias("p_value"), text.largest_sample(t).alias("largest_sample"), text.duration_days(t).alias("duration_days"), d["value"].alias("dose_value"), d["unit"].alias("dose_unit"), text.abstains(t).alias("abstains"))
+    return spread(_t(spark, sf, "documents").select("doc_id", "text")).where("text is not null").select("doc_id", text.p_value(t).alias("p_value"), text.largest_sample(t).alias("largest_sample"), text.duration_days(t).alias("duration_days"), d["value"].alias("dose_value"), d["unit"].alias("dose_unit"), text.abstains(t).alias("abstains"))
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import math
 import os
 import tempfile
 import uuid
@@ -64,10 +63,10 @@ def bounded(df: DataFrame, most: int, what: str) -> list[Row]:
     return rows
 
 
-def input_parts(df: DataFrame, per_part: int = 16 << 20, least: int = 1) -> int:
-    """Partitions for an input by the size Catalyst knows for it."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(least, min(100_000, math.ceil(size / per_part)))
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where an input comes in fewer partitions than there are cores, as a small file does; larger inputs stay as they are and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:
