@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import canonical, consensus, duplicates, mixing, neighbours, packing, quality, sentences
-from claimloom.session import ship
+from claimloom.session import ship, spread
+
+
+#: Tables that grow; the others are small and fixed.
+GROWING = ("abstract_embeddings_bge_m3", "audit_decisions", "documents", "extracted_claims", "extracted_entities", "full_text", "raw_claims")
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in GROWING else df
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
