@@ -106,22 +106,6 @@ def _grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, n)))
 
 
-def contained_in(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """``part``, ``whole_id`` of all texts (``whole_id``, ``whole``) that contain a part (``part``) as it stands, each once.
-
-    A part meets the texts on its rarest three characters, or as a whole if it is shorter; texts are there under their
-    stretches of three characters, and of one and two where a part is that short.
-    """
-    short = parts.select("part").where("part <> '' and length(part) < 3").distinct()
-    long = parts.select("part").where("length(part) >= 3").distinct()
-    three = wholes.select("whole_id", F.explode(_grams(F.col("whole"), 3)).alias("gram"))
-    often = three.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = long.select("part", F.explode(_grams(F.col("part"), 3)).alias("gram")).join(often, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("gram"))
-    few = wholes.select("whole_id", F.explode(F.concat(_grams(F.col("whole"), 1), _grams(F.col("whole"), 2))).alias("gram")).join(short.withColumnRenamed("part", "gram"), "gram")
-    met = rarest.join(three, "gram").select("part", "whole_id")
-    return met.join(wholes, "whole_id").where(F.contains("whole", "part")).select("part", "whole_id").unionByName(few.select(F.col("gram").alias("part"), "whole_id")).distinct()
-
-
 def contained_names(names: DataFrame) -> DataFrame:
     """Pairs of names of one type of which one contains the other, anywhere and regardless of case, each once.
 

@@ -390,6 +390,38 @@ def test_lexical_search_equals_all_pairs(spark):
         assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items() if x}
 
 
+def test_lexical_search_shuffles_no_pairs(spark):
+    def shuffled() -> int:
+        jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    words = [f"w{n}" for n in range(25)]  # each in 4 % of the items
+    items = spark.createDataFrame([(f"i{n:04}", f"{words[n % 25]} x{n}", [words[n % 25]]) for n in range(3000)], "item_id string, text string, phrases array<string>")
+    queries = spark.createDataFrame([(n, f"v{n} {words[n % 25]}") for n in range(600)], "query_id bigint, query string")
+    before = shuffled()
+    got = retrieval.lexical_top(queries, items, 5).collect()
+    assert shuffled() - before < 20_000  # 600 queries share a word with 120 items each
+    # w1 is part of the text of w10 as well, but only as a phrase
+    assert {r["query_id"]: r["item_id"] for r in got if r["rank"] == 5} == {n: f"i{n % 25 + 100:04}" for n in range(600)}
+    assert {r["score"] for r in got} == {0.75}
+
+
+def test_lexical_search_in_blocks(spark):
+    items = spark.createDataFrame([(f"i{n:02}", ["tea has effect", "tea tea", "oat milk, tea", None, ""][n % 5], [["tea"], ["oat milk", None], [""], None][n % 4]) for n in range(60)] + [(None, "tea", ["tea"])], "item_id string, text string, phrases array<string>")
+    queries = spark.createDataFrame([(1, "tea"), (2, "Tea"), (3, "oat milk tea tea"), (4, None), (5, "tea"), (None, "tea")], "query_id bigint, query string")
+    one, many = (sorted(map(tuple, retrieval.lexical_top(queries, items, 7, block=b, rows=r).collect())) for b, r in ((100, 100), (1, 9)))
+    assert one == many and {r[0] for r in one} == {1, 2, 3, 5} and len(one) == 28
+    assert [r[1:] for r in one if r[0] == 1] == [r[1:] for r in one if r[0] == 5]
+
+
+def test_heads_of_merged_claims(table):
+    rows = claims.accepted(claims.processed(table))
+    c = ["claim_id", "subject", "object", "claim_text"]
+    assert sorted(map(tuple, claims.heads(rows).select(*c).collect())) == sorted(map(tuple, claims.merged(rows).select(*c).collect()))
+
+
 def test_vector_search_in_blocks(spark):
     import numpy as np
 
